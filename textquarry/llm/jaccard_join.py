@@ -1,12 +1,13 @@
 """Jaccard similarity join on word shingles: candidates share prefix tokens under several global token orders, then are verified exactly.
 
-All orders put shingles that many documents share last (their class, from counts over the whole corpus) and differ in the order of hashes
-inside a class. Under any one order, two sets that reach the threshold share a token of their prefixes; the first order finds candidates by
-an equi-join on that token, the others drop candidates whose prefixes under them are apart, and the rest are verified on whole sets.
-
-Only connectivity is asked for, so candidates are taken in rounds: first each token's documents against one leader of that token, and after
-a few rounds, which join most copies, all pairs of a token that still lie in different components. A pair is skipped only when its ends are
-already connected by verified links, so components are those of all links.
+The first order puts shingles that many documents share last (their class, from counts over the whole corpus). Two sets that reach the
+threshold share a token of their prefixes under any one order; the first order finds candidates by an equi-join on that token, with the bounds
+that sizes, positions and a 1024-bit parity sketch of each set give. For what is left, prefixes under two more orders (hashes up and down) have
+to share a token too before whole sets are compared.
+
+Only connectivity is asked for, so candidates are taken in two steps: each token's documents against a few leaders of that token, which joins
+most copies, and then all pairs of a token that still lie in different components. A pair is skipped only when its ends are already connected
+by verified links, so components are those of all links.
 """
 
 from __future__ import annotations
@@ -27,9 +28,12 @@ SHINGLE = 5
 #: Similarity of at least NUM / DEN.
 NUM, DEN = 75, 100
 #: log2 of the counters that tell shared shingles from rare ones. More counters tell them apart in larger corpora; any number gives the same links.
-SKETCH_BITS = 20
+SKETCH_BITS = 24
+_BLOCK_BITS = 16
 _ID_BITS = 22
-LEADER_ROUNDS = 3
+LEADERS = 2
+#: 64-bit words of a set's parity sketch: bit i tells whether an odd number of its tokens hash to i.
+PARITY_WORDS = 16
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -93,15 +97,26 @@ def _marked(bits: np.ndarray, rows: pa.RecordBatch) -> np.ndarray:
     return (bits[s >> 6] >> (s & 63).astype(np.uint64)) & np.uint64(1) > 0
 
 
+def _parities(row: np.ndarray, h: np.ndarray, n: int) -> np.ndarray:
+    """n x PARITY_WORDS words; sets differ in at least as many tokens as their parities differ in bits."""
+    at = row * (PARITY_WORDS * 64) + (mixed(h ^ np.uint64(0x94D049BB133111EB)) % np.uint64(PARITY_WORDS * 64)).astype(np.int64)
+    odd = (np.bincount(at, minlength=n * PARITY_WORDS * 64) & 1).astype(np.uint8)
+    return np.packbits(odd, bitorder="little").view(np.int64).reshape(n, PARITY_WORDS)
+
+
+_SURVEY = ["kind", "key", "n", "s1", "s2", "counts", *(f"p{i}" for i in range(PARITY_WORDS))]
+
+
 def _survey(docs: DataFrame, sketch_bits: int) -> DataFrame:
-    """One pass: a row (kind 0) with size and signature of each document's set, and (kind 1) how many documents fall to each shingle counter."""
+    """One pass: a row (kind 0) with size, signature and parities of each document's set, and (kind 1) blocks of counters of each partition: how
+    many of its documents have a shingle of that hash, 255 standing for more."""
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(1 << sketch_bits, np.int64)
-        names = ["kind", "key", "n", "s1", "s2", "c"]
+        seen = np.zeros(1 << sketch_bits, np.uint8)
         for rows, data, offsets in slices(batches, "text"):
             row, h = _ordered(*shingles(data, offsets))
-            seen += np.bincount((h >> np.uint64(64 - sketch_bits)).astype(np.int64), minlength=len(seen))
+            at, c = np.unique((h >> np.uint64(64 - sketch_bits)).astype(np.uint32), return_counts=True)
+            seen[at] = np.minimum(seen[at] + c, 255)
             m = rows.num_rows
             size = np.bincount(row, minlength=m)
             ends = np.cumsum(size)
@@ -110,27 +125,56 @@ def _survey(docs: DataFrame, sketch_bits: int) -> DataFrame:
                 total = np.zeros(len(h) + 1, np.uint64)
                 np.cumsum(mixed(h ^ salt), out=total[1:])
                 sums.append(_signed(total[ends] - total[ends - size]))
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(m, np.int32)), rows.column("doc_id"), pa.array(size.astype(np.int32)), *sums, pa.array(np.ones(m, np.int64))], names)
-        for some in np.array_split(np.flatnonzero(seen), 64):
-            z = np.zeros(len(some), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(some), np.int32)), pa.array(some), pa.array(z.astype(np.int32)), pa.array(z), pa.array(z), pa.array(seen[some])], names)
+            parities = [pa.array(np.ascontiguousarray(c)) for c in _parities(row, h, m).T]
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(m, np.int32)), rows.column("doc_id"), pa.array(size.astype(np.int32)), *sums, pa.nulls(m, pa.binary()), *parities], _SURVEY)
+        for k in range(0, 1 << sketch_bits, 1 << _BLOCK_BITS):
+            block = seen[k : k + (1 << _BLOCK_BITS)]
+            if block.any():
+                none = pa.nulls(1, pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), pa.array([k >> _BLOCK_BITS]), pa.nulls(1, pa.int32()), none, none, pa.array([block.tobytes()], pa.binary()), *([none] * PARITY_WORDS)], _SURVEY)
 
-    rows = docs.mapInArrow(part, "kind int, key long, n int, s1 long, s2 long, c long")
-    return rows.groupBy("kind", "key", "n", "s1", "s2").agg(F.sum("c").alias("c"))
+    return docs.mapInArrow(part, "kind int, key long, n int, s1 long, s2 long, counts binary, " + ", ".join(f"p{i} long" for i in range(PARITY_WORDS)))
+
+
+def _adder(kind: type):
+    def added(batches: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x, kind).astype(np.int64) for x in batches.column("counts").to_pylist())
+        return pa.table({"key": batches.column("key")[:1], "counts": pa.array([total.tobytes()], pa.binary())})
+
+    return added
 
 
 def _classes(survey: DataFrame, sketch_bits: int) -> np.ndarray:
-    """For each counter the class of its shingles: 0 for rare ones, else the log2 of the count. At most a quarter of the counters can exceed the bound."""
-    sketch = survey.where("kind = 1")
-    total = sketch.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
+    """For each counter the class of its shingles: 0 for rare ones, else the log2 of the count. Blocks are added up in two steps, a few dozen
+    partitions' at a time first, and one byte for each counter comes back."""
+    blocks = survey.where("kind = 1").select("key", "counts")
+    first = blocks.groupBy("key", (F.xxhash64("counts") % 64).alias("some")).applyInArrow(_adder(np.uint8), "key long, counts binary")
+    summed = stored(first.groupBy("key").applyInArrow(_adder(np.int64), "key long, counts binary"))
+
+    def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([int(np.frombuffer(x, np.int64).sum()) for x in batch.column("counts").to_pylist()], pa.int64())], ["c"])
+
+    total = summed.select("counts").mapInArrow(totals, "c long").agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
+    least = 8 + 4 * total / (1 << sketch_bits)
+
+    def classed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for x in batch.column("counts").to_pylist():
+                c = np.frombuffer(x, np.int64)
+                found.append(np.where(c > least, np.floor(np.log2(np.maximum(c, 1))) + 1, 0).astype(np.uint8).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(found, pa.binary())], ["key", "kinds"])
+
     out = np.zeros(1 << sketch_bits, np.uint8)
-    for key, c in sketch.where(F.col("c") > 64 + 4 * total / (1 << sketch_bits)).select("key", "c").collect():
-        out[key] = int(c).bit_length()
+    for key, kinds in summed.mapInArrow(classed, "key long, kinds binary").collect():
+        out[key << _BLOCK_BITS : (key << _BLOCK_BITS) + len(kinds)] = np.frombuffer(kinds, np.uint8)
     return out
 
 
 def _prefixes(docs: DataFrame, classes, wanted, sketch_bits: int, num: int, den: int) -> DataFrame:
-    """(token, salt, doc, n, pos) for the prefix of each wanted document under the first order; tokens of shared shingles are salted."""
+    """(token, doc, packed) for the prefix of each wanted document under the first order. packed holds, from the top, a salt (0 for rare
+    shingles), the set's size and the token's position."""
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in slices(batches, "text"):
@@ -144,41 +188,29 @@ def _prefixes(docs: DataFrame, classes, wanted, sketch_bits: int, num: int, den:
             row, h, pos = row[head], h[head], pos[head]
             shared = classes.value[(h >> np.uint64(64 - sketch_bits)).astype(np.int64)] > 0
             doc = rows.column("doc_id").take(pa.array(row))
-            salt = np.where(shared, 1 + np.asarray(rows.column("slot"))[row] % 64, 0).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([_signed(h), pa.array(salt), doc, pa.array(size[row].astype(np.int32)), pa.array(pos.astype(np.int32))], ["token", "salt", "doc", "n", "pos"])
+            salt = np.where(shared, 1 + np.asarray(rows.column("slot"))[row] % 63, 0).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([_signed(h), doc, pa.array((salt << 56) | (size[row] << 28) | pos)], ["token", "doc", "packed"])
 
-    return docs.mapInArrow(part, "token long, salt int, doc long, n int, pos int")
+    return docs.mapInArrow(part, "token long, doc long, packed long")
 
 
-def _sets(docs: DataFrame, classes, wanted, sketch_bits: int, num: int, den: int) -> DataFrame:
-    """(doc, tokens, head2, head3): the whole set of each wanted document and its prefixes under the second and third order."""
+def _sets(docs: DataFrame, wanted) -> DataFrame:
+    """(doc, tokens): the whole set of each wanted document, ascending."""
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in slices(batches, "text"):
             mine = np.flatnonzero(_marked(wanted.value, rows))
             row, h = shingles(data, offsets)
             some = np.isin(row, mine)
-            row, h = row[some], h[some]
-            kind = classes.value[(h >> np.uint64(64 - sketch_bits)).astype(np.int64)]
-            columns = []
-            for key in (mixed(h ^ np.uint64(0xD1342543DE82EF95)), ~h):
-                r, _ = _ordered(row, key, kind)
-                order = np.lexsort((key, kind, row))
-                new = np.ones(len(order), bool)
-                new[1:] = (row[order][1:] != row[order][:-1]) | (h[order][1:] != h[order][:-1])
-                order = order[new]
-                size, pos = _positions(r, rows.num_rows)
-                head = pos < _prefix(size, num, den)[r]
-                columns.append(_lists(h[order][head], r[head], mine))
-            r, g = _ordered(row, h)
-            yield pa.RecordBatch.from_arrays([rows.column("doc_id").take(pa.array(mine)), _lists(g, r, mine), *columns], ["doc", "tokens", "head2", "head3"])
-
-    return docs.mapInArrow(part, "doc long, tokens array<long>, head2 array<long>, head3 array<long>")
-
+            order = np.lexsort((h[some].view(np.int64), row[some]))
+            row, h = row[some][order], h[some][order]
+            new = np.ones(len(row), bool)
+            new[1:] = (row[1:] != row[:-1]) | (h[1:] != h[:-1])
+            n = np.bincount(row[new], minlength=rows.num_rows)[mine]
+            tokens = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), _signed(h[new]))
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id").take(pa.array(mine)), tokens], ["doc", "tokens"])
 
-def _lists(h: np.ndarray, row: np.ndarray, mine: np.ndarray) -> pa.Array:
-    n = np.bincount(row, minlength=(mine.max() + 1) if len(mine) else 0)[mine] if len(mine) else np.zeros(0, np.int64)
-    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), _signed(h))
+    return docs.mapInArrow(part, "doc long, tokens array<long>")
 
 
 def _possible(num: int, den: int, a: str, b: str) -> Column:
@@ -188,63 +220,68 @@ def _possible(num: int, den: int, a: str, b: str) -> Column:
     )
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    left, right = sets.select(F.col("doc").alias("a"), *(F.col(c).alias(f"a_{c}") for c in ("tokens", "head2", "head3"))), sets.select(F.col("doc").alias("b"), *(F.col(c).alias(f"b_{c}") for c in ("tokens", "head2", "head3")))
-    both = pairs.join(left, "a").join(right, "b").where(F.arrays_overlap("a_head2", "b_head2") & F.arrays_overlap("a_head3", "b_head3"))
-    same = both.select("a", "b", F.size(F.array_intersect("a_tokens", "b_tokens")).alias("o"), (F.size("a_tokens") + F.size("b_tokens")).alias("s"))
-    return same.where(F.expr(f"{den} * o >= {num} * (s - o)")).select("a", "b")
+def _near(pairs: DataFrame, profiles: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs whose parities leave room for the needed overlap."""
+    side = lambda c: profiles.select(F.col("doc").alias(c), *[F.col(x).alias(f"{c}_{x}") for x in profiles.columns if x != "doc"])
+    apart = " + ".join(f"bit_count(a_p{i} ^ b_p{i})" for i in range(PARITY_WORDS))
+    need = f"((({num} * (a_n + b_n) + {num + den} - 1) div {num + den}))"
+    return pairs.join(side("a"), "a").join(side("b"), "b").where(F.expr(f"{apart} <= a_n + b_n - 2 * {need}")).select("a", "b")
 
 
-def _rooted(prefixes: DataFrame, roots: DataFrame | None) -> DataFrame:
-    if roots is None:
-        return prefixes.withColumn("root", F.col("doc"))
-    return prefixes.join(roots.withColumnRenamed("node", "doc"), "doc", "left").withColumn("root", F.coalesce("root", "doc"))
+def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    both = pairs.join(sets.select(F.col("doc").alias("a"), F.col("tokens").alias("x")), "a").join(sets.select(F.col("doc").alias("b"), F.col("tokens").alias("y")), "b")
+    head = lambda t: f"(size({t}) - ({num} * size({t}) + {den - 1}) div {den} + 1)"
+    low = F.expr(f"arrays_overlap(slice(x, 1, cast({head('x')} as int)), slice(y, 1, cast({head('y')} as int)))")
+    high = F.expr(f"arrays_overlap(slice(x, cast(-{head('x')} as int), cast({head('x')} as int)), slice(y, cast(-{head('y')} as int), cast({head('y')} as int)))")
+    same = both.where(low & high).select("a", "b", F.size(F.array_intersect("x", "y")).alias("o"), (F.size("x") + F.size("y")).alias("s"))
+    return same.where(F.expr(f"{den} * o >= {num} * (s - o)")).select("a", "b")
 
 
 def _pairs(x: DataFrame) -> DataFrame:
     return x.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def links_for_components(docs: DataFrame, survey: DataFrame, sketch_bits: int = SKETCH_BITS, num: int = NUM, den: int = DEN, leader_rounds: int = LEADER_ROUNDS) -> DataFrame | None:
-    """(node, root) over representatives of equal sets; None if nothing links."""
+def _checked(pairs: DataFrame, docs: DataFrame, num: int, den: int) -> DataFrame:
+    """Links among the (stored) pairs. Sets are made for their documents only, and laid out by document so that joins don't move them again."""
     spark = docs.sparkSession
-    sc = spark.sparkContext
-    reps = survey.where("kind = 0 and n > 0 and key is not null").groupBy("n", "s1", "s2").agg(F.min("key").alias("rep"))
-    classes = sc.broadcast(_classes(survey, sketch_bits))
-    docs = docs.withColumn("slot", _slot(F.col("doc_id")))
-    first = sc.broadcast(_bitmap(reps, "rep"))
-    every = _prefixes(docs.where("doc_id is not null"), classes, first, sketch_bits, num, den)
-    shared = every.withColumn("m", F.count("*").over(Window.partitionBy("token", "salt"))).where("m > 1 or salt > 0").select("token", "doc", "n", "pos")
-    prefixes = stored(shared.join(reps.select(F.col("rep").alias("doc")), "doc", "left_semi"))
-    second = sc.broadcast(_bitmap(prefixes, "doc"))
+    ends = pairs.select(F.col("a").alias("doc")).union(pairs.select(F.col("b").alias("doc")))
+    wanted = spark.sparkContext.broadcast(_bitmap(ends, "doc"))
     name, buckets = f"textquarry_sets_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
-    _sets(docs.where("doc_id is not null"), classes, second, sketch_bits, num, den).repartition(buckets, "doc").write.bucketBy(buckets, "doc").saveAsTable(name)
-    sets = spark.table(name)
+    _sets(docs, wanted).repartition(buckets, "doc").write.bucketBy(buckets, "doc").saveAsTable(name)
     try:
-        roots = tested = links = None
-        for k in range(leader_rounds + 1):
-            x = _rooted(prefixes, roots)
-            spread = x.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min_by(F.struct("doc", "n", "pos", "root"), F.xxhash64("doc", F.lit(k))).alias("l")).where("low < high")
-            if k < leader_rounds:
-                leaders = spread.select("token", "l.*")
-                found = x.alias("x").join(leaders.alias("l"), "token").where("x.root <> l.root").where(_possible(num, den, "x", "l")).select(F.col("x.doc").alias("a"), F.col("l.doc").alias("b"))
-            else:
-                open_tokens = stored(x.join(spread.select("token"), "token", "left_semi"))
-                found = open_tokens.alias("x").join(open_tokens.alias("y"), "token").where("x.doc < y.doc and x.root <> y.root").where(_possible(num, den, "x", "y")).select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b"))
-            found = _pairs(found)
-            found = stored(found.join(tested, ["a", "b"], "left_anti") if tested is not None else found)
-            if found.isEmpty():
-                continue
-            got = stored(_verified(found, sets, num, den))
-            tested = found if tested is None else tested.union(found)
-            links = got if links is None else links.union(got)
-            roots = components(links)
-        return roots
+        return stored(_verified(pairs, spark.table(name), num, den))
     finally:
         spark.sql(f"drop table if exists {name}")
 
 
-def link(docs: DataFrame, sketch_bits: int = SKETCH_BITS, num: int = NUM, den: int = DEN, leader_rounds: int = LEADER_ROUNDS) -> DataFrame:
+def links_for_components(docs: DataFrame, survey: DataFrame, sketch_bits: int = SKETCH_BITS, num: int = NUM, den: int = DEN, leaders: int = LEADERS) -> DataFrame:
+    """(node, root) over representatives of equal sets."""
+    sc = docs.sparkSession.sparkContext
+    sets = survey.where("kind = 0 and n > 0 and key is not null")
+    profiles = stored(sets.groupBy("n", "s1", "s2").agg(F.min("key").alias("doc"), *[F.first(f"p{i}").alias(f"p{i}") for i in range(PARITY_WORDS)]).drop("s1", "s2"))
+    classes = sc.broadcast(_classes(survey, sketch_bits))
+    docs = docs.where("doc_id is not null").withColumn("slot", _slot(F.col("doc_id")))
+    first = sc.broadcast(_bitmap(profiles, "doc"))
+    every = _prefixes(docs, classes, first, sketch_bits, num, den).withColumn("salt", F.shiftright("packed", 56))
+    # rare shingles have few documents by their class; shared ones are not counted, only dealt out
+    shared = every.withColumn("m", F.count("*").over(Window.partitionBy("token", "salt"))).where("m > 1 or salt > 0")
+    shared = shared.select("token", "doc", F.shiftright("packed", 28).bitwiseAND((1 << 28) - 1).cast("int").alias("n"), F.col("packed").bitwiseAND((1 << 28) - 1).cast("int").alias("pos"))
+    prefixes = stored(shared.join(profiles.select("doc"), "doc", "left_semi"))
+    best = [F.min_by(F.struct("doc", "n", "pos"), F.xxhash64("doc", F.lit(k))) for k in range(leaders)]
+    led = prefixes.groupBy("token").agg(F.count("*").alias("m"), F.array_distinct(F.array(*best)).alias("l")).where("m > 1").select("token", "l")
+    found = prefixes.alias("x").join(led, "token").withColumn("l", F.explode("l")).where("x.doc <> l.doc").where(_possible(num, den, "x", "l")).select(F.col("x.doc").alias("a"), F.col("l.doc").alias("b"))
+    tested = stored(_near(_pairs(found), profiles, num, den))
+    links = _checked(tested, docs, num, den)
+    roots = components(links)
+    x = prefixes.join(roots.withColumnRenamed("node", "doc"), "doc", "left").withColumn("root", F.coalesce("root", "doc"))
+    spread = x.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("token")
+    rest = stored(x.join(spread, "token", "left_semi"))
+    found = rest.alias("x").join(rest.alias("y"), "token").where("x.doc < y.doc and x.root <> y.root").where(_possible(num, den, "x", "y")).select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b"))
+    found = stored(_near(_pairs(found).join(tested, ["a", "b"], "left_anti"), profiles, num, den))
+    return roots if found.isEmpty() else components(links.union(_checked(found, docs, num, den)))
+
+
+def link(docs: DataFrame, sketch_bits: int = SKETCH_BITS, num: int = NUM, den: int = DEN, leaders: int = LEADERS) -> DataFrame:
     """One row per row of `docs`: doc_id, n_shingles, component_id.
 
     component_id is the smallest doc_id that links lead to, itself included. Documents with equal sets are one representative throughout. A
@@ -253,14 +290,12 @@ def link(docs: DataFrame, sketch_bits: int = SKETCH_BITS, num: int = NUM, den: i
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     survey = stored(_survey(docs, sketch_bits))
-    roots = links_for_components(docs, survey, sketch_bits, num, den, leader_rounds)
-    mine = survey.where("kind = 0").select(F.col("key").alias("doc_id"), "n", "s1", "s2", "c")
+    roots = links_for_components(docs, survey, sketch_bits, num, den, leaders)
+    mine = survey.where("kind = 0").select(F.col("key").alias("doc_id"), "n", "s1", "s2")
     reps = mine.where("n > 0 and doc_id is not null").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"))
     rows = mine.join(reps, ["n", "s1", "s2"], "left").withColumn("rep", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")))
-    if roots is not None:
-        rows = rows.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").withColumn("rep", F.coalesce("root", "rep"))
-    again = F.explode(F.expr("array_repeat(0, cast(c as int))"))
-    return rows.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.col("rep").alias("component_id"), again.alias("i")).drop("i")
+    rows = rows.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").withColumn("rep", F.coalesce("root", "rep"))
+    return rows.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.col("rep").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, **options: int) -> DataFrame:

@@ -75,14 +75,20 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
+def prefix_sums(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of (byte + 1) * power[i] before each position, and inverse powers: (sum[e] - sum[s]) * inverse[s] depends on data[s:e] alone."""
+    _grown(len(data))
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _POWERS[: len(data)], out=total[1:])
+    return total, _INVERSES
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hash of each byte span, the same wherever the span lies."""
     if not len(starts):
         return np.zeros(0, np.uint64)
-    _grown(len(data))
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _POWERS[: len(data)], out=total[1:])
-    return mixed((total[ends] - total[starts]) * _INVERSES[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    total, inverses = prefix_sums(data)
+    return mixed((total[ends] - total[starts]) * inverses[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
 def crc_of_ids(ids: list) -> np.ndarray:
