@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textquarry.llm import quality_classifier, quality_rules
+from textquarry.llm import jaccard_join, mixing, quality_classifier, quality_rules, sentencepiece_codec
 from textquarry.llm.scratch import stored
 
 
@@ -22,7 +22,28 @@ def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_classifier.keep(docs, _labels(spark, sf_dir))
 
 
-STAGES = [("quality_rules", rules), ("quality_classifier", classifier)]
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    return jaccard_join.keep_one(docs)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as their source's weight asks for."""
+    return mixing.mix(docs)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, round_trip and ids of each document in the mix."""
+    return sentencepiece_codec.encode(docs)
+
+
+STAGES = [
+    ("quality_rules", rules),
+    ("quality_classifier", classifier),
+    ("jaccard_join", near_duplicates),
+    ("mixing", mixture),
+    ("sentencepiece", tokens),
+]
 
 #: The stages learn and iterate, which SQL does not express; tests hold them against brute force.
 ORACLE_SQL = None
