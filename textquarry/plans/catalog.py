@@ -6,6 +6,35 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+Query = Callable[[SparkSession, str], DataFrame]
 FLAGSHIP = "bm25_top_passages"
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def query(sql: str | None = None) -> Callable[[Callable], Query]:
+    """Registers a function of (tables by name) under its own name. `tables` are looked up when called."""
+
+    def register(f: Callable) -> Query:
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return f(lambda name: table(spark, sf_dir, name))
+
+        run.__name__, run.__doc__ = f.__name__, f.__doc__
+        QUERIES[f.__name__] = run
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return run
+
+    return register
+
+
+def load() -> None:
+    """Imports all modules that register queries."""
+    from textquarry.plans import change_queries, graph_queries, log_queries, report_queries, text_queries  # noqa: F401
+
+
+load()
