@@ -7,8 +7,10 @@ from pyspark.sql import DataFrame, functions as F
 from textquarry.llm.scratch import stored
 
 
-def _state(edges: DataFrame) -> tuple[int, int]:
-    return tuple(edges.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first())
+def _settled(edges: DataFrame) -> bool:
+    """Whether every node points to one node that points nowhere: then the steps change nothing more."""
+    roles = edges.select(F.col("u").alias("x"), F.lit(1).alias("out")).union(edges.select("v", F.lit(0)))
+    return roles.groupBy("x").agg(F.sum("out").alias("n"), F.min("out").alias("m")).where("n > 1 or (n > 0 and m = 0)").isEmpty()
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -22,20 +24,18 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return least.select("u", F.col("m").alias("v")).union(edges.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct()
 
 
-def components(links: DataFrame, most_rounds: int = 100) -> DataFrame:
+def components(links: DataFrame, rounds: int | None = None) -> DataFrame:
     """(node, root) for every node of `links` (a, b) that isn't its component's smallest node; root is that smallest node.
 
     Edges only ever point from a node to a smaller one, so the result is a star around each root. Each round is written to the shared folder;
-    no round gathers a component in one task: minima are pre-aggregated and the joins are plain equi-joins that Spark may split.
+    no round gathers a component in one task: minima are pre-aggregated and the joins are plain equi-joins that Spark may split. With `rounds`
+    it stops after so many: each node then has a root of its own component, though not always the smallest.
     """
     edges = stored(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    before = _state(edges)
-    for _ in range(most_rounds if before[0] else 0):
+    done = 0
+    while (done < rounds) if rounds is not None else not _settled(edges):
         edges = stored(_small_star(_large_star(edges)))
-        now = _state(edges)
-        if now == before:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        before = now
-    if before[0]:
-        raise RuntimeError(f"components did not settle in {most_rounds} rounds")
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+        done += 1
+    if rounds is None:
+        return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    return edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root"))

@@ -5,9 +5,9 @@ threshold share a token of their prefixes under any one order; the first order f
 that sizes, positions and a 1024-bit parity sketch of each set give. For what is left, prefixes under two more orders (hashes up and down) have
 to share a token too before whole sets are compared.
 
-Only connectivity is asked for, so candidates are taken in two steps: each token's documents against a few leaders of that token, which joins
-most copies, and then all pairs of a token that still lie in different components. A pair is skipped only when its ends are already connected
-by verified links, so components are those of all links.
+Only connectivity is asked for, so candidates are taken in steps: each token's documents against a few leaders of that token, more of them for
+what is left in each step, which joins most copies, and then all pairs of a token that still lie in different components. A pair is skipped
+only when its ends are already connected by verified links, so components are those of all links.
 """
 
 from __future__ import annotations
@@ -31,7 +31,8 @@ NUM, DEN = 75, 100
 SKETCH_BITS = 24
 _BLOCK_BITS = 16
 _ID_BITS = 22
-LEADERS = 2
+#: Leaders of each token in each step.
+LEADERS = (2, 4, 8)
 #: 64-bit words of a set's parity sketch: bit i tells whether an odd number of its tokens hash to i.
 PARITY_WORDS = 16
 
@@ -144,9 +145,9 @@ def _adder(kind: type):
     return added
 
 
-def _classes(survey: DataFrame, sketch_bits: int) -> np.ndarray:
-    """For each counter the class of its shingles: 0 for rare ones, else the log2 of the count. Blocks are added up in two steps, a few dozen
-    partitions' at a time first, and one byte for each counter comes back."""
+def _classes(survey: DataFrame, sketch_bits: int) -> tuple[np.ndarray, int]:
+    """For each counter the class of its shingles, 8 times the log2 of the count, and the class from which shingles are surely shared. Blocks are
+    added up in two steps, a few dozen partitions' at a time first, and one byte for each counter comes back."""
     blocks = survey.where("kind = 1").select("key", "counts")
     first = blocks.groupBy("key", (F.xxhash64("counts") % 64).alias("some")).applyInArrow(_adder(np.uint8), "key long, counts binary")
     summed = stored(first.groupBy("key").applyInArrow(_adder(np.int64), "key long, counts binary"))
@@ -156,20 +157,20 @@ def _classes(survey: DataFrame, sketch_bits: int) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array([int(np.frombuffer(x, np.int64).sum()) for x in batch.column("counts").to_pylist()], pa.int64())], ["c"])
 
     total = summed.select("counts").mapInArrow(totals, "c long").agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
-    least = 8 + 4 * total / (1 << sketch_bits)
+    shared = int(8 * np.log2(16 + 4 * total / (1 << sketch_bits)))
 
     def classed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
             for x in batch.column("counts").to_pylist():
                 c = np.frombuffer(x, np.int64)
-                found.append(np.where(c > least, np.floor(np.log2(np.maximum(c, 1))) + 1, 0).astype(np.uint8).tobytes())
+                found.append(np.minimum(8 * np.log2(np.maximum(c, 1)), 255).astype(np.uint8).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(found, pa.binary())], ["key", "kinds"])
 
     out = np.zeros(1 << sketch_bits, np.uint8)
     for key, kinds in summed.mapInArrow(classed, "key long, kinds binary").collect():
         out[key << _BLOCK_BITS : (key << _BLOCK_BITS) + len(kinds)] = np.frombuffer(kinds, np.uint8)
-    return out
+    return out, shared
 
 
 def _prefixes(docs: DataFrame, classes, wanted, sketch_bits: int, num: int, den: int) -> DataFrame:
@@ -181,12 +182,13 @@ def _prefixes(docs: DataFrame, classes, wanted, sketch_bits: int, num: int, den:
             row, h = shingles(data, offsets)
             some = _marked(wanted.value, rows)[row]
             row, h = row[some], h[some]
-            kind = classes.value[(h >> np.uint64(64 - sketch_bits)).astype(np.int64)]
+            kinds, least = classes.value
+            kind = kinds[(h >> np.uint64(64 - sketch_bits)).astype(np.int64)]
             row, h = _ordered(row, h, kind)
             size, pos = _positions(row, rows.num_rows)
             head = pos < _prefix(size, num, den)[row]
             row, h, pos = row[head], h[head], pos[head]
-            shared = classes.value[(h >> np.uint64(64 - sketch_bits)).astype(np.int64)] > 0
+            shared = kinds[(h >> np.uint64(64 - sketch_bits)).astype(np.int64)] > least
             doc = rows.column("doc_id").take(pa.array(row))
             salt = np.where(shared, 1 + np.asarray(rows.column("slot"))[row] % 63, 0).astype(np.int64)
             yield pa.RecordBatch.from_arrays([_signed(h), doc, pa.array((salt << 56) | (size[row] << 28) | pos)], ["token", "doc", "packed"])
@@ -254,7 +256,7 @@ def _checked(pairs: DataFrame, docs: DataFrame, num: int, den: int) -> DataFrame
         spark.sql(f"drop table if exists {name}")
 
 
-def links_for_components(docs: DataFrame, survey: DataFrame, sketch_bits: int = SKETCH_BITS, num: int = NUM, den: int = DEN, leaders: int = LEADERS) -> DataFrame:
+def links_for_components(docs: DataFrame, survey: DataFrame, sketch_bits: int = SKETCH_BITS, num: int = NUM, den: int = DEN, leaders: tuple[int, ...] = LEADERS) -> DataFrame:
     """(node, root) over representatives of equal sets."""
     sc = docs.sparkSession.sparkContext
     sets = survey.where("kind = 0 and n > 0 and key is not null")
@@ -267,21 +269,29 @@ def links_for_components(docs: DataFrame, survey: DataFrame, sketch_bits: int =
     shared = every.withColumn("m", F.count("*").over(Window.partitionBy("token", "salt"))).where("m > 1 or salt > 0")
     shared = shared.select("token", "doc", F.shiftright("packed", 28).bitwiseAND((1 << 28) - 1).cast("int").alias("n"), F.col("packed").bitwiseAND((1 << 28) - 1).cast("int").alias("pos"))
     prefixes = stored(shared.join(profiles.select("doc"), "doc", "left_semi"))
-    best = [F.min_by(F.struct("doc", "n", "pos"), F.xxhash64("doc", F.lit(k))) for k in range(leaders)]
-    led = prefixes.groupBy("token").agg(F.count("*").alias("m"), F.array_distinct(F.array(*best)).alias("l")).where("m > 1").select("token", "l")
-    found = prefixes.alias("x").join(led, "token").withColumn("l", F.explode("l")).where("x.doc <> l.doc").where(_possible(num, den, "x", "l")).select(F.col("x.doc").alias("a"), F.col("l.doc").alias("b"))
-    tested = stored(_near(_pairs(found), profiles, num, den))
-    links = _checked(tested, docs, num, den)
-    roots = components(links)
+    roots = links = None
+    for step, many in enumerate(leaders):
+        x = prefixes.withColumn("root", F.col("doc")) if roots is None else prefixes.join(roots.withColumnRenamed("node", "doc"), "doc", "left").withColumn("root", F.coalesce("root", "doc"))
+        best = [F.min_by(F.struct("doc", "n", "pos", "root"), F.xxhash64("doc", F.lit(f"{step}.{k}"))) for k in range(many)]
+        led = x.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.array_distinct(F.array(*best)).alias("l")).where("low < high").select("token", "l")
+        found = x.alias("x").join(led, "token").withColumn("l", F.explode("l")).where("x.root <> l.root").where(_possible(num, den, "x", "l")).select(F.col("x.doc").alias("a"), F.col("l.doc").alias("b"))
+        found = stored(_near(_pairs(found), profiles, num, den))
+        if found.isEmpty():
+            break
+        got = _checked(found, docs, num, den)
+        links = got if links is None else links.union(got)
+        roots = components(links if roots is None else got.union(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))), rounds=2)
+    if roots is None:
+        return components(profiles.select(F.col("doc").alias("a"), F.col("doc").alias("b")).limit(0))
     x = prefixes.join(roots.withColumnRenamed("node", "doc"), "doc", "left").withColumn("root", F.coalesce("root", "doc"))
     spread = x.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("token")
     rest = stored(x.join(spread, "token", "left_semi"))
     found = rest.alias("x").join(rest.alias("y"), "token").where("x.doc < y.doc and x.root <> y.root").where(_possible(num, den, "x", "y")).select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b"))
-    found = stored(_near(_pairs(found).join(tested, ["a", "b"], "left_anti"), profiles, num, den))
-    return roots if found.isEmpty() else components(links.union(_checked(found, docs, num, den)))
+    found = stored(_near(_pairs(found), profiles, num, den))
+    return components(links if found.isEmpty() else links.union(_checked(found, docs, num, den)))
 
 
-def link(docs: DataFrame, sketch_bits: int = SKETCH_BITS, num: int = NUM, den: int = DEN, leaders: int = LEADERS) -> DataFrame:
+def link(docs: DataFrame, sketch_bits: int = SKETCH_BITS, num: int = NUM, den: int = DEN, leaders: tuple[int, ...] = LEADERS) -> DataFrame:
     """One row per row of `docs`: doc_id, n_shingles, component_id.
 
     component_id is the smallest doc_id that links lead to, itself included. Documents with equal sets are one representative throughout. A
