@@ -178,7 +178,8 @@ def link(vectors: DataFrame, threshold: float = THRESHOLD, shard_rows: int = SHA
             return pa.concat_tables([_table(1, vec, vec, n, 0, 0, 0), _table(1, edges[:, 0], edges[:, 1], np.zeros(len(edges)), 0, 0, 0)])
 
         keys = ["label", "dim", "target", "block"]
-        far = asked.groupBy(*keys).cogroup(graphs.unionByName(members).groupBy(*keys)).applyInArrow(across, _OUT_TYPES)
+        shards = graphs.unionByName(members).withColumnsRenamed({k: f"of_{k}" for k in keys})
+        far = asked.groupBy(*keys).cogroup(shards.groupBy(*[f"of_{k}" for k in keys])).applyInArrow(across, _OUT_TYPES)
         results = stored(results.union(far.select("vec", "other", "n")))
     roots = components(results.where("vec <> other").select(F.col("vec").alias("a"), F.col("other").alias("b")))
     counts = results.groupBy("vec").agg(F.sum("n").alias("n"))

@@ -23,6 +23,7 @@ BLOCKS = frozenset(
     "table tbody td tfoot th thead tr ul".split()
 )
 CONTAINERS = frozenset("article body div main section td table blockquote html ul ol li dl figure tr tbody fieldset details center".split())
+SCORED = frozenset("article body center div main section table td blockquote".split())
 CLOSES_P = BLOCKS - {"body", "html", "head", "li", "dd", "dt", "td", "th", "tr", "tbody", "thead", "tfoot", "legend", "summary", "figcaption"}
 AVOIDED = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe nav navbar navigation menu breadcrumb "
@@ -135,11 +136,8 @@ class _Page:
         for node, text, in_links in self.blocks:
             value = 1 + text.count(",") + min(len(text) / 100, 3.0) - (in_links / len(text)) * 4
             level, part = node, 1.0
-            if self.tag[node] not in CONTAINERS:
-                while level > 0 and self.tag[level] not in CONTAINERS:
-                    level = self.parent[level]
             while level >= 0:
-                if self.tag[level] in CONTAINERS or level == 0:
+                if self.tag[level] in SCORED or level == 0:
                     points[level] += value * part
                     part /= 2
                 level = self.parent[level]
@@ -149,15 +147,15 @@ class _Page:
                 linked[level] += in_links
                 level = self.parent[level]
         score = [p * (1 - k / s) + (25 if t in ("article", "main") else 0) if s else -1e9 for p, s, k, t in zip(points, size, linked, self.tag, strict=True)]
-        candidates = [i for i in range(n) if size[i] and (self.tag[i] in CONTAINERS or i == 0)]
+        candidates = [i for i in range(n) if size[i] and (self.tag[i] in SCORED or i == 0)]
         if not candidates:
             return []
         best = max(candidates, key=lambda i: (score[i], -i))
         chosen = {best}
         if best:
-            limit = max(10.0, 0.2 * score[best])
+            limit = 0.2 * score[best]
             for i in range(n):
-                if i != best and self.parent[i] == self.parent[best] and size[i] and not self.cut[i] and linked[i] < 0.25 * size[i] and (score[i] >= limit and self.tag[i] in CONTAINERS or self.tag[i] == "p" and size[i] > 80):
+                if i != best and self.parent[i] == self.parent[best] and size[i] and not self.cut[i] and linked[i] < 0.25 * size[i] and (score[i] >= limit and self.tag[i] in SCORED or self.tag[i] == "p" and size[i] > 80):
                     chosen.add(i)
         inside = [False] * n
         for i in range(n):
