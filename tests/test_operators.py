@@ -124,7 +124,7 @@ def test_rules_on_code(code):
     assert {(r["path"], r["pattern"]) for r in rules.path_evidence(code, PATH_RULES).collect()} == {("src/factory_a.py", "Factory"), ("src/models/x.py", "MVC")}
     whole = found.join(code.select("path", "project"), "path")
     assert rules.summary(rules.robust(rules.patterns_by_project(whole, ["project"], language="language")), CATEGORIES).count() > 0
-    assert len(RULES) == 85 + 2 - 2 or len(RULES) > 80
+    assert len(RULES) > 80 and len({r.rule_id for r in RULES}) == len(RULES)
 
 
 def test_confidence_steps(spark):
@@ -169,7 +169,7 @@ def test_dependency_graph(spark, modules):
     }
     assert nodes.where("type = 'external'").count() == 2
     back = {r["path"]: r["importers"] for r in graph.imported_by(modules).collect()}
-    assert back == {"src/b.py": ["src/a.py"], "src/c.py": ["src/a.py"], "lib/c.py": ["src/a.py"], "src/a.py": ["src/b.py"]}
+    assert back == {"src/b.py": ["src/a.py"], "src/a.py": ["src/b.py"]}
     shown, kept = graph.visible(nodes.withColumn("patterns", F.array(F.lit("X"))), edges, pattern="X")
     assert kept.where("target like 'external%'").count() == 0 and shown.where("flagged").count() == 5
     near, touching = graph.neighbourhood(edges, spark.createDataFrame([("src/b.py",)], "id string"))
@@ -226,10 +226,9 @@ def test_tolerant_json(spark):
 
 
 def test_latent_and_approximate_vectors(spark, sf):
-    docs = spark.read.parquet(f"{sf}/documents.parquet").where("doc_id < 60")
-    weights = vectors.tf_idf(docs, features=300)
-    v = vectors.latent_vectors(weights, 20)
-    assert v.count() == 60
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where("doc_id < 40").coalesce(1)
+    v = vectors.latent_vectors(vectors.tf_idf(docs, features=60).coalesce(1), 5)
+    assert v.count() == 40
     e = spark.read.parquet(f"{sf}/embeddings.parquet")
     asked = e.where("vec_id % 25 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
     exact = {(r["query_id"], r["vec_id"]) for r in vectors.nearest(vectors.cosine_scores(e, asked), 5).collect()}

@@ -127,13 +127,17 @@ def imports(corpus: DataFrame, patterns: dict[str, str] | None = None) -> DataFr
     return python_facts(corpus).where("kind = 'import'").select("path", F.col("name").alias("module")).unionByName(others)
 
 
+def _named(names: Column, kind: Column) -> Column:
+    return F.transform(names, lambda n: F.struct(kind.alias("kind"), n.alias("name")))
+
+
 def definitions(corpus: DataFrame, most_cpp: int = 20) -> DataFrame:
     """(path, kind, name): classes (tables and views in SQL, tags in HTML, components in scripts) and functions, distinct in each file."""
     c = F.col("content")
     one = F.array().cast("array<struct<kind:string,name:string>>")
     for language in _KINDS:
         kind = {"sql": "table", "html": "tag"}.get(language, "class")
-        names = F.transform(extract_distinct(c, _CLASSES[language]), lambda n, k=kind: F.struct(F.lit(k).alias("kind"), n.alias("name")))
+        names = _named(extract_distinct(c, _CLASSES[language]), F.lit(kind))
         if language in _FUNCTIONS:
             calls = extract_distinct(c, _FUNCTIONS[language])
             if language == "js":
@@ -141,8 +145,11 @@ def definitions(corpus: DataFrame, most_cpp: int = 20) -> DataFrame:
             calls = F.filter(calls, lambda n: ~n.isin(*_NOT_FUNCTIONS))
             if language == "cpp":
                 calls = F.slice(calls, 1, most_cpp)
-            kinds = lambda n: F.struct(F.when(n.rlike("^[A-Z]") & F.lit(language == "js"), "component").otherwise("function").alias("kind"), n.alias("name"))  # noqa: E731,B023
-            names = F.concat(names, F.transform(calls, kinds))
+            if language == "js":
+                upper, lower = F.filter(calls, lambda n: n.rlike("^[A-Z]")), F.filter(calls, lambda n: ~n.rlike("^[A-Z]"))
+                names = F.concat(names, _named(upper, F.lit("component")), _named(lower, F.lit("function")))
+            else:
+                names = F.concat(names, _named(calls, F.lit("function")))
         one = F.when(_kind(language), names).otherwise(one)
     others = corpus.where(~F.lower("path").endswith(".py")).select("path", F.explode(one).alias("d")).select("path", "d.kind", "d.name")
     return python_facts(corpus).where("kind in ('class', 'function')").select("path", "kind", "name").distinct().unionByName(others)

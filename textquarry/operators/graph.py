@@ -70,7 +70,8 @@ def distinct_edges(edges: DataFrame, order: str, by: tuple[str, ...] = ()) -> Da
 def neighbourhood(edges: DataFrame, starts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) around a set of start nodes (id): the starts, what they touch, and the edges that touch them."""
     s = starts.select("id").distinct()
-    touching = edges.join(s.withColumnRenamed("id", "source"), "source", "left_semi").union(edges.join(s.withColumnRenamed("id", "target"), "target", "left_semi").select(*edges.columns)).distinct()
+    out = edges.join(s.withColumnRenamed("id", "source"), "source", "left_semi").select(*edges.columns)
+    touching = out.union(edges.join(s.withColumnRenamed("id", "target"), "target", "left_semi").select(*edges.columns)).distinct()
     nodes = s.union(touching.select("source")).union(touching.select("target")).distinct()
     return nodes, touching
 

@@ -89,7 +89,7 @@ def latent_vectors(weights: DataFrame, dimensions: int = 256, key: str = "doc_id
     n = len(number)
     rows = grouped.rdd.map(lambda r: IndexedRow(r[0], Vectors.sparse(n, {shared.value[x["term"]]: x["weight"] for x in r["f"]})))
     found = IndexedRowMatrix(rows).computeSVD(min(dimensions, max(n - 1, 1)), computeU=True)
-    scale = list(found.s.toArray())
+    scale = [float(x) for x in found.s.toArray()]
     projected = found.U.rows.map(lambda r: (int(r.index), [float(u) * s for u, s in zip(r.vector.toArray(), scale, strict=False)]))
     return weights.sparkSession.createDataFrame(projected, f"{key} long, embedding array<double>").withColumn("embedding", unit(F.col("embedding")))
 

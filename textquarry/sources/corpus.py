@@ -16,12 +16,17 @@ SKIP_FILES = (
     "*.bundle.js", "*.chunk.js",
 )
 
-CORPUS = T.StructType.fromDDL("project string, path string, content string, size bigint, mtime double, language string")
-SNAPSHOT = T.StructType.fromDDL("project string, path string, size bigint, mtime double, checksum string")
-MODULES = T.StructType.fromDDL(
-    "project string, path string, full_path string, name string, purpose string, public_interface array<string>, dependencies array<string>, critical_path boolean, edit_hints string, language string"
-)
-ARTIFACTS = T.StructType.fromDDL("artifact_type string, artifact_id string, name string, description string, evidence array<string>, handling string, confidence double, source_file string")
+_TYPES = {"string": T.StringType(), "bigint": T.LongType(), "double": T.DoubleType(), "boolean": T.BooleanType(), "array<string>": T.ArrayType(T.StringType())}
+
+
+def _struct(ddl: str) -> T.StructType:
+    return T.StructType([T.StructField(n, _TYPES[t]) for n, t in (x.split() for x in ddl.split(", "))])
+
+
+CORPUS = _struct("project string, path string, content string, size bigint, mtime double, language string")
+SNAPSHOT = _struct("project string, path string, size bigint, mtime double, checksum string")
+MODULES = _struct("project string, path string, full_path string, name string, purpose string, public_interface array<string>, dependencies array<string>, critical_path boolean, edit_hints string, language string")
+ARTIFACTS = _struct("artifact_type string, artifact_id string, name string, description string, evidence array<string>, handling string, confidence double, source_file string")
 
 
 def scanned(files: DataFrame, extensions: tuple[str, ...] = tuple(LANGUAGES), skip_folders: tuple[str, ...] = SKIP_FOLDERS, skip_files: tuple[str, ...] = SKIP_FILES) -> DataFrame:
