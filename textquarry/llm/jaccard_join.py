@@ -256,6 +256,13 @@ def _checked(pairs: DataFrame, docs: DataFrame, num: int, den: int) -> DataFrame
         spark.sql(f"drop table if exists {name}")
 
 
+def _open(prefixes: DataFrame, roots: DataFrame) -> DataFrame:
+    """The prefix rows, with their documents' roots, of tokens whose documents lie in several components. A token that is closed stays so."""
+    x = prefixes.drop("root").join(roots.withColumnRenamed("node", "doc"), "doc", "left").withColumn("root", F.coalesce("root", "doc"))
+    spread = x.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("token")
+    return stored(x.join(spread, "token", "left_semi"))
+
+
 def links_for_components(docs: DataFrame, survey: DataFrame, sketch_bits: int = SKETCH_BITS, num: int = NUM, den: int = DEN, leaders: tuple[int, ...] = LEADERS) -> DataFrame:
     """(node, root) over representatives of equal sets."""
     sc = docs.sparkSession.sparkContext
@@ -270,11 +277,13 @@ def links_for_components(docs: DataFrame, survey: DataFrame, sketch_bits: int =
     shared = shared.select("token", "doc", F.shiftright("packed", 28).bitwiseAND((1 << 28) - 1).cast("int").alias("n"), F.col("packed").bitwiseAND((1 << 28) - 1).cast("int").alias("pos"))
     prefixes = stored(shared.join(profiles.select("doc"), "doc", "left_semi"))
     roots = links = None
+    rest = prefixes.withColumn("root", F.col("doc"))
     for step, many in enumerate(leaders):
-        x = prefixes.withColumn("root", F.col("doc")) if roots is None else prefixes.join(roots.withColumnRenamed("node", "doc"), "doc", "left").withColumn("root", F.coalesce("root", "doc"))
+        if roots is not None:
+            rest = _open(rest, roots)
         best = [F.min_by(F.struct("doc", "n", "pos", "root"), F.xxhash64("doc", F.lit(f"{step}.{k}"))) for k in range(many)]
-        led = x.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.array_distinct(F.array(*best)).alias("l")).where("low < high").select("token", "l")
-        found = x.alias("x").join(led, "token").withColumn("l", F.explode("l")).where("x.root <> l.root").where(_possible(num, den, "x", "l")).select(F.col("x.doc").alias("a"), F.col("l.doc").alias("b"))
+        led = rest.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.array_distinct(F.array(*best)).alias("l")).where("low < high").select("token", "l")
+        found = rest.alias("x").join(led, "token").withColumn("l", F.explode("l")).where("x.root <> l.root").where(_possible(num, den, "x", "l")).select(F.col("x.doc").alias("a"), F.col("l.doc").alias("b"))
         found = stored(_near(_pairs(found), profiles, num, den))
         if found.isEmpty():
             break
@@ -283,9 +292,7 @@ def links_for_components(docs: DataFrame, survey: DataFrame, sketch_bits: int =
         roots = components(links if roots is None else got.union(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))), rounds=2)
     if roots is None:
         return components(profiles.select(F.col("doc").alias("a"), F.col("doc").alias("b")).limit(0))
-    x = prefixes.join(roots.withColumnRenamed("node", "doc"), "doc", "left").withColumn("root", F.coalesce("root", "doc"))
-    spread = x.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("token")
-    rest = stored(x.join(spread, "token", "left_semi"))
+    rest = _open(rest, roots)
     found = rest.alias("x").join(rest.alias("y"), "token").where("x.doc < y.doc and x.root <> y.root").where(_possible(num, den, "x", "y")).select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b"))
     found = stored(_near(_pairs(found), profiles, num, den))
     return components(links if found.isEmpty() else links.union(_checked(found, docs, num, den)))
