@@ -13,6 +13,7 @@ only when its ends are already connected by verified links, so components are th
 from __future__ import annotations
 
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -132,15 +133,15 @@ def _survey(docs: DataFrame, sketch_bits: int) -> DataFrame:
             block = seen[k : k + (1 << _BLOCK_BITS)]
             if block.any():
                 none = pa.nulls(1, pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), pa.array([k >> _BLOCK_BITS]), pa.nulls(1, pa.int32()), none, none, pa.array([block.tobytes()], pa.binary()), *([none] * PARITY_WORDS)], _SURVEY)
+                yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), pa.array([k >> _BLOCK_BITS]), pa.nulls(1, pa.int32()), none, none, pa.array([zlib.compress(block.tobytes(), 1)], pa.binary()), *([none] * PARITY_WORDS)], _SURVEY)
 
     return docs.mapInArrow(part, "kind int, key long, n int, s1 long, s2 long, counts binary, " + ", ".join(f"p{i} long" for i in range(PARITY_WORDS)))
 
 
 def _adder(kind: type):
     def added(batches: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x, kind).astype(np.int64) for x in batches.column("counts").to_pylist())
-        return pa.table({"key": batches.column("key")[:1], "counts": pa.array([total.tobytes()], pa.binary())})
+        total = sum(np.frombuffer(zlib.decompress(x), kind).astype(np.int64) for x in batches.column("counts").to_pylist())
+        return pa.table({"key": batches.column("key")[:1], "counts": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
 
     return added
 
@@ -149,12 +150,13 @@ def _classes(survey: DataFrame, sketch_bits: int) -> tuple[np.ndarray, int]:
     """For each counter the class of its shingles, 8 times the log2 of the count, and the class from which shingles are surely shared. Blocks are
     added up in two steps, a few dozen partitions' at a time first, and one byte for each counter comes back."""
     blocks = survey.where("kind = 1").select("key", "counts")
-    first = blocks.groupBy("key", (F.xxhash64("counts") % 64).alias("some")).applyInArrow(_adder(np.uint8), "key long, counts binary")
+    most = blocks.groupBy("key").agg(F.count("*").alias("m")).agg(F.coalesce(F.max("m"), F.lit(1))).first()[0]
+    first = blocks.groupBy("key", F.pmod(F.xxhash64("counts"), F.lit(-(-most // 32))).alias("some")).applyInArrow(_adder(np.uint8), "key long, counts binary")
     summed = stored(first.groupBy("key").applyInArrow(_adder(np.int64), "key long, counts binary"))
 
     def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([int(np.frombuffer(x, np.int64).sum()) for x in batch.column("counts").to_pylist()], pa.int64())], ["c"])
+            yield pa.RecordBatch.from_arrays([pa.array([int(np.frombuffer(zlib.decompress(x), np.int64).sum()) for x in batch.column("counts").to_pylist()], pa.int64())], ["c"])
 
     total = summed.select("counts").mapInArrow(totals, "c long").agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
     shared = int(8 * np.log2(16 + 4 * total / (1 << sketch_bits)))
@@ -163,7 +165,7 @@ def _classes(survey: DataFrame, sketch_bits: int) -> tuple[np.ndarray, int]:
         for batch in batches:
             found = []
             for x in batch.column("counts").to_pylist():
-                c = np.frombuffer(x, np.int64)
+                c = np.frombuffer(zlib.decompress(x), np.int64)
                 found.append(np.minimum(8 * np.log2(np.maximum(c, 1)), 255).astype(np.uint8).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(found, pa.binary())], ["key", "kinds"])
 
