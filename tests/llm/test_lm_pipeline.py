@@ -92,3 +92,32 @@ def test_pipeline_stages_chain(spark, sf):
 def test_run_equals_its_stages(spark, sf):
     got = corpus_pipeline.run(spark, sf)
     assert got.columns == ["doc_id", "n_tokens", "round_trip", "ids"] and got.count() > 0
+
+
+def test_mixing_weights_come_from_all_training_documents(spark, monkeypatch):
+    """Also a table without documents of any one residue learns its weights, and each training decision is met once."""
+    rows = [(i, f"text number {i} says hello to the world, " * 5) for i in range(200) if zlib.crc32(str(i).encode()) % 25 and zlib.crc32(str(i).encode()) % 5 != 1]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    seen, weights = [], lm_scoring._weights
+    monkeypatch.setattr(lm_scoring, "_weights", lambda train, *rest: seen.append((train.count(), weights(train, *rest))) or seen[-1][1])
+    assert lm_scoring.score(docs).count() == len(rows)
+    assert seen[0][0] == len(rows) and not np.array_equal(seen[0][1], cm.first_weights())
+
+
+def test_own_decisions_are_taken_out_text_by_text():
+    tree = cm.tree_of(np.bincount(np.frombuffer(b"abc" * 50, np.uint8), minlength=256))
+    d = cm.decisions(np.frombuffer(b"abcabcabab", np.uint8), np.array([0, 6, 10]), tree)
+    counts = []
+    for slot, (_, bits) in zip(d.slots, cm.ORDERS, strict=True):
+        c = np.zeros((1 << bits, 2), np.uint16)
+        np.add.at(c, (slot, d.turn), 1)
+        counts.append(c)
+    scratch = np.zeros((1 << max(bits for _, bits in cm.ORDERS), 2), np.int32)
+    x, _ = cm.inputs_without_self(d, counts, scratch)
+    assert not scratch.any()
+    for k, slot in enumerate(d.slots):
+        for begin, end in ((d.begin[0], d.begin[1]), (d.begin[1], d.begin[2])):
+            for j in range(begin, end):
+                others = [i for i in range(len(slot)) if slot[i] == slot[j] and not begin <= i < end]
+                zeros, ones = sum(d.turn[i] == 0 for i in others), sum(d.turn[i] == 1 for i in others)
+                assert x[j, k] == pytest.approx(np.log((ones + cm.SOFT) / (zeros + cm.SOFT)), rel=1e-4, abs=1e-4)
