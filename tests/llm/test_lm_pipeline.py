@@ -121,3 +121,34 @@ def test_own_decisions_are_taken_out_text_by_text():
                 others = [i for i in range(len(slot)) if slot[i] == slot[j] and not begin <= i < end]
                 zeros, ones = sum(d.turn[i] == 0 for i in others), sum(d.turn[i] == 1 for i in others)
                 assert x[j, k] == pytest.approx(np.log((ones + cm.SOFT) / (zeros + cm.SOFT)), rel=1e-4, abs=1e-4)
+
+
+def test_low_orders_predict_where_longer_contexts_are_new():
+    learnt = b"x1ab y2ab z3ab w4ab " * 50
+    tree = cm.tree_of(np.bincount(np.frombuffer(learnt, np.uint8), minlength=256))
+    d = cm.decisions(np.frombuffer(learnt, np.uint8), np.array([0, len(learnt)]), tree)
+    counts = [np.zeros((1 << bits, 2), np.uint16) for _, bits in cm.ORDERS]
+    for c, slot in zip(counts, d.slots, strict=True):
+        np.add.at(c, (slot, d.turn), 1)
+    new = cm.decisions(np.frombuffer(b"4w3zab", np.uint8), np.array([0, 6]), tree)  # only "a", seen often, predicts "b"
+    odds, _ = cm.inputs_packed(new, [cm.packed(c) for c in counts])
+    b = slice(len(new.turn) - tree.length[ord("b")] - tree.length[cm.END], len(new.turn) - tree.length[cm.END])
+    assert {k for k, _ in cm.ORDERS} >= {1, 2, 3, 5, 0}
+    assert all(any(abs(v[i]) > 3 for v in odds) for i in range(b.start, b.stop))
+
+
+def test_short_texts_are_refined():
+    """A text of some hundred bytes scores better than by its first weights, and alone the same as beside others."""
+    text = b"qz" * 100
+    tree = cm.tree_of(np.zeros(256, np.int64))
+    tables = [cm.packed(np.tile([[1, 3]], (1 << bits, 1))) for _, bits in cm.ORDERS]
+    w = cm.first_weights()
+    d = cm.decisions(np.frombuffer(text, np.uint8), np.array([0, len(text)]), tree)
+    odds, gate = cm.inputs_packed(d, tables)
+    z = sum(w[gate, k] * v for k, v in enumerate(odds)) + w[gate, -1] * cm.CONSTANT
+    fixed = -np.log10(1 + np.exp(-z * (2 * d.turn - 1))).sum()
+    alone = cm.log10_probabilities(d, tables, w)[0]
+    assert len(d.turn) < 2048 and alone > fixed + 1
+    many = [b"", text, b"other words " * 40, text, b"a"]
+    together = cm.log10_probabilities(cm.decisions(np.frombuffer(b"".join(many), np.uint8), np.cumsum([0, *map(len, many)]), tree), tables, w)
+    assert together[1] == together[3] == pytest.approx(alone, rel=1e-9)
