@@ -76,6 +76,24 @@ def test_odd_html(html, text):
     assert html_text.main_text(html) == text
 
 
+@pytest.mark.parametrize("n", [1, 7, 60])
+def test_long_articles_keep_what_short_ones_keep(n):
+    part = "A sentence of the article, with commas, and of some length, as in the news. " * 4
+    inner = f"<header><p>By me</p></header><p>Lead.</p><div class='body'>{f'<p>{part}</p>' * n}</div><ul><li>point</li></ul><pre>code</pre><dl><dt>term<dd>meaning</dl><figure><figcaption>Caption</figcaption></figure>"
+    want = ["Head", "By me", "Lead.", *[part.strip()] * n, "point", "code", "term", "meaning", "Caption"]
+    for tag in ("article", "main"):
+        html = f"<body><nav><a href=/>Home</a></nav><{tag}><h1>Head</h1>{inner}</{tag}><div><a href='/x'>More, more, more</a></div><footer>F</footer></body>"
+        assert html_text.main_text(html) == "\n".join(want)
+    html = f"<body><div id='content'><h1>Head</h1>{inner.replace('header>', 'div>')}</div><div class='related'><p>Other, other</p></div></body>"
+    assert html_text.main_text(html) == "\n".join(want)
+
+
+def test_short_sections_beside_long_ones_stay():
+    part = "A sentence of the text, with commas, and of some length. " * 6
+    html = f"<body><div><section>{f'<p>{part}</p>' * 12}</section><section><p>Short, but part of it.</p></section><section><a href='/l'>Link list</a></section></div></body>"
+    assert html_text.main_text(html) == "\n".join([part.strip()] * 12 + ["Short, but part of it."])
+
+
 def test_extract_rows(spark, sf):
     pages = spark.read.parquet(f"{sf}/pages.parquet")
     got = html_text.extract(pages).collect()

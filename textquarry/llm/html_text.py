@@ -1,7 +1,8 @@
 """Main-text extraction from web pages by tree scoring.
 
 Paragraphs give points for length and commas to their ancestors, halved at each level up; a container's points are discounted by the share of
-its text that is links. The best container, and siblings with points near its own, hold the main text; page furniture is cut out before.
+its text that is links. The best container, or the article around it, and its siblings of less than a quarter links hold the main text; page
+furniture is cut out before.
 """
 
 from __future__ import annotations
@@ -130,6 +131,13 @@ class _Page:
             if name not in BLOCKS and tag in BLOCKS or name == "p" and tag in CONTAINERS:
                 return
 
+    def _whole(self, node: int) -> int:
+        """The nearest article or main that holds the node, else the node."""
+        level = node
+        while level > 0 and self.tag[level] not in ("article", "main"):
+            level = self.parent[level]
+        return level if level > 0 else node
+
     def main_blocks(self) -> list[str]:
         n = len(self.tag)
         points, size, linked = [0.0] * n, [0] * n, [0] * n
@@ -151,12 +159,10 @@ class _Page:
         if not candidates:
             return []
         best = max(candidates, key=lambda i: (score[i], -i))
+        best = self._whole(best)
         chosen = {best}
         if best:
-            limit = 0.2 * score[best]
-            for i in range(n):
-                if i != best and self.parent[i] == self.parent[best] and size[i] and not self.cut[i] and linked[i] < 0.25 * size[i] and (score[i] >= limit and self.tag[i] in SCORED or self.tag[i] == "p" and size[i] > 80):
-                    chosen.add(i)
+            chosen.update(i for i in range(n) if self.parent[i] == self.parent[best] and size[i] and not self.cut[i] and linked[i] < 0.25 * size[i])
         inside = [False] * n
         for i in range(n):
             inside[i] = i in chosen or (self.parent[i] >= 0 and inside[self.parent[i]])
