@@ -152,3 +152,8 @@ def test_short_texts_are_refined():
     many = [b"", text, b"other words " * 40, text, b"a"]
     together = cm.log10_probabilities(cm.decisions(np.frombuffer(b"".join(many), np.uint8), np.cumsum([0, *map(len, many)]), tree), tables, w)
     assert together[1] == together[3] == pytest.approx(alone, rel=1e-9)
+
+
+def test_rare_turns_of_frequent_slots_stay():
+    c = lm_scoring._in_16_bits(np.array([[10_000_000, 1], [0, 9_000_000], [3, 5]]))
+    assert c.tolist() == [[65535, 1], [0, 65535], [3, 5]]
