@@ -3,6 +3,7 @@ import random
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from textquarry.llm import chat, embedding_dedup, html_text
 from textquarry.llm.small_world import SmallWorld, levels_of
@@ -150,6 +151,51 @@ def test_vectors_that_link_with_nothing(spark):
     assert embedding_dedup.keep_one(df.where("vec_id < 2")).count() == 1
 
 
+def test_links_found_from_one_end_count_for_both():
+    n, hub = 1000, 0
+    a = np.concatenate([np.arange(1, n), np.full(300, hub)])  # the hub found 300 of those that found it
+    b = np.concatenate([np.full(n - 1, hub), np.arange(1, 301)])
+    got = embedding_dedup._counts(n, a, b, np.ones(n, np.int64))
+    assert got[hub] == n - 1 and (got[1:] == 1).all()
+    assert (embedding_dedup._counts(n, b, a, np.ones(n, np.int64)) == got).all()
+
+
+def test_links_between_shards_count_for_both_ends(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for label in range(8):
+        centre = rng.normal(size=16)
+        rows += [(label * 1000 + i, (centre + rng.normal(size=16) * 0.25).tolist(), label) for i in range(90)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    for recall in (0.0, 0.99):  # narrow beams miss links, but never one end of a link
+        got = embedding_dedup.link(df, shard_rows=30, beam=2, audit_rows=8, recall=recall).groupBy(F.expr("vec_id div 1000")).agg(F.sum("n_links")).collect()
+        assert len(got) == 8 and all(r[1] % 2 == 0 for r in got)
+
+
+class _Misses:
+    """A graph whose narrow beams find those of large groups and miss pairs."""
+
+    def __init__(self, x):
+        self.x = x
+
+    def search(self, q, width, own=None):
+        sims = q @ self.x.T
+        if width < 256:
+            sims[(sims > 0.95).sum(axis=1) < 10] = -1
+        ids = np.argsort(-sims, axis=1)[:, :width]
+        return ids, np.take_along_axis(sims, ids, 1)
+
+
+def test_audit_holds_pairs_and_large_groups_apart():
+    x = np.zeros((1000, 500))
+    x[:200, 499] = 1
+    x[np.arange(200, 1000), np.arange(800) // 2] = 1  # 400 pairs
+    search = embedding_dedup._Search(_Misses(x.astype(np.float32)), x, 0.93)
+    assert search.audited(x, np.arange(1000), np.random.default_rng(0).permutation(1000), 16, 512, 0.99) >= 256
+    # the first queries have no link
+    assert search.audited(np.concatenate([-x[:512], x[200:]]), None, np.arange(1312), 16, 512, 0.99) >= 256
+
+
 def test_small_world_finds_neighbours():
     x = clusters(2)
     u = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)

@@ -1,8 +1,8 @@
 """Embedding near-dedup: small-world graphs per shard, every shard queried, beams widened until recall audits pass, links verified, components.
 
 Equal vectors are one representative with a count. A label's representatives are dealt to shards of at most about SHARD_ROWS; each shard's graph
-is built in one task and asked for the neighbours of its own vectors; where a label has several shards, the graphs are written and blocks of
-the label's other vectors are sent to each. A search's hits are counted where they are found and leave only an edge to their component inside
+is built in one task and asked for the neighbours of its own vectors; where a label has several shards, the graphs are written and each
+two of its shards are asked for each other's vectors. A search's hits are counted where they are found and leave only an edge to their component inside
 the shard, so that large groups never become lists of pairs.
 """
 
@@ -25,7 +25,9 @@ BEAM = 48
 #: Queries of each shard (the first by hash) whose hits are compared with all of the shard, and the share that has to be found.
 AUDIT_ROWS = 512
 RECALL = 0.99
-_FEW = 256
+_LINKED = 64
+_LINKS = 1 << 22
+_ROWS = 512
 _OUT = ["kind", "vec", "other", "n", "label", "dim", "shard", "graph"]
 _OUT_TYPES = "kind int, vec long, other long, n long, label int, dim int, shard int, graph binary"
 
@@ -70,18 +72,28 @@ class _Search:
         return np.concatenate([x[0] for x in out]), np.concatenate([x[1] for x in out])
 
     def audited(self, q: np.ndarray, own: np.ndarray | None, order: np.ndarray, width: int, rows: int, recall: float) -> int:
-        """The narrowest tried width that finds `recall` of what brute force finds for the audit's queries; all of the shard if none does."""
-        sample = order[:rows]
-        true = 0
-        for at in range(0, len(sample), 64):
-            some = sample[at : at + 64]
+        """The narrowest tried width that finds `recall` of what brute force finds for the audit's queries; all of the shard if none does.
+
+        Queries are held to it by size class (hits of 1, 2 to 3, 4 to 7 and so on), so that a large group doesn't hide what those with few lose.
+        More than `rows` queries are audited until _LINKED of them have a link.
+        """
+        sample, true = [], []
+        for at in range(0, len(order), 64):
+            if at >= rows and sum(map(len, sample)) >= _LINKED:
+                break
+            some = order[at : at + 64]
             c = q[some] @ self.exact.T >= self.threshold
             if own is not None:
                 c[np.arange(len(some)), own[some]] = False
-            true += int(c.sum())
-        while width < len(self.exact):
+            n = c.sum(axis=1)
+            sample.append(some[n > 0])
+            true.append(n[n > 0])
+        sample, true = np.concatenate(sample), np.concatenate(true)
+        sizes = np.log2(true).astype(np.int64)
+        while width < len(self.exact) and len(sample):
             found, _ = self.hits(q[sample], own[sample] if own is not None else None, width)
-            if len(found) >= recall * true:
+            found = np.bincount(sizes, weights=np.bincount(found, minlength=len(sample)))
+            if (found >= recall * np.bincount(sizes, weights=true)).all():
                 break
             width *= 2
         return min(width, len(self.exact))
@@ -100,13 +112,15 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _counts(n: int, a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """Weighted hits of each query; a link that only one end found counts for both, as far as the ends have few."""
+    """Weighted links of each vector; a link that only one end found counts for both."""
     total = np.bincount(a, weights=weight[b], minlength=n)
-    few = np.bincount(a, minlength=n) <= _FEW
-    some = few[a] & few[b]
-    code, back = a[some] * n + b[some], b[some] * n + a[some]
-    missing = ~np.isin(back, code)
-    return (total + np.bincount(b[some][missing], weights=weight[a[some][missing]], minlength=n)).astype(np.int64)
+    codes = np.sort(a * n + b)
+    for at in range(0, len(a), _LINKS):
+        x, y = a[at : at + _LINKS], b[at : at + _LINKS]
+        back = y * n + x
+        missing = codes[np.minimum(np.searchsorted(codes, back), len(codes) - 1)] != back
+        total += np.bincount(y[missing], weights=weight[x[missing]], minlength=n)
+    return total.astype(np.int64)
 
 
 def _table(kind: int, vec: np.ndarray, other: np.ndarray, n: np.ndarray, label: int, dim: int, shard: int, graph: bytes | None = None) -> pa.Table:
@@ -151,35 +165,50 @@ def link(vectors: DataFrame, threshold: float = THRESHOLD, shard_rows: int = SHA
     results = found.where("kind = 0").select("vec", "other", "n")
     several = reps.where("shards > 1")
     if not several.isEmpty():
-        blocks = F.ceil(F.col("of") / query_rows).cast("int")
-        asked = several.join(several.groupBy("label", "dim").agg(F.count("*").alias("of")), ["label", "dim"]).withColumn("block", F.pmod(F.xxhash64(F.lit(3), "vec"), blocks).cast("int"))
-        cuts = asked.select("label", "dim", "block").distinct()
-        asked = asked.withColumn("target", F.explode(F.expr("filter(sequence(0, shards - 1), s -> s <> shard)"))).select("label", "dim", "block", "target", "vec", "x")
-        members = several.join(found.where("kind = 0").select("vec", F.col("other").alias("root")), "vec").select("label", "dim", F.col("shard").alias("target"), "vec", "m", "root", "x")
-        graphs = found.where("kind = 2").select("label", "dim", F.col("shard").alias("target"), "graph").join(cuts, ["label", "dim"])
-        graphs = graphs.select("label", "dim", "target", "block", "graph", F.lit(None).cast("long").alias("vec"), F.lit(None).cast("long").alias("m"), F.lit(None).cast("long").alias("root"), F.lit(None).cast("array<double>").alias("x"))
-        members = members.join(cuts, ["label", "dim"]).select("label", "dim", "target", "block", F.lit(None).cast("binary").alias("graph"), "vec", "m", "root", "x")
-
-        def across(left: pa.Table, right: pa.Table) -> pa.Table:
-            if not left.num_rows or not right.num_rows:
-                return _table(1, np.zeros(0), np.zeros(0), np.zeros(0), 0, 0, 0)
-            graph = SmallWorld.loaded(next(x for x in right.column("graph").to_pylist() if x is not None))
-            right = right.filter(pc.is_valid(right.column("vec")))
-            order = np.argsort(np.asarray(right.column("vec")))
-            weight, root = np.asarray(right.column("m"))[order], np.asarray(right.column("root"))[order]
-            exact = _unit(_matrix(right.column("x"), len(order))[order])
-            vec = np.asarray(left.column("vec"))
-            q = _unit(_matrix(left.column("x"), len(vec)))
-            search = _Search(graph, exact, threshold)
-            width = search.audited(q, None, np.argsort(mixed(vec.view(np.uint64))), beam, audit_rows, recall)
-            a, b = search.hits(q, None, width)
-            n = np.bincount(a, weights=weight[b], minlength=len(vec))
-            edges = np.unique(np.stack([vec[a], root[b]], 1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
-            return pa.concat_tables([_table(1, vec, vec, n, 0, 0, 0), _table(1, edges[:, 0], edges[:, 1], np.zeros(len(edges)), 0, 0, 0)])
-
-        keys = ["label", "dim", "target", "block"]
-        shards = graphs.unionByName(members).withColumnsRenamed({k: f"of_{k}" for k in keys})
-        far = asked.groupBy(*keys).cogroup(shards.groupBy(*[f"of_{k}" for k in keys])).applyInArrow(across, _OUT_TYPES)
+        pairs = lambda x: x.withColumn("far", F.explode(F.expr("filter(sequence(0, shards - 1), s -> s <> shard)"))).withColumn("low", F.least("shard", "far")).withColumn("high", F.greatest("shard", "far"))
+        shards = several.select("label", "dim", "shard", "shards").distinct()
+        columns = ["label", "dim", "low", "high", "shard", "graph", "vec", "m", "root", "x"]
+        members = several.join(found.where("kind = 0").select("vec", F.col("other").alias("root")), "vec").withColumn("graph", F.lit(None).cast("binary"))
+        graphs = found.where("kind = 2").select("label", "dim", "shard", "graph").join(shards, ["label", "dim", "shard"])
+        graphs = graphs.select("*", *[F.lit(None).cast("long").alias(c) for c in ("vec", "m", "root")], F.lit(None).cast("array<double>").alias("x"))
+        asked = pairs(members).select(*columns).union(pairs(graphs).select(*columns))
+
+        def across(key: tuple, table: pa.Table) -> pa.Table:
+            """Links between two shards: each is asked for the other's vectors, and what either finds is a bit of one matrix."""
+            sides = []
+            for shard in (key[2], key[3]):
+                mine = table.filter(pc.equal(table.column("shard"), shard))
+                graph = SmallWorld.loaded(next(x for x in mine.column("graph").to_pylist() if x is not None))
+                mine = mine.filter(pc.is_valid(mine.column("vec")))
+                order = np.argsort(np.asarray(mine.column("vec")))
+                vec, weight, root = (np.asarray(mine.column(c))[order] for c in ("vec", "m", "root"))
+                sides.append((vec, weight, root, _Search(graph, _unit(_matrix(mine.column("x"), len(vec))[order]), threshold)))
+            (vec, weight, _, one), (far, far_weight, far_root, two) = sides
+            step = max(8, min(query_rows, _ROWS) // 8 * 8)
+            bits = np.zeros((len(vec), -(-len(far) // 8)), np.uint8)
+            for ids, asking, asked_of in ((vec, one, two), (far, two, one)):
+                width = asked_of.audited(asking.exact, None, np.argsort(mixed(ids.view(np.uint64))), beam, audit_rows, recall)
+                for at in range(0, len(ids), step):
+                    q = asking.exact[at : at + step]
+                    a, b = asked_of.hits(q, None, width)
+                    hit = np.zeros((len(q), len(asked_of.exact)), bool)
+                    hit[a, b] = True
+                    if asking is one:
+                        bits[at : at + len(q)] |= np.packbits(hit, axis=1)
+                    else:
+                        bits[:, at // 8 : at // 8 + -(-len(q) // 8)] |= np.packbits(hit.T, axis=1)
+            n, far_n, edges = np.zeros(len(vec)), np.zeros(len(far)), [np.zeros((0, 2), np.int64)]
+            for at in range(0, len(vec), step):
+                a, b = np.nonzero(np.unpackbits(bits[at : at + step], axis=1, count=len(far)))
+                a += at
+                n += np.bincount(a, weights=far_weight[b], minlength=len(vec))
+                far_n += np.bincount(b, weights=weight[a], minlength=len(far))
+                edges.append(np.unique(np.stack([vec[a], far_root[b]], 1), axis=0))
+            edges = np.concatenate(edges)
+            counted = [_table(1, ids, ids, counts, 0, 0, 0) for ids, counts in ((vec, n), (far, far_n))]
+            return pa.concat_tables([*counted, _table(1, edges[:, 0], edges[:, 1], np.zeros(len(edges)), 0, 0, 0)])
+
+        far = asked.groupBy("label", "dim", "low", "high").applyInArrow(across, _OUT_TYPES)
         results = stored(results.union(far.select("vec", "other", "n")))
     roots = components(results.where("vec <> other").select(F.col("vec").alias("a"), F.col("other").alias("b")))
     counts = results.groupBy("vec").agg(F.sum("n").alias("n"))
