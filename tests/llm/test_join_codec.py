@@ -69,6 +69,13 @@ def test_components_equal_brute_force(spark, seed, bits):
     assert {tuple(r) for r in jaccard_join.link(docs, sketch_bits=bits).collect()} == brute(rows)
 
 
+def test_pairs_that_no_leader_has_are_joined_in_the_end(spark):
+    """Without leaders' candidates, as when documents that quote a pair lead all its shingles, the last step still joins it."""
+    rows = planted(3, 12)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {tuple(r) for r in jaccard_join.link(docs, sketch_bits=16, leaders=()).collect()} == brute(rows)
+
+
 def test_join_on_documents(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
     assert {tuple(r) for r in jaccard_join.link(docs, sketch_bits=18).collect()} == brute([tuple(r) for r in docs.collect()])

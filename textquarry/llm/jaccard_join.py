@@ -292,8 +292,9 @@ def links_for_components(docs: DataFrame, survey: DataFrame, sketch_bits: int =
         got = _checked(found, docs, num, den)
         links = got if links is None else links.union(got)
         roots = components(links if roots is None else got.union(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))), rounds=2)
-    if roots is None:
-        return components(profiles.select(F.col("doc").alias("a"), F.col("doc").alias("b")).limit(0))
+    if roots is None:  # no leader has a candidate, others may have
+        roots = profiles.select(F.col("doc").alias("node"), F.col("doc").alias("root"))
+        links = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).limit(0)
     rest = _open(rest, roots)
     found = rest.alias("x").join(rest.alias("y"), "token").where("x.doc < y.doc and x.root <> y.root").where(_possible(num, den, "x", "y")).select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b"))
     found = stored(_near(_pairs(found), profiles, num, den))
