@@ -239,6 +239,18 @@ def test_latent_and_approximate_vectors(spark, sf):
         vectors.cosine_scores(e, asked, most_queries=2)
 
 
+def test_any_number_of_queries(spark, sf):
+    e = spark.read.parquet(f"{sf}/embeddings.parquet").limit(300).localCheckpoint()
+    asked = e.select(F.col("vec_id").alias("query_id"), "embedding")
+    rows = lambda **o: {tuple(r) for r in vectors.nearest(vectors.cosine_scores(e, asked, **o), 3).select("query_id", "vec_id", "rank").collect()}
+    assert len(rows()) == 900 and rows(block=70) == rows()
+    many = spark.range(1500).select(F.col("id").alias("query_id"), F.concat(F.lit("n"), F.col("id") % 40).alias("query"))
+    artifacts = spark.createDataFrame([(f"a{i}", "t", f"n{i}", "", 0.9, ["x"]) for i in range(40)], "artifact_id string, artifact_type string, name string, description string, confidence double, evidence array<string>")
+    assert reports.keyword_hits(artifacts, many).select("query_id").distinct().count() == 1500
+    modules = spark.createDataFrame([(f"src/n{i}.py", f"n{i}", "") for i in range(40)], "path string, name string, purpose string")
+    assert reports.module_matches(modules, many).select("query_id").distinct().count() == 1500
+
+
 def test_embedding_cache(spark):
     t = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b")], "id int, text string")
     cache = spark.createDataFrame([], "h string, embedding array<double>")

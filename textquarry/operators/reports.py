@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
+from textquarry.operators.vectors import asked_all, in_blocks
+
 SEVERITIES = ("critical", "high", "medium", "low")
 
 
@@ -121,18 +123,16 @@ def greedy_batches(files: DataFrame, by: str = "project", key: str = "path", siz
     return rows.repartition(by).sortWithinPartitions(by, key).mapInPandas(part, f"{by} {kinds[by]}, {key} {kinds[key]}, batch int")
 
 
-def keyword_hits(artifacts: DataFrame, queries: DataFrame, threshold: float = 0.80, keep: int = 5, most_queries: int = 1000) -> DataFrame:
+def keyword_hits(artifacts: DataFrame, queries: DataFrame, threshold: float = 0.80, keep: int = 5, block: int = 1000) -> DataFrame:
     """(query_id, artifact_type, artifact_id, relevance, rank): artifacts whose name, description or evidence holds the whole lower-cased query.
 
     Relevance is 1 for the exact name or 0.8 for a name that holds it, 0.5 for the description, 0.2 times the confidence, at most 1. Artifacts
-    below the confidence threshold are left out; a missing confidence is 0.5. At most `most_queries` queries, held on every executor.
+    below the confidence threshold are left out; a missing confidence is 0.5. Queries are asked in blocks of about `block`.
     """
     asked = queries.select("query_id", F.lower("query").alias("q"))
-    if asked.limit(most_queries + 1).count() > most_queries:
-        raise ValueError(f"more than {most_queries} queries")
-    packed = asked.agg(F.collect_list(F.struct("query_id", "q")).alias("asked"))
+    packed, blocks = in_blocks(asked, F.struct("query_id", "q"), "query_id", block)
     sure = F.coalesce("confidence", F.lit(0.5))
-    rows = artifacts.where(sure >= threshold).join(F.broadcast(packed)).withColumn("a", F.explode("asked"))
+    rows = asked_all(artifacts.where(sure >= threshold), packed, blocks).withColumn("a", F.explode("asked"))
     q, name, about = F.col("a.q"), F.lower(F.coalesce("name", F.lit(""))), F.lower(F.coalesce("description", F.lit("")))
     found = name.contains(q) | about.contains(q) | F.coalesce(F.exists("evidence", lambda e: F.lower(e).contains(F.col("a.q"))), F.lit(False))
     relevance = F.when(name == q, 1.0).when(name.contains(q), 0.8).otherwise(0.0) + F.when(about.contains(q), 0.5).otherwise(0.0) + 0.2 * sure
@@ -157,16 +157,15 @@ def unified(**branches: DataFrame) -> DataFrame:
     return out
 
 
-def module_matches(modules: DataFrame, queries: DataFrame, keep: int = 4, most_queries: int = 1000) -> DataFrame:
+def module_matches(modules: DataFrame, queries: DataFrame, keep: int = 4, block: int = 1000) -> DataFrame:
     """(query_id, path, score, rank): shared distinct words of query and module, 5 more if the query names the module, 3 more for source files."""
     from textquarry.functions.paths import LANGUAGES, extension
 
     words = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}_]+"), lambda w: w != ""))
-    if queries.limit(most_queries + 1).count() > most_queries:
-        raise ValueError(f"more than {most_queries} queries")
-    packed = queries.select(F.struct("query_id", F.lower("query").alias("q"), words(F.col("query")).alias("w")).alias("s")).agg(F.collect_list("s").alias("asked"))
+    asked = F.struct("query_id", F.lower("query").alias("q"), words(F.col("query")).alias("w"))
+    packed, blocks = in_blocks(queries, asked, "query_id", block)
     own = modules.select("path", F.lower("name").alias("name"), words(F.concat_ws(" ", "name", "path", "purpose")).alias("w"))
-    rows = own.join(F.broadcast(packed)).withColumn("a", F.explode("asked"))
+    rows = asked_all(own, packed, blocks).withColumn("a", F.explode("asked"))
     code = extension(F.col("path")).isin(*[e for e in LANGUAGES if e not in ("toml", "yaml", "yml", "json", "md")])
     score = F.size(F.array_intersect("w", F.col("a.w"))) + F.when(F.col("a.q").contains(F.col("name")), 5).otherwise(0)
     rows = rows.select(F.col("a.query_id").alias("query_id"), "path", score.alias("s"), code.alias("code")).where("s > 0")

@@ -26,13 +26,25 @@ def with_units(vectors: DataFrame, vector: str = "embedding") -> DataFrame:
     return vectors.withColumn("u", unit(F.col(vector)))
 
 
-def cosine_scores(vectors: DataFrame, queries: DataFrame, key: str = "vec_id", query_key: str = "query_id", vector: str = "embedding", most_queries: int = 10_000) -> DataFrame:
-    """(query_key, key, cosine) of every query against every vector; a stated set of at most `most_queries` queries, held on every executor."""
-    n = queries.limit(most_queries + 1).count()
-    if n > most_queries:
-        raise ValueError(f"more than {most_queries} queries; ask in several calls or use the approximate search")
-    packed = queries.select(F.struct(F.col(query_key).alias("q"), unit(F.col(vector)).alias("v")).alias("s")).agg(F.collect_list("s").alias("asked"))
-    pairs = with_units(vectors, vector).select(key, "u").join(F.broadcast(packed)).select(key, "u", F.explode("asked").alias("s"))
+def in_blocks(queries: DataFrame, query: Column, key: str, block: int, most: int | None = None) -> tuple[DataFrame, int]:
+    """(rows of one column, asked: the structs `query` of about `block` queries each, number of blocks); more than `most` queries are refused."""
+    n = queries.count()
+    if most is not None and n > most:
+        raise ValueError(f"more than {most} queries")
+    blocks = max(1, -(-n // block))
+    dealt = queries.select(query.alias("s"), F.pmod(F.xxhash64(key), F.lit(blocks)).alias("block"))
+    return dealt.groupBy("block").agg(F.collect_list("s").alias("asked")).select("asked"), blocks
+
+
+def asked_all(rows: DataFrame, packed: DataFrame, blocks: int) -> DataFrame:
+    """Every row beside every block of queries; only a single block is held on every executor."""
+    return rows.join(F.broadcast(packed)) if blocks == 1 else rows.hint("shuffle_replicate_nl").join(packed)
+
+
+def cosine_scores(vectors: DataFrame, queries: DataFrame, key: str = "vec_id", query_key: str = "query_id", vector: str = "embedding", most_queries: int | None = None, block: int = 10_000) -> DataFrame:
+    """(query_key, key, cosine) of every query against every vector, in blocks of about `block` queries; more than `most_queries` are refused if it is given."""
+    packed, blocks = in_blocks(queries, F.struct(F.col(query_key).alias("q"), unit(F.col(vector)).alias("v")), query_key, block, most_queries)
+    pairs = asked_all(with_units(vectors, vector).select(key, "u"), packed, blocks).select(key, "u", F.explode("asked").alias("s"))
     return pairs.select(F.col("s.q").alias(query_key), key, dot(F.col("u"), F.col("s.v")).alias("cosine"))
 
 
