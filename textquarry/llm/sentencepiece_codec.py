@@ -12,6 +12,7 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,8 @@ MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE_MARK = "▁"
 #: Units of more characters than this are merged one by one with a heap, since lockstep rounds would grow with their length.
 LOCKSTEP = 192
-_SLICE = 4 << 20
+#: Bytes of text that are indexed at once; a longer text is cut between word units.
+SLICE = 1 << 20
 _NONE = np.int64(1) << 30
 
 
@@ -38,9 +40,25 @@ class Vocabulary:
     bytes: np.ndarray  # id of each byte's fallback piece, or the unknown id
     unknown: int
 
-    @property
-    def longest(self) -> int:
-        return max(len(self.pieces[i]) for i in self.matched)
+    @cached_property
+    def columns(self) -> int:
+        """64-bit integers that hold the longest piece."""
+        return (int(self.size[self.matched].max()) + 7) // 8
+
+    @cached_property
+    def size(self) -> np.ndarray:
+        return np.array([len(p) for p in self.pieces])
+
+    @cached_property
+    def bounds(self) -> tuple[np.ndarray, np.ndarray]:
+        """Smallest and largest key of what begins with each matched piece, as rows of `columns` integers."""
+        low, high = (np.frombuffer(b"".join(self.pieces[i].ljust(8 * self.columns, fill) for i in self.matched), ">u8").astype(np.uint64) for fill in (b"\0", b"\xff"))
+        return low.reshape(-1, self.columns), high.reshape(-1, self.columns)
+
+    @cached_property
+    def store(self) -> tuple[np.ndarray, np.ndarray]:
+        """All pieces' bytes in one array, and where each begins."""
+        return np.frombuffer(b"".join(self.pieces), np.uint8), np.cumsum(self.size) - self.size
 
 
 def load(path: str = MODEL_PATH) -> Vocabulary:
@@ -80,21 +98,18 @@ class Edges:
     """All occurrences of all pieces in a text of concatenated units, sorted by position and length."""
 
     def __init__(self, data: np.ndarray, left: np.ndarray, vocabulary: Vocabulary):
-        n = (vocabulary.longest + 7) // 8
-        keys = _keys(data, left, n)
+        keys = _keys(data, left, vocabulary.columns)
         suffixes = np.lexsort(keys[::-1])
-        keys = [k[suffixes] for k in keys]
-        pieces = [vocabulary.pieces[i] for i in vocabulary.matched]
-        size = np.array([len(p) for p in pieces])
-        low = np.frombuffer(b"".join(p.ljust(8 * n, b"\0") for p in pieces), ">u8").reshape(-1, n).astype(np.uint64)
-        high = np.frombuffer(b"".join(p.ljust(8 * n, b"\xff") for p in pieces), ">u8").reshape(-1, n).astype(np.uint64)
+        for k, key in enumerate(keys):
+            keys[k] = key[suffixes]
+        size, (low, high) = vocabulary.size[vocabulary.matched], vocabulary.bounds
         first, last = np.searchsorted(keys[0], low[:, 0], "left"), np.searchsorted(keys[0], high[:, 0], "right")
         for at in np.flatnonzero((size > 8) & (last > first)):
             for k in range(1, (size[at] + 7) // 8):
                 part = keys[k][first[at] : last[at]]
                 first[at], last[at] = first[at] + np.searchsorted(part, low[at, k], "left"), first[at] + np.searchsorted(part, high[at, k], "right")
         n_found = last - first
-        piece = np.repeat(np.arange(len(pieces)), n_found)
+        piece = np.repeat(np.arange(len(size)), n_found)
         at = np.repeat(first - (np.cumsum(n_found) - n_found), n_found) + np.arange(n_found.sum())
         packed = np.sort((suffixes[at].astype(np.uint64) << np.uint64(32)) | (size[piece].astype(np.uint64) << np.uint64(24)) | vocabulary.matched[piece].astype(np.uint64))
         position = (packed >> np.uint64(32)).astype(np.int64)
@@ -244,35 +259,49 @@ def encode_slice(data: np.ndarray, offsets: np.ndarray, vocabulary: Vocabulary)
 
 def decode_slice(ids: np.ndarray, begins: np.ndarray, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of the (prefixed) texts and their offsets."""
-    size = np.array([len(p) for p in vocabulary.pieces])
-    store = np.frombuffer(b"".join(vocabulary.pieces), np.uint8)
-    place = np.cumsum(size) - size
+    size, (store, place) = vocabulary.size, vocabulary.store
     total = np.concatenate([[0], np.cumsum(size[ids])])
     return store[_spread(place[ids], size[ids])], total[begins]
 
 
+def checked_slice(data: np.ndarray, offsets: np.ndarray, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Token ids of the (prefixed) texts, where each text's ids begin, and whether decoding them gives the text again."""
+    ids, begins = encode_slice(data, offsets, vocabulary)
+    back, back_offsets = decode_slice(ids, begins, vocabulary)
+    same = back_offsets[1:] - back_offsets[:-1] == offsets[1:] - offsets[:-1]
+    if len(back) == len(data):
+        wrong = np.concatenate([[0], np.cumsum(back != data)])
+        same &= wrong[offsets[1:]] == wrong[offsets[:-1]]
+    else:
+        same &= np.array([np.array_equal(back[a:b], data[c:d]) for a, b, c, d in zip(back_offsets, back_offsets[1:], offsets, offsets[1:], strict=False)], bool)
+    return ids, begins, same
+
+
+def long_text(data: np.ndarray, vocabulary: Vocabulary, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same for one text, in windows of about `most` bytes that begin where word units begin; no piece crosses units."""
+    units = np.flatnonzero((data[1:] == 32) & (data[:-1] != 32)) + 1
+    at = np.searchsorted(units, np.arange(most, len(data), most))
+    cuts = np.unique(np.concatenate([[0], units[at[at < len(units)]], [len(data)]]))
+    parts = [checked_slice(data[a:b], np.array([0, b - a]), vocabulary) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    ids = np.concatenate([x for x, _, _ in parts])
+    return ids, np.array([0, len(ids)]), np.array([all(same.all() for _, _, same in parts)])
+
+
 def encode(docs: DataFrame, model_path: str = MODEL_PATH) -> DataFrame:
     """One row per row of `docs`: doc_id, n_tokens, round_trip, ids.
 
     ids are those of the SentencePiece model; decoding them gives the text again (round_trip), except that a space mark U+2581 in the text comes
     back as a space. A null or empty text has no ids (a null one round-trips to an empty one). Null ids and repeated rows are encoded each for
-    itself; other columns of `docs` are ignored.
+    itself; other columns of `docs` are ignored. A very long text is indexed in windows; only its ids are held whole.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(load(model_path))
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = shared.value
-        for rows, raw, raw_offsets in slices(batches, "text", _SLICE):
+        for rows, raw, raw_offsets in slices(batches, "text", SLICE):
             data, offsets = prefixed(raw, raw_offsets)
-            ids, begins = encode_slice(data, offsets, v)
-            back, back_offsets = decode_slice(ids, begins, v)
-            same = back_offsets[1:] - back_offsets[:-1] == offsets[1:] - offsets[:-1]
-            if len(back) == len(data):
-                wrong = np.concatenate([[0], np.cumsum(back != data)])
-                same &= wrong[offsets[1:]] == wrong[offsets[:-1]]
-            else:
-                same &= np.array([np.array_equal(back[a:b], data[c:d]) for a, b, c, d in zip(back_offsets, back_offsets[1:], offsets, offsets[1:], strict=False)], bool)
+            ids, begins, same = long_text(data, v, SLICE) if rows.num_rows == 1 and len(data) > SLICE else checked_slice(data, offsets, v)
             same &= (np.diff(raw_offsets) == np.maximum(np.diff(offsets) - 1, 0))
             n = np.diff(begins)
             yield pa.RecordBatch.from_arrays(

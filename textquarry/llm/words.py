@@ -14,6 +14,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 SLICE_BYTES = 1 << 20
+#: Bytes of text that are expanded to 64-bit integers at once.
+WINDOW = 2 << 20
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -83,12 +85,40 @@ def prefix_sums(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return total, _INVERSES
 
 
+def _sums(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    total, inverses = prefix_sums(data)
+    return (total[ends] - total[starts]) * inverses[starts]
+
+
+def _long_sum(data: np.ndarray) -> np.uint64:
+    """_sums of one span longer than WINDOW, a window at a time."""
+    power, total = 1, 0
+    for at in range(0, len(data), WINDOW):
+        part = data[at : at + WINDOW]
+        total += power * int(prefix_sums(part)[0][-1])
+        power = power * pow(_BASE, len(part), 1 << 64) % (1 << 64)
+    return np.uint64(total % (1 << 64))
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each byte span, the same wherever the span lies."""
+    """64-bit hash of each byte span, the same wherever the span lies. Spans are in order; memory beside the result follows WINDOW, not the text."""
     if not len(starts):
         return np.zeros(0, np.uint64)
-    total, inverses = prefix_sums(data)
-    return mixed((total[ends] - total[starts]) * inverses[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    if len(data) <= WINDOW:
+        sums = _sums(data, starts, ends)
+    else:
+        sums = np.empty(len(starts), np.uint64)
+        at = 0
+        while at < len(starts):
+            low = int(starts[at])
+            to = at + int(np.searchsorted(ends[at:], low + WINDOW, "right"))
+            if to == at:
+                sums[at] = _long_sum(data[low : int(ends[at])])
+                to = at + 1
+            else:
+                sums[at:to] = _sums(data[low : int(ends[to - 1])], starts[at:to] - low, ends[at:to] - low)
+            at = to
+    return mixed(sums + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
 def crc_of_ids(ids: list) -> np.ndarray:
