@@ -152,12 +152,36 @@ def test_vectors_that_link_with_nothing(spark):
 
 
 def test_links_found_from_one_end_count_for_both():
-    n, hub = 1000, 0
-    a = np.concatenate([np.arange(1, n), np.full(300, hub)])  # the hub found 300 of those that found it
-    b = np.concatenate([np.full(n - 1, hub), np.arange(1, 301)])
-    got = embedding_dedup._counts(n, a, b, np.ones(n, np.int64))
-    assert got[hub] == n - 1 and (got[1:] == 1).all()
-    assert (embedding_dedup._counts(n, b, a, np.ones(n, np.int64)) == got).all()
+    n = 100
+    hit = np.zeros((n, n), bool)
+    hit[1:40, 0] = hit[50, 60] = hit[61, 60] = True
+    bits = embedding_dedup._Bits(n, n)
+    for at in range(0, n, 16):
+        bits.add(at, hit[at : at + 16])
+        bits.add_back(at, hit[at : at + 16])
+    assert (bits.rows(0, n) == (hit | hit.T)).all()
+    want = np.arange(n)
+    want[1:40], want[[60, 61]] = 0, 50
+    assert (bits.roots() == want).all()
+
+
+def test_a_dense_label_equals_brute_force(spark):
+    """Thousands of near copies, over one shard and over several: beams are full of hits, so queries are compared with whole shards."""
+    rng = np.random.default_rng(9)
+    x = np.concatenate([rng.normal(size=32) + rng.normal(size=(1500, 32)) * 0.27, rng.normal(size=(100, 32))])
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = u @ u.T >= 0.93
+    np.fill_diagonal(near, False)
+    assert 200_000 < near.sum() < 2_200_000
+    bits = embedding_dedup._Bits(len(x), len(x))
+    bits.add(0, near)
+    roots = bits.roots()
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    for shard_rows in (10_000, 600):
+        got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_dedup.link(df, shard_rows=shard_rows).collect()}
+        counted = np.array([got[i][0] for i in range(len(x))])
+        assert (counted <= near.sum(axis=1)).all() and counted.sum() >= 0.999 * near.sum()
+        assert np.mean([got[i][1] == roots[i] for i in range(len(x))]) > 0.999
 
 
 def test_links_between_shards_count_for_both_ends(spark):
@@ -191,9 +215,9 @@ def test_audit_holds_pairs_and_large_groups_apart():
     x[:200, 499] = 1
     x[np.arange(200, 1000), np.arange(800) // 2] = 1  # 400 pairs
     search = embedding_dedup._Search(_Misses(x.astype(np.float32)), x, 0.93)
-    assert search.audited(x, np.arange(1000), np.random.default_rng(0).permutation(1000), 16, 512, 0.99) >= 256
+    assert search.audited(x, np.arange(1000), np.random.default_rng(0).permutation(1000), 16, 512, 0.99)[0] >= 256
     # the first queries have no link
-    assert search.audited(np.concatenate([-x[:512], x[200:]]), None, np.arange(1312), 16, 512, 0.99) >= 256
+    assert search.audited(np.concatenate([-x[:512], x[200:]]), None, np.arange(1312), 16, 512, 0.99)[0] >= 256
 
 
 def test_small_world_finds_neighbours():

@@ -2,8 +2,8 @@
 
 Equal vectors are one representative with a count. A label's representatives are dealt to shards of at most about SHARD_ROWS; each shard's graph
 is built in one task and asked for the neighbours of its own vectors; where a label has several shards, the graphs are written and each
-two of its shards are asked for each other's vectors. A search's hits are counted where they are found and leave only an edge to their component inside
-the shard, so that large groups never become lists of pairs.
+two of its shards are asked for each other's vectors. A query whose beam is full of hits is compared with the whole shard. Hits are bits of one
+matrix for each two shards, counted there, and leave only an edge to their component, so that large groups never become lists of pairs.
 """
 
 from __future__ import annotations
@@ -20,14 +20,16 @@ from textquarry.llm.words import mixed
 
 THRESHOLD = 0.93
 SHARD_ROWS = 32768
-QUERY_ROWS = 4096
+#: Most queries whose hits are one block of booleans.
+QUERY_ROWS = 512
 BEAM = 48
 #: Queries of each shard (the first by hash) whose hits are compared with all of the shard, and the share that has to be found.
 AUDIT_ROWS = 512
 RECALL = 0.99
 _LINKED = 64
-_LINKS = 1 << 22
-_ROWS = 512
+_BLOCK = 64
+#: kind 0: a vector, its component inside the shard, its links there; 1: links to another shard; 2: a shard's graph; 3: an audit's links (n) and
+#: how many of them were found (other).
 _OUT = ["kind", "vec", "other", "n", "label", "dim", "shard", "graph"]
 _OUT_TYPES = "kind int, vec long, other long, n long, label int, dim int, shard int, graph binary"
 
@@ -45,82 +47,89 @@ def _matrix(column: pa.ChunkedArray | pa.Array, n: int) -> np.ndarray:
 class _Search:
     """Hits of queries among a shard's vectors, at a beam width that has passed the audit."""
 
-    def __init__(self, graph: SmallWorld, exact: np.ndarray, threshold: float):
+    def __init__(self, graph: SmallWorld, exact: np.ndarray, threshold: float, query_rows: int = QUERY_ROWS):
         self.graph, self.exact, self.threshold = graph, exact, threshold
+        self.step = max(16, min(query_rows, (1 << 24) // max(len(exact), 1)) // 8 * 8)
 
-    def hits(self, q: np.ndarray, own: np.ndarray | None, width: int) -> tuple[np.ndarray, np.ndarray]:
-        """(query, found) pairs, cosine verified in double precision; a query whose beam is full of hits is asked again with a wider one."""
-        n, out = len(self.exact), []
-        left = np.arange(len(q))
-        while len(left):
-            width = min(width, n)
-            again = []
-            step = max(16, min(512, (1 << 24) // max(n, 4 * width)))
-            for at in range(0, len(left), step):
-                mine = left[at : at + step]
-                ids, sims = self.graph.search(q[mine].astype(np.float32), width, own[mine] if own is not None else None)
-                near = (ids >= 0) & (sims >= self.threshold - 1e-4)
-                full = near.all(axis=1) & (width < n)
-                again.append(mine[full])
-                r, c = np.nonzero(near & ~full[:, None])
-                a, b = mine[r], ids[r, c]
-                good = np.einsum("ed,ed->e", q[a], self.exact[b]) >= self.threshold
-                if own is not None:
-                    good &= own[a] != b
-                out.append((a[good], b[good]))
-            left, width = np.concatenate(again), width * 4
-        return np.concatenate([x[0] for x in out]), np.concatenate([x[1] for x in out])
-
-    def audited(self, q: np.ndarray, own: np.ndarray | None, order: np.ndarray, width: int, rows: int, recall: float) -> int:
-        """The narrowest tried width that finds `recall` of what brute force finds for the audit's queries; all of the shard if none does.
+    def hits(self, q: np.ndarray, own: np.ndarray | None, width: int) -> np.ndarray:
+        """A row of booleans over the shard for each query (at most `step`), cosine verified in double precision.
+
+        A query whose beam is full of hits, and every query once beams would hold a quarter of the shard, is compared with the whole shard.
+        """
+        n = len(self.exact)
+        out, full = np.zeros((len(q), n), bool), np.ones(len(q), bool)
+        if 4 * width < n:
+            ids, sims = self.graph.search(q.astype(np.float32), width, own)
+            near = (ids >= 0) & (sims >= self.threshold - 1e-4)
+            full = near.all(axis=1)
+            r, c = np.nonzero(near & ~full[:, None])
+            found = ids[r, c]
+            good = np.einsum("ed,ed->e", q[r], self.exact[found]) >= self.threshold
+            out[r[good], found[good]] = True
+        out[full] = q[full] @ self.exact.T >= self.threshold
+        if own is not None:
+            out[np.arange(len(q)), own] = False
+        return out
+
+    def audited(self, q: np.ndarray, own: np.ndarray | None, order: np.ndarray, width: int, rows: int, recall: float) -> tuple[int, np.ndarray]:
+        """The narrowest tried width that finds `recall` of what brute force finds for the audit's queries, and (links there are, links found).
 
         Queries are held to it by size class (hits of 1, 2 to 3, 4 to 7 and so on), so that a large group doesn't hide what those with few lose.
-        More than `rows` queries are audited until _LINKED of them have a link.
+        More than `rows` queries are audited until _LINKED of them have a link. Beams of a quarter of the shard are brute force and pass.
         """
-        sample, true = [], []
-        for at in range(0, len(order), 64):
-            if at >= rows and sum(map(len, sample)) >= _LINKED:
+        sample, true, linked = [], [], 0
+        for at in range(0, len(order), _BLOCK):
+            if at >= rows and linked >= _LINKED:
                 break
-            some = order[at : at + 64]
+            some = order[at : at + _BLOCK]
             c = q[some] @ self.exact.T >= self.threshold
             if own is not None:
                 c[np.arange(len(some)), own[some]] = False
             n = c.sum(axis=1)
             sample.append(some[n > 0])
             true.append(n[n > 0])
+            linked += int((n > 0).sum())
         sample, true = np.concatenate(sample), np.concatenate(true)
         sizes = np.log2(true).astype(np.int64)
-        while width < len(self.exact) and len(sample):
-            found, _ = self.hits(q[sample], own[sample] if own is not None else None, width)
-            found = np.bincount(sizes, weights=np.bincount(found, minlength=len(sample)))
-            if (found >= recall * np.bincount(sizes, weights=true)).all():
-                break
+        while len(sample):
+            parts = (sample[at : at + self.step] for at in range(0, len(sample), self.step))
+            found = np.concatenate([self.hits(q[x], own[x] if own is not None else None, width).sum(axis=1) for x in parts])
+            if (np.bincount(sizes, weights=found) >= recall * np.bincount(sizes, weights=true)).all():
+                return width, np.array([true.sum(), found.sum()])
             width *= 2
-        return min(width, len(self.exact))
+        return width, np.zeros(2, np.int64)
+
+
+class _Bits:
+    """Links between rows and columns as one packed matrix; a link that only one end found is a link."""
+
+    def __init__(self, rows: int, columns: int):
+        self.columns = columns
+        self.packed = np.zeros((rows, -(-columns // 8)), np.uint8)
 
+    def add(self, at: int, hit: np.ndarray) -> None:
+        self.packed[at : at + len(hit)] |= np.packbits(hit, axis=1)
 
-def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Smallest index of each index's component."""
-    root = np.arange(n)
-    while True:
-        before = root.copy()
-        np.minimum.at(root, a, root[b])
-        np.minimum.at(root, b, root[a])
-        root = root[root]
-        if (root == before).all():
-            return root
+    def add_back(self, at: int, hit: np.ndarray) -> None:
+        """hit: a row for each column from `at` on, which is a multiple of eight."""
+        self.packed[:, at // 8 : at // 8 + -(-len(hit) // 8)] |= np.packbits(hit.T, axis=1)
 
+    def rows(self, at: int, to: int) -> np.ndarray:
+        return np.unpackbits(self.packed[at:to], axis=1, count=self.columns)
 
-def _counts(n: int, a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """Weighted links of each vector; a link that only one end found counts for both."""
-    total = np.bincount(a, weights=weight[b], minlength=n)
-    codes = np.sort(a * n + b)
-    for at in range(0, len(a), _LINKS):
-        x, y = a[at : at + _LINKS], b[at : at + _LINKS]
-        back = y * n + x
-        missing = codes[np.minimum(np.searchsorted(codes, back), len(codes) - 1)] != back
-        total += np.bincount(y[missing], weights=weight[x[missing]], minlength=n)
-    return total.astype(np.int64)
+    def roots(self) -> np.ndarray:
+        """Smallest index of each index's component, for a square matrix: breadth first, each row is read once."""
+        root, left = np.arange(len(self.packed)), self.packed.any(axis=1)
+        for first in np.flatnonzero(left):
+            new = np.array([first] if left[first] else [], np.int64)
+            left[new] = False
+            while len(new):
+                reached = np.zeros(self.packed.shape[1], np.uint8)
+                for at in range(0, len(new), QUERY_ROWS):
+                    reached |= np.bitwise_or.reduce(self.packed[new[at : at + QUERY_ROWS]], axis=0)
+                new = np.flatnonzero(np.unpackbits(reached, count=self.columns) & left)
+                root[new], left[new] = first, False
+        return root
 
 
 def _table(kind: int, vec: np.ndarray, other: np.ndarray, n: np.ndarray, label: int, dim: int, shard: int, graph: bytes | None = None) -> pa.Table:
@@ -153,10 +162,15 @@ def link(vectors: DataFrame, threshold: float = THRESHOLD, shard_rows: int = SHA
         exact = _unit(_matrix(table.column("x"), len(vec))[order])
         hashes = mixed(vec.view(np.uint64))
         graph = SmallWorld(exact.astype(np.float32), levels_of(hashes))
-        me, search = np.arange(len(vec)), _Search(graph, exact, threshold)
-        a, b = search.hits(exact, me, search.audited(exact, me, np.argsort(hashes), beam, audit_rows, recall))
-        roots = vec[_roots(len(vec), a, b)]
-        out = [_table(0, vec, roots, _counts(len(vec), a, b, weight), label, dim, shard)]
+        me, search = np.arange(len(vec)), _Search(graph, exact, threshold, query_rows)
+        width, audit = search.audited(exact, me, np.argsort(hashes), beam, audit_rows, recall)
+        bits = _Bits(len(vec), len(vec))
+        for at in range(0, len(vec), search.step):
+            hit = search.hits(exact[at : at + search.step], me[at : at + search.step], width)
+            bits.add(at, hit)
+            bits.add_back(at, hit)
+        counts = np.concatenate([bits.rows(at, at + _BLOCK) @ weight for at in range(0, len(vec), _BLOCK)])
+        out = [_table(0, vec, vec[bits.roots()], counts, label, dim, shard), _table(3, vec[:1], audit[1:], audit[:1], label, dim, shard)]
         if shards > 1:
             out.append(_table(2, vec[:1], vec[:1], np.zeros(1), label, dim, shard, graph.dumped()))
         return pa.concat_tables(out)
@@ -182,30 +196,24 @@ def link(vectors: DataFrame, threshold: float = THRESHOLD, shard_rows: int = SHA
                 mine = mine.filter(pc.is_valid(mine.column("vec")))
                 order = np.argsort(np.asarray(mine.column("vec")))
                 vec, weight, root = (np.asarray(mine.column(c))[order] for c in ("vec", "m", "root"))
-                sides.append((vec, weight, root, _Search(graph, _unit(_matrix(mine.column("x"), len(vec))[order]), threshold)))
-            (vec, weight, _, one), (far, far_weight, far_root, two) = sides
-            step = max(8, min(query_rows, _ROWS) // 8 * 8)
-            bits = np.zeros((len(vec), -(-len(far) // 8)), np.uint8)
-            for ids, asking, asked_of in ((vec, one, two), (far, two, one)):
-                width = asked_of.audited(asking.exact, None, np.argsort(mixed(ids.view(np.uint64))), beam, audit_rows, recall)
-                for at in range(0, len(ids), step):
-                    q = asking.exact[at : at + step]
-                    a, b = asked_of.hits(q, None, width)
-                    hit = np.zeros((len(q), len(asked_of.exact)), bool)
-                    hit[a, b] = True
-                    if asking is one:
-                        bits[at : at + len(q)] |= np.packbits(hit, axis=1)
-                    else:
-                        bits[:, at // 8 : at // 8 + -(-len(q) // 8)] |= np.packbits(hit.T, axis=1)
-            n, far_n, edges = np.zeros(len(vec)), np.zeros(len(far)), [np.zeros((0, 2), np.int64)]
-            for at in range(0, len(vec), step):
-                a, b = np.nonzero(np.unpackbits(bits[at : at + step], axis=1, count=len(far)))
-                a += at
-                n += np.bincount(a, weights=far_weight[b], minlength=len(vec))
-                far_n += np.bincount(b, weights=weight[a], minlength=len(far))
-                edges.append(np.unique(np.stack([vec[a], far_root[b]], 1), axis=0))
-            edges = np.concatenate(edges)
-            counted = [_table(1, ids, ids, counts, 0, 0, 0) for ids, counts in ((vec, n), (far, far_n))]
+                sides.append((vec, weight, root, _Search(graph, _unit(_matrix(mine.column("x"), len(vec))[order]), threshold, query_rows)))
+            (vec, weight, root, one), (far, far_weight, far_root, two) = sides
+            bits = _Bits(len(vec), len(far))
+            for ids, asking, asked_of, add in ((vec, one, two, bits.add), (far, two, one, bits.add_back)):
+                width, _ = asked_of.audited(asking.exact, None, np.argsort(mixed(ids.view(np.uint64))), beam, audit_rows, recall)
+                for at in range(0, len(ids), asked_of.step):
+                    add(at, asked_of.hits(asking.exact[at : at + asked_of.step], None, width))
+            by_root = np.argsort(far_root, kind="stable")
+            roots, begins = np.unique(far_root[by_root], return_index=True)
+            n, far_n, edges = [], np.zeros(len(far)), [np.zeros((0, 2), np.int64)]
+            for at in range(0, len(vec), _BLOCK):
+                hit = bits.rows(at, at + _BLOCK)
+                n.append(hit @ far_weight)
+                far_n += weight[at : at + _BLOCK] @ hit
+                r, c = np.nonzero(np.maximum.reduceat(hit[:, by_root], begins, axis=1))
+                edges.append(np.unique(np.stack([root[at + r], roots[c]], 1), axis=0))
+            edges = np.unique(np.concatenate(edges), axis=0)
+            counted = [_table(1, ids, ids, counts, 0, 0, 0) for ids, counts in ((vec, np.concatenate(n)), (far, far_n))]
             return pa.concat_tables([*counted, _table(1, edges[:, 0], edges[:, 1], np.zeros(len(edges)), 0, 0, 0)])
 
         far = asked.groupBy("label", "dim", "low", "high").applyInArrow(across, _OUT_TYPES)
