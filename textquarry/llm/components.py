@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from textquarry.llm.scratch import stored
+from textquarry.llm.scratch import discard, stored
 
 
 def _settled(edges: DataFrame) -> bool:
@@ -34,7 +34,8 @@ def components(links: DataFrame, rounds: int | None = None) -> DataFrame:
     edges = stored(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     done = 0
     while (done < rounds) if rounds is not None else not _settled(edges):
-        edges = stored(_small_star(_large_star(edges)))
+        before, edges = edges, stored(_small_star(_large_star(edges)))
+        discard(before)
         done += 1
     if rounds is None:
         return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))

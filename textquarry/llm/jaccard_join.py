@@ -2,17 +2,16 @@
 
 The first order puts shingles that many documents share last (their class, from counts over the whole corpus). Two sets that reach the
 threshold share a token of their prefixes under any one order; the first order finds candidates by an equi-join on that token, with the bounds
-that sizes, positions and a 1024-bit parity sketch of each set give. For what is left, prefixes under two more orders (hashes up and down) have
-to share a token too before whole sets are compared.
+that sizes, positions and a 1024-bit parity sketch of each set give. What is left is intersected with two more orders (hashes up and down):
+both prefixes have to share a token there too. Only then are whole sets compared.
 
-Only connectivity is asked for, so candidates are taken in steps: each token's documents against a few leaders of that token, more of them for
-what is left in each step, which joins most copies, and then all pairs of a token that still lie in different components. A pair is skipped
-only when its ends are already connected by verified links, so components are those of all links.
+Only connectivity is asked for, so candidates are taken in steps: each token's documents against a few leaders of that token (each document
+against the likeliest of them), which joins most copies, and then all pairs of a token that still lie in different components, each pair at its
+first shared token. A pair is skipped only when its ends are already connected by verified links, so components are those of all links.
 """
 
 from __future__ import annotations
 
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -22,7 +21,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from textquarry.llm.components import components
-from textquarry.llm.scratch import stored
+from textquarry.llm.scratch import by_key, discard, stored
 from textquarry.llm.words import LOWER, mixed, slices, span_hashes, spans
 
 SHINGLE = 5
@@ -31,9 +30,12 @@ NUM, DEN = 75, 100
 #: log2 of the counters that tell shared shingles from rare ones. More counters tell them apart in larger corpora; any number gives the same links.
 SKETCH_BITS = 24
 _BLOCK_BITS = 16
-_ID_BITS = 22
+#: log2 of the bits of a filter of ids: eight for each id, within these bounds. A filter only spares work.
+_ID_BITS = (16, 26)
 #: Leaders of each token in each step.
-LEADERS = (2, 4, 8)
+LEADERS = (4, 8)
+#: A pair is taken at its first shared token if that is among so many first ones of both ends.
+FIRSTS = 8
 #: 64-bit words of a set's parity sketch: bit i tells whether an odd number of its tokens hash to i.
 PARITY_WORDS = 16
 
@@ -81,22 +83,21 @@ def _signed(h: np.ndarray) -> pa.Array:
     return pa.array(h.view(np.int64))
 
 
-def _slot(doc_id: Column) -> Column:
-    return F.pmod(F.xxhash64(doc_id), F.lit(1 << _ID_BITS))
+class _Ids:
+    """A filter of ids as a bit for each hash: never misses one of them, and its size is bounded however many there are."""
 
+    def __init__(self, ids: DataFrame, column: str):
+        n = ids.count()
+        self.bits = min(max(int(8 * n).bit_length(), _ID_BITS[0]), _ID_BITS[1])
+        slot = F.pmod("slot", F.lit(1 << self.bits))
+        words = ids.select(F.xxhash64(column).alias("slot")).select(slot.alias("s")).groupBy(F.shiftright("s", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s & 63 as int))")).alias("b")).toArrow()
+        self.words = np.zeros(1 << (self.bits - 6), np.uint64)
+        self.words[words.column("w").to_numpy()] = words.column("b").to_numpy().view(np.uint64)
 
-def _bitmap(ids: DataFrame, column: str) -> np.ndarray:
-    """A bit for each hash of an id: never misses one of `ids`, and takes the same few bytes however many there are."""
-    bits = ids.select(_slot(F.col(column)).alias("s")).groupBy(F.shiftright("s", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s & 63 as int))")).alias("b")).collect()
-    out = np.zeros(1 << (_ID_BITS - 6), np.uint64)
-    for w, b in bits:
-        out[w] = np.uint64(b & (2**64 - 1))
-    return out
-
-
-def _marked(bits: np.ndarray, rows: pa.RecordBatch) -> np.ndarray:
-    s = np.asarray(rows.column("slot"))
-    return (bits[s >> 6] >> (s & 63).astype(np.uint64)) & np.uint64(1) > 0
+    def has(self, rows: pa.RecordBatch) -> np.ndarray:
+        """For each row whether its slot (xxhash64 of its id) is that of one of the ids."""
+        s = np.asarray(rows.column("slot")) & ((1 << self.bits) - 1)
+        return (self.words[s >> 6] >> (s & 63).astype(np.uint64)) & np.uint64(1) > 0
 
 
 def _parities(row: np.ndarray, h: np.ndarray, n: int) -> np.ndarray:
@@ -182,7 +183,7 @@ def _prefixes(docs: DataFrame, classes, wanted, sketch_bits: int, num: int, den:
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in slices(batches, "text"):
             row, h = shingles(data, offsets)
-            some = _marked(wanted.value, rows)[row]
+            some = wanted.value.has(rows)[row]
             row, h = row[some], h[some]
             kinds, least = classes.value
             kind = kinds[(h >> np.uint64(64 - sketch_bits)).astype(np.int64)]
@@ -198,23 +199,31 @@ def _prefixes(docs: DataFrame, classes, wanted, sketch_bits: int, num: int, den:
     return docs.mapInArrow(part, "token long, doc long, packed long")
 
 
-def _sets(docs: DataFrame, wanted) -> DataFrame:
-    """(doc, tokens): the whole set of each wanted document, ascending."""
+def _sets(docs: DataFrame, wanted, num: int, den: int) -> DataFrame:
+    """(doc, low, high, tokens): the whole set of each wanted document, ascending, and its prefixes under the orders of hashes up and down (the
+    upper 32 bits of their tokens, so that the filter is small)."""
+
+    def lists(n: np.ndarray, values: pa.Array) -> pa.ListArray:
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), values)
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in slices(batches, "text"):
-            mine = np.flatnonzero(_marked(wanted.value, rows))
+            mine = np.flatnonzero(wanted.value.has(rows))
             row, h = shingles(data, offsets)
             some = np.isin(row, mine)
             order = np.lexsort((h[some].view(np.int64), row[some]))
             row, h = row[some][order], h[some][order]
             new = np.ones(len(row), bool)
             new[1:] = (row[1:] != row[:-1]) | (h[1:] != h[:-1])
-            n = np.bincount(row[new], minlength=rows.num_rows)[mine]
-            tokens = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), _signed(h[new]))
-            yield pa.RecordBatch.from_arrays([rows.column("doc_id").take(pa.array(mine)), tokens], ["doc", "tokens"])
+            row, h = row[new], h[new].view(np.int64)
+            size, pos = _positions(row, rows.num_rows)
+            upper, prefix = (h >> 32).astype(np.int32), np.where(size > 0, _prefix(size, num, den), 0)
+            low, high = pos < prefix[row], pos >= (size - prefix)[row]
+            yield pa.RecordBatch.from_arrays(
+                [rows.column("doc_id").take(pa.array(mine)), lists(prefix[mine], pa.array(upper[low])), lists(prefix[mine], pa.array(upper[high])), lists(size[mine], pa.array(h))], ["doc", "low", "high", "tokens"]
+            )
 
-    return docs.mapInArrow(part, "doc long, tokens array<long>")
+    return docs.mapInArrow(part, "doc long, low array<int>, high array<int>, tokens array<long>")
 
 
 def _possible(num: int, den: int, a: str, b: str) -> Column:
@@ -225,37 +234,32 @@ def _possible(num: int, den: int, a: str, b: str) -> Column:
 
 
 def _near(pairs: DataFrame, profiles: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs whose parities leave room for the needed overlap."""
+    """The pairs whose parities leave room for the needed overlap, with the bits in which they differ (apart)."""
     side = lambda c: profiles.select(F.col("doc").alias(c), *[F.col(x).alias(f"{c}_{x}") for x in profiles.columns if x != "doc"])
     apart = " + ".join(f"bit_count(a_p{i} ^ b_p{i})" for i in range(PARITY_WORDS))
     need = f"((({num} * (a_n + b_n) + {num + den} - 1) div {num + den}))"
-    return pairs.join(side("a"), "a").join(side("b"), "b").where(F.expr(f"{apart} <= a_n + b_n - 2 * {need}")).select("a", "b")
+    both = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("apart", F.expr(apart))
+    return both.where(F.expr(f"apart <= a_n + b_n - 2 * {need}")).select("a", "b", "apart")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    both = pairs.join(sets.select(F.col("doc").alias("a"), F.col("tokens").alias("x")), "a").join(sets.select(F.col("doc").alias("b"), F.col("tokens").alias("y")), "b")
-    head = lambda t: f"(size({t}) - ({num} * size({t}) + {den - 1}) div {den} + 1)"
-    low = F.expr(f"arrays_overlap(slice(x, 1, cast({head('x')} as int)), slice(y, 1, cast({head('y')} as int)))")
-    high = F.expr(f"arrays_overlap(slice(x, cast(-{head('x')} as int), cast({head('x')} as int)), slice(y, cast(-{head('y')} as int), cast({head('y')} as int)))")
-    same = both.where(low & high).select("a", "b", F.size(F.array_intersect("x", "y")).alias("o"), (F.size("x") + F.size("y")).alias("s"))
-    return same.where(F.expr(f"{den} * o >= {num} * (s - o)")).select("a", "b")
-
-
-def _pairs(x: DataFrame) -> DataFrame:
-    return x.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    """Links among the pairs: those that the two other orders leave, then those whose whole sets reach the threshold."""
+    side = lambda c, *columns: sets.select(F.col("doc").alias(c), *[F.col(x).alias(f"{c}_{x}") for x in columns])
+    left = pairs.join(side("a", "low", "high"), "a").join(side("b", "low", "high"), "b")
+    left = stored(left.where(F.arrays_overlap("a_low", "b_low") & F.arrays_overlap("a_high", "b_high")).select("a", "b"))
+    both = left.join(side("a", "tokens"), "a").join(side("b", "tokens"), "b")
+    sizes = both.select("a", "b", F.size(F.array_intersect("a_tokens", "b_tokens")).alias("o"), (F.size("a_tokens") + F.size("b_tokens")).alias("s"))
+    links = stored(sizes.where(F.expr(f"{den} * o >= {num} * (s - o)")).select("a", "b"))
+    discard(left)
+    return links
 
 
 def _checked(pairs: DataFrame, docs: DataFrame, num: int, den: int) -> DataFrame:
-    """Links among the (stored) pairs. Sets are made for their documents only, and laid out by document so that joins don't move them again."""
-    spark = docs.sparkSession
-    ends = pairs.select(F.col("a").alias("doc")).union(pairs.select(F.col("b").alias("doc")))
-    wanted = spark.sparkContext.broadcast(_bitmap(ends, "doc"))
-    name, buckets = f"textquarry_sets_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
-    _sets(docs, wanted).repartition(buckets, "doc").write.bucketBy(buckets, "doc").saveAsTable(name)
-    try:
-        return stored(_verified(pairs, spark.table(name), num, den))
-    finally:
-        spark.sql(f"drop table if exists {name}")
+    """Links among the (stored) pairs. Sets are made for their documents only."""
+    ends = pairs.select(F.col("a").alias("doc")).union(pairs.select(F.col("b").alias("doc"))).distinct()
+    wanted = docs.sparkSession.sparkContext.broadcast(_Ids(ends, "doc"))
+    with by_key(_sets(docs, wanted, num, den), "doc") as sets:
+        return _verified(pairs, sets, num, den)
 
 
 def _open(prefixes: DataFrame, roots: DataFrame) -> DataFrame:
@@ -265,40 +269,58 @@ def _open(prefixes: DataFrame, roots: DataFrame) -> DataFrame:
     return stored(x.join(spread, "token", "left_semi"))
 
 
+def _led_pairs(rest: DataFrame, step: int, many: int, num: int, den: int) -> DataFrame:
+    """(document, leader) of one token and different components; a token's leaders are the `many` first by a hash of their ids."""
+    best = [F.min_by(F.struct("doc", "n", "pos", "root"), F.xxhash64("doc", F.lit(f"{step}.{k}"))) for k in range(many)]
+    led = rest.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.array_distinct(F.array(*best)).alias("l")).where("low < high").select("token", "l")
+    found = rest.alias("x").join(led, "token").withColumn("l", F.explode("l")).where("x.root <> l.root").where(_possible(num, den, "x", "l"))
+    return found.select(F.col("x.doc").alias("a"), F.col("l.doc").alias("b")).distinct()
+
+
+def _all_pairs_between(rest: DataFrame, num: int, den: int) -> DataFrame:
+    """All pairs of one token and different components. Tokens are in one order for all documents, so where both ends have the pair's first shared
+    token among their FIRSTS first ones, the pair is taken there only."""
+    firsts = rest.groupBy("doc").agg(F.slice(F.transform(F.array_sort(F.collect_list(F.struct("pos", "token"))), lambda x: x["token"]), 1, FIRSTS).alias("firsts"))
+    rest = rest.join(firsts, "doc")
+    first = "coalesce(try_element_at(array_intersect(x.firsts, y.firsts), 1) = x.token, true)"
+    found = rest.alias("x").join(rest.alias("y"), "token").where("x.doc < y.doc and x.root <> y.root").where(_possible(num, den, "x", "y")).where(F.expr(first.replace("x.token", "token")))
+    return found.select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b")).distinct()
+
+
 def links_for_components(docs: DataFrame, survey: DataFrame, sketch_bits: int = SKETCH_BITS, num: int = NUM, den: int = DEN, leaders: tuple[int, ...] = LEADERS) -> DataFrame:
     """(node, root) over representatives of equal sets."""
     sc = docs.sparkSession.sparkContext
     sets = survey.where("kind = 0 and n > 0 and key is not null")
-    profiles = stored(sets.groupBy("n", "s1", "s2").agg(F.min("key").alias("doc"), *[F.first(f"p{i}").alias(f"p{i}") for i in range(PARITY_WORDS)]).drop("s1", "s2"))
-    classes = sc.broadcast(_classes(survey, sketch_bits))
-    docs = docs.where("doc_id is not null").withColumn("slot", _slot(F.col("doc_id")))
-    first = sc.broadcast(_bitmap(profiles, "doc"))
-    every = _prefixes(docs, classes, first, sketch_bits, num, den).withColumn("salt", F.shiftright("packed", 56))
-    # rare shingles have few documents by their class; shared ones are not counted, only dealt out
-    shared = every.withColumn("m", F.count("*").over(Window.partitionBy("token", "salt"))).where("m > 1 or salt > 0")
-    shared = shared.select("token", "doc", F.shiftright("packed", 28).bitwiseAND((1 << 28) - 1).cast("int").alias("n"), F.col("packed").bitwiseAND((1 << 28) - 1).cast("int").alias("pos"))
-    prefixes = stored(shared.join(profiles.select("doc"), "doc", "left_semi"))
-    roots = links = None
-    rest = prefixes.withColumn("root", F.col("doc"))
-    for step, many in enumerate(leaders):
-        if roots is not None:
-            rest = _open(rest, roots)
-        best = [F.min_by(F.struct("doc", "n", "pos", "root"), F.xxhash64("doc", F.lit(f"{step}.{k}"))) for k in range(many)]
-        led = rest.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.array_distinct(F.array(*best)).alias("l")).where("low < high").select("token", "l")
-        found = rest.alias("x").join(led, "token").withColumn("l", F.explode("l")).where("x.root <> l.root").where(_possible(num, den, "x", "l")).select(F.col("x.doc").alias("a"), F.col("l.doc").alias("b"))
-        found = stored(_near(_pairs(found), profiles, num, den))
-        if found.isEmpty():
-            break
-        got = _checked(found, docs, num, den)
-        links = got if links is None else links.union(got)
-        roots = components(links if roots is None else got.union(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))), rounds=2)
-    if roots is None:  # no leader has a candidate, others may have
-        roots = profiles.select(F.col("doc").alias("node"), F.col("doc").alias("root"))
-        links = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).limit(0)
-    rest = _open(rest, roots)
-    found = rest.alias("x").join(rest.alias("y"), "token").where("x.doc < y.doc and x.root <> y.root").where(_possible(num, den, "x", "y")).select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b"))
-    found = stored(_near(_pairs(found), profiles, num, den))
-    return components(links if found.isEmpty() else links.union(_checked(found, docs, num, den)))
+    unique = sets.groupBy("n", "s1", "s2").agg(F.min("key").alias("doc"), *[F.first(f"p{i}").alias(f"p{i}") for i in range(PARITY_WORDS)]).drop("s1", "s2")
+    with by_key(unique, "doc") as profiles:
+        classes = sc.broadcast(_classes(survey, sketch_bits))
+        docs = docs.where("doc_id is not null").withColumn("slot", F.xxhash64("doc_id"))
+        first = sc.broadcast(_Ids(profiles, "doc"))
+        every = _prefixes(docs, classes, first, sketch_bits, num, den).withColumn("salt", F.shiftright("packed", 56))
+        # rare shingles have few documents by their class; shared ones are not counted, only dealt out
+        shared = every.withColumn("m", F.count("*").over(Window.partitionBy("token", "salt"))).where("m > 1 or salt > 0")
+        shared = shared.select("token", "doc", F.shiftright("packed", 28).bitwiseAND((1 << 28) - 1).cast("int").alias("n"), F.col("packed").bitwiseAND((1 << 28) - 1).cast("int").alias("pos"))
+        rest = stored(shared.join(profiles.select("doc"), "doc", "left_semi").withColumn("root", F.col("doc")))
+        links = roots = None
+        for step, many in enumerate(leaders):
+            near = _near(_led_pairs(rest, step, many, num, den), profiles, num, den)
+            found = stored(near.groupBy("a").agg(F.min_by("b", F.struct("apart", "b")).alias("b")))
+            if found.isEmpty():
+                break
+            got = _checked(found, docs, num, den)
+            discard(found)
+            links = got if links is None else links.union(got)
+            roots = components(links, rounds=2)
+            before, rest = rest, _open(rest, roots)
+            discard(before)
+        found = stored(_near(_all_pairs_between(rest, num, den), profiles, num, den).select("a", "b"))
+        if not found.isEmpty():
+            got = _checked(found, docs, num, den)
+            links = got if links is None else links.union(got)
+        discard(found, rest)
+        if links is None:
+            links = found.limit(0)
+        return components(links)
 
 
 def link(docs: DataFrame, sketch_bits: int = SKETCH_BITS, num: int = NUM, den: int = DEN, leaders: tuple[int, ...] = LEADERS) -> DataFrame:
