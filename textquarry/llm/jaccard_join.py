@@ -5,9 +5,10 @@ threshold share a token of their prefixes under any one order; the first order f
 that sizes, positions and a 1024-bit parity sketch of each set give. What is left is intersected with two more orders (hashes up and down):
 both prefixes have to share a token there too. Only then are whole sets compared.
 
-Only connectivity is asked for, so candidates are taken in steps: each token's documents against a few leaders of that token (each document
-against the likeliest of them), which joins most copies, and then all pairs of a token that still lie in different components, each pair at its
-first shared token. A pair is skipped only when its ends are already connected by verified links, so components are those of all links.
+Only connectivity is asked for, so tokens of more than SMALL documents are taken in steps: their documents against a few leaders of each token
+(each document against the likeliest of them), which joins most copies. Then come all pairs of any token that still lie in different components,
+for the larger tokens each pair at its first shared token. A pair is skipped only when its ends are already connected by verified links, so
+components are those of all links.
 """
 
 from __future__ import annotations
@@ -34,10 +35,14 @@ _BLOCK_BITS = 16
 _ID_BITS = (16, 26)
 #: Leaders of each token in each step.
 LEADERS = (4, 8)
-#: A pair is taken at its first shared token if that is among so many first ones of both ends.
+#: Tokens of at most so many documents have no leaders.
+SMALL = 4
+#: A pair is taken at its first shared large token if that is among so many first ones of both ends.
 FIRSTS = 8
 #: 64-bit words of a set's parity sketch: bit i tells whether an odd number of its tokens hash to i.
 PARITY_WORDS = 16
+#: Sets of so many tokens have a second sketch of so many words, since small ones say little about large sets. A larger one folds to a smaller.
+WIDE = ((512, 64), (2048, 256))
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -100,14 +105,27 @@ class _Ids:
         return (self.words[s >> 6] >> (s & 63).astype(np.uint64)) & np.uint64(1) > 0
 
 
-def _parities(row: np.ndarray, h: np.ndarray, n: int) -> np.ndarray:
-    """n x PARITY_WORDS words; sets differ in at least as many tokens as their parities differ in bits."""
-    at = row * (PARITY_WORDS * 64) + (mixed(h ^ np.uint64(0x94D049BB133111EB)) % np.uint64(PARITY_WORDS * 64)).astype(np.int64)
-    odd = (np.bincount(at, minlength=n * PARITY_WORDS * 64) & 1).astype(np.uint8)
-    return np.packbits(odd, bitorder="little").view(np.int64).reshape(n, PARITY_WORDS)
+def _parities(row: np.ndarray, h: np.ndarray, n: int, words: int) -> np.ndarray:
+    """n x words; sets differ in at least as many tokens as their parities differ in bits."""
+    at = row * (words * 64) + (mixed(h ^ np.uint64(0x94D049BB133111EB)) % np.uint64(words * 64)).astype(np.int64)
+    odd = (np.bincount(at, minlength=n * words * 64) & 1).astype(np.uint8)
+    return np.packbits(odd, bitorder="little").view(np.int64).reshape(n, words)
 
 
-_SURVEY = ["kind", "key", "n", "s1", "s2", "counts", *(f"p{i}" for i in range(PARITY_WORDS))]
+def _wide(row: np.ndarray, h: np.ndarray, size: np.ndarray) -> pa.ListArray:
+    """The second sketch of each set, empty for small sets."""
+    level = np.searchsorted([least for least, _ in WIDE], size, "right")
+    n = np.array([0, *(words for _, words in WIDE)])[level]
+    ends = np.cumsum(n)
+    out = np.zeros(int(n.sum()), np.int64)
+    for i, (_, words) in enumerate(WIDE, 1):
+        for one in np.flatnonzero(level == i):
+            mine = slice(*np.searchsorted(row, [one, one + 1]))
+            out[ends[one] - words : ends[one]] = _parities(np.zeros(mine.stop - mine.start, np.int64), h[mine], 1, words)[0]
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(out))
+
+
+_SURVEY = ["kind", "key", "n", "s1", "s2", "counts", "wide", *(f"p{i}" for i in range(PARITY_WORDS))]
 
 
 def _survey(docs: DataFrame, sketch_bits: int) -> DataFrame:
@@ -128,15 +146,15 @@ def _survey(docs: DataFrame, sketch_bits: int) -> DataFrame:
                 total = np.zeros(len(h) + 1, np.uint64)
                 np.cumsum(mixed(h ^ salt), out=total[1:])
                 sums.append(_signed(total[ends] - total[ends - size]))
-            parities = [pa.array(np.ascontiguousarray(c)) for c in _parities(row, h, m).T]
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(m, np.int32)), rows.column("doc_id"), pa.array(size.astype(np.int32)), *sums, pa.nulls(m, pa.binary()), *parities], _SURVEY)
+            parities = [pa.array(np.ascontiguousarray(c)) for c in _parities(row, h, m, PARITY_WORDS).T]
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(m, np.int32)), rows.column("doc_id"), pa.array(size.astype(np.int32)), *sums, pa.nulls(m, pa.binary()), _wide(row, h, size), *parities], _SURVEY)
         for k in range(0, 1 << sketch_bits, 1 << _BLOCK_BITS):
             block = seen[k : k + (1 << _BLOCK_BITS)]
             if block.any():
                 none = pa.nulls(1, pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), pa.array([k >> _BLOCK_BITS]), pa.nulls(1, pa.int32()), none, none, pa.array([zlib.compress(block.tobytes(), 1)], pa.binary()), *([none] * PARITY_WORDS)], _SURVEY)
+                yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), pa.array([k >> _BLOCK_BITS]), pa.nulls(1, pa.int32()), none, none, pa.array([zlib.compress(block.tobytes(), 1)], pa.binary()), pa.nulls(1, pa.list_(pa.int64())), *([none] * PARITY_WORDS)], _SURVEY)
 
-    return docs.mapInArrow(part, "kind int, key long, n int, s1 long, s2 long, counts binary, " + ", ".join(f"p{i} long" for i in range(PARITY_WORDS)))
+    return docs.mapInArrow(part, "kind int, key long, n int, s1 long, s2 long, counts binary, wide array<long>, " + ", ".join(f"p{i} long" for i in range(PARITY_WORDS)))
 
 
 def _adder(kind: type):
@@ -237,9 +255,16 @@ def _near(pairs: DataFrame, profiles: DataFrame, num: int, den: int) -> DataFram
     """The pairs whose parities leave room for the needed overlap, with the bits in which they differ (apart)."""
     side = lambda c: profiles.select(F.col("doc").alias(c), *[F.col(x).alias(f"{c}_{x}") for x in profiles.columns if x != "doc"])
     apart = " + ".join(f"bit_count(a_p{i} ^ b_p{i})" for i in range(PARITY_WORDS))
-    need = f"((({num} * (a_n + b_n) + {num + den} - 1) div {num + den}))"
-    both = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("apart", F.expr(apart))
-    return both.where(F.expr(f"apart <= a_n + b_n - 2 * {need}")).select("a", "b", "apart")
+    few, many = (words for _, words in WIDE)
+    fold = lambda x: f"transform(sequence(0, {few - 1}), i -> {' ^ '.join(f'{x}[i + {k}]' for k in range(0, many, few))})"
+    differ = lambda x, y: f"aggregate(zip_with({x}, {y}, (p, q) -> bit_count(p ^ q)), 0, (s, v) -> s + v)"
+    wide = (
+        f"case when size(a_wide) = 0 or size(b_wide) = 0 then 0 when size(a_wide) = size(b_wide) then {differ('a_wide', 'b_wide')} "
+        f"when size(a_wide) > size(b_wide) then {differ(fold('a_wide'), 'b_wide')} else {differ('a_wide', fold('b_wide'))} end"
+    )
+    room = f"(a_n + b_n - 2 * (({num} * (a_n + b_n) + {num + den} - 1) div {num + den}))"
+    both = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("apart", F.expr(apart)).where(F.expr(f"apart <= {room}"))
+    return both.withColumn("apart", F.expr(f"greatest(apart, {wide})")).where(F.expr(f"apart <= {room}")).select("a", "b", "apart")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -262,36 +287,47 @@ def _checked(pairs: DataFrame, docs: DataFrame, num: int, den: int) -> DataFrame
         return _verified(pairs, sets, num, den)
 
 
+def _rooted(prefixes: DataFrame, roots: DataFrame | None) -> DataFrame:
+    if roots is None:
+        return prefixes
+    return prefixes.drop("root").join(roots.withColumnRenamed("node", "doc"), "doc", "left").withColumn("root", F.coalesce("root", "doc"))
+
+
 def _open(prefixes: DataFrame, roots: DataFrame) -> DataFrame:
     """The prefix rows, with their documents' roots, of tokens whose documents lie in several components. A token that is closed stays so."""
-    x = prefixes.drop("root").join(roots.withColumnRenamed("node", "doc"), "doc", "left").withColumn("root", F.coalesce("root", "doc"))
+    x = _rooted(prefixes, roots)
     spread = x.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("token")
     return stored(x.join(spread, "token", "left_semi"))
 
 
 def _led_pairs(rest: DataFrame, step: int, many: int, num: int, den: int) -> DataFrame:
     """(document, leader) of one token and different components; a token's leaders are the `many` first by a hash of their ids."""
-    best = [F.min_by(F.struct("doc", "n", "pos", "root"), F.xxhash64("doc", F.lit(f"{step}.{k}"))) for k in range(many)]
-    led = rest.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.array_distinct(F.array(*best)).alias("l")).where("low < high").select("token", "l")
-    found = rest.alias("x").join(led, "token").withColumn("l", F.explode("l")).where("x.root <> l.root").where(_possible(num, den, "x", "l"))
+    fields = ["doc", "n_pos"] if step == 0 else ["doc", "n_pos", "root"]  # at first each document is its own root
+    packed = rest.withColumn("n_pos", F.shiftleft(F.col("n").cast("long"), 32) + F.col("pos"))
+    best = [F.min_by(F.struct(*fields), F.xxhash64("doc", F.lit(f"{step}.{k}"))) for k in range(many)]
+    led = packed.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.array_distinct(F.array(*best)).alias("l")).where("low < high").select("token", "l")
+    led = led.select("token", F.explode("l").alias("l")).select("token", "l.doc", F.shiftright("l.n_pos", 32).alias("n"), F.expr("cast(l.n_pos & 2147483647 as int)").alias("pos"), F.col(f"l.{fields[-1]}" if step else "l.doc").alias("root"))
+    found = rest.alias("x").join(led.alias("l"), "token").where("x.root <> l.root").where(_possible(num, den, "x", "l"))
     return found.select(F.col("x.doc").alias("a"), F.col("l.doc").alias("b")).distinct()
 
 
-def _all_pairs_between(rest: DataFrame, num: int, den: int) -> DataFrame:
-    """All pairs of one token and different components. Tokens are in one order for all documents, so where both ends have the pair's first shared
-    token among their FIRSTS first ones, the pair is taken there only."""
-    firsts = rest.groupBy("doc").agg(F.slice(F.transform(F.array_sort(F.collect_list(F.struct("pos", "token"))), lambda x: x["token"]), 1, FIRSTS).alias("firsts"))
-    rest = rest.join(firsts, "doc")
-    first = "coalesce(try_element_at(array_intersect(x.firsts, y.firsts), 1) = x.token, true)"
-    found = rest.alias("x").join(rest.alias("y"), "token").where("x.doc < y.doc and x.root <> y.root").where(_possible(num, den, "x", "y")).where(F.expr(first.replace("x.token", "token")))
-    return found.select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b")).distinct()
+def _pairs_of_tokens(rest: DataFrame, num: int, den: int, at_first: bool) -> DataFrame:
+    """All pairs of one token and different components. Tokens are in one order for all documents, so `at_first`: where both ends have the pair's
+    first shared token among their FIRSTS first ones, the pair is taken there only."""
+    if at_first:
+        ordered = F.transform(F.array_sort(F.collect_list(F.struct("pos", "token"))), lambda x: x["token"])
+        rest = rest.join(rest.groupBy("doc").agg(F.slice(ordered, 1, FIRSTS).alias("firsts")), "doc")
+    found = rest.alias("x").join(rest.alias("y"), "token").where("x.doc < y.doc and x.root <> y.root").where(_possible(num, den, "x", "y"))
+    if at_first:
+        found = found.where("coalesce(try_element_at(array_intersect(x.firsts, y.firsts), 1) = token, true)")
+    return found.select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b"))
 
 
 def links_for_components(docs: DataFrame, survey: DataFrame, sketch_bits: int = SKETCH_BITS, num: int = NUM, den: int = DEN, leaders: tuple[int, ...] = LEADERS) -> DataFrame:
     """(node, root) over representatives of equal sets."""
     sc = docs.sparkSession.sparkContext
     sets = survey.where("kind = 0 and n > 0 and key is not null")
-    unique = sets.groupBy("n", "s1", "s2").agg(F.min("key").alias("doc"), *[F.first(f"p{i}").alias(f"p{i}") for i in range(PARITY_WORDS)]).drop("s1", "s2")
+    unique = sets.groupBy("n", "s1", "s2").agg(F.min("key").alias("doc"), F.first("wide").alias("wide"), *[F.first(f"p{i}").alias(f"p{i}") for i in range(PARITY_WORDS)]).drop("s1", "s2")
     with by_key(unique, "doc") as profiles:
         classes = sc.broadcast(_classes(survey, sketch_bits))
         docs = docs.where("doc_id is not null").withColumn("slot", F.xxhash64("doc_id"))
@@ -299,11 +335,13 @@ def links_for_components(docs: DataFrame, survey: DataFrame, sketch_bits: int =
         every = _prefixes(docs, classes, first, sketch_bits, num, den).withColumn("salt", F.shiftright("packed", 56))
         # rare shingles have few documents by their class; shared ones are not counted, only dealt out
         shared = every.withColumn("m", F.count("*").over(Window.partitionBy("token", "salt"))).where("m > 1 or salt > 0")
-        shared = shared.select("token", "doc", F.shiftright("packed", 28).bitwiseAND((1 << 28) - 1).cast("int").alias("n"), F.col("packed").bitwiseAND((1 << 28) - 1).cast("int").alias("pos"))
-        rest = stored(shared.join(profiles.select("doc"), "doc", "left_semi").withColumn("root", F.col("doc")))
+        low28 = F.lit((1 << 28) - 1)
+        shared = shared.select("token", "doc", F.shiftright("packed", 28).bitwiseAND(low28).cast("int").alias("n"), F.col("packed").bitwiseAND(low28).cast("int").alias("pos"), F.expr(f"m > {SMALL} or salt > 0").alias("large"))
+        every = stored(shared.join(profiles.select("doc"), "doc", "left_semi").withColumn("root", F.col("doc")))
+        large, small = every.where("large"), every.where("not large")
         links = roots = None
         for step, many in enumerate(leaders):
-            near = _near(_led_pairs(rest, step, many, num, den), profiles, num, den)
+            near = _near(_led_pairs(large, step, many, num, den), profiles, num, den)
             found = stored(near.groupBy("a").agg(F.min_by("b", F.struct("apart", "b")).alias("b")))
             if found.isEmpty():
                 break
@@ -311,16 +349,15 @@ def links_for_components(docs: DataFrame, survey: DataFrame, sketch_bits: int =
             discard(found)
             links = got if links is None else links.union(got)
             roots = components(links, rounds=2)
-            before, rest = rest, _open(rest, roots)
+            before, large = large, _open(large, roots)
             discard(before)
-        found = stored(_near(_all_pairs_between(rest, num, den), profiles, num, den).select("a", "b"))
+        pairs = _pairs_of_tokens(large, num, den, True).union(_pairs_of_tokens(_rooted(small, roots), num, den, False)).distinct()
+        found = stored(_near(pairs, profiles, num, den).select("a", "b"))
         if not found.isEmpty():
             got = _checked(found, docs, num, den)
             links = got if links is None else links.union(got)
-        discard(found, rest)
-        if links is None:
-            links = found.limit(0)
-        return components(links)
+        discard(found, every, large)
+        return components(found.limit(0) if links is None else links)
 
 
 def link(docs: DataFrame, sketch_bits: int = SKETCH_BITS, num: int = NUM, den: int = DEN, leaders: tuple[int, ...] = LEADERS) -> DataFrame:
