@@ -4,12 +4,13 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
 import corpus_pipeline
-from textquarry.llm import context_mixing as cm, lm_scoring
+from textquarry.llm import context_mixing as cm, lm_scoring, words
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -39,26 +40,96 @@ def test_unseen_documents_score_above_unigrams(spark):
     assert score > base
 
 
+def model(bits=12, seed=1):
+    counts = np.zeros((256, 256), np.int64)
+    text = b"ab ba abba baab " * 30
+    np.add.at(counts, (np.frombuffer(text[:-1], np.uint8), np.frombuffer(text[1:], np.uint8)), 1)
+    rng = np.random.default_rng(seed)
+    tables = [cm.odds_of(rng.integers(0, 9, (1 << cm.slot_bits(k, bits), 2))) for k in cm.ORDERS]
+    return cm.tree_of(counts), tables, (cm.first_weights() + rng.normal(size=(cm.GATES, cm.INPUTS)) * 0.05).astype(np.float32), bits
+
+
+def scores(texts, tree, tables, w, bits):
+    offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    return cm.log10_probabilities(cm.evidence(cm.decisions(np.frombuffer(b"".join(texts), np.uint8), offsets, tree, bits), tables, w))[0]
+
+
+def scalar_score(text, tree, tables, w, bits):
+    """The model again, one decision after another."""
+    whole, u = (1 << 64) - 1, np.uint64
+    text = bytes([cm.END] * 8) + bytes(b + 32 if 65 <= b <= 90 else b for b in text) + bytes([cm.END])
+    shift, pending, total, n = np.zeros((cm.GROUPS, cm.INPUTS)), [], 0.0, 0
+    for at in range(8, len(text)):
+        code = text[at - 1] * 256 + text[at]
+        begin = at
+        while text[begin - 1] not in b" \t\n\v\f\r" and text[begin - 1] != cm.END:
+            begin -= 1
+        word = sum((b + 1) * pow(words._BASE, j, 1 << 64) for j, b in enumerate(text[begin:at])) & whole
+        for step in range(tree.first[code], tree.first[code] + tree.length[code]):
+            node, turn = int(tree.node[step]), int(tree.turn[step])
+            odds = []
+            for k, table in zip(cm.ORDERS, tables, strict=True):
+                if k == 1:
+                    slot = text[at - 1] * 256 + node
+                else:
+                    h = int.from_bytes(text[at - k : at], "big") + k if k else 0
+                    h = (h * 0x9E3779B97F4A7C15) & whole
+                    h = ((h ^ (h >> 29)) * 0xBF58476D1CE4E5B9) & whole
+                    h = int(words.mixed(np.array([(word + 77) & whole], u))[0]) if k == 0 else h
+                    slot = ((h >> (64 - bits)) + node) & ((1 << bits) - 1)
+                odds.append(int(table[slot]))
+            gate = (abs(odds[-2]) >> 4) * cm.SURENESS + (abs(odds[-1]) >> 4)
+            group = (gate >> 1) & (cm.GROUPS - 1)
+            x = np.array([*(v / cm.SCALE for v in odds), cm.CONSTANT])
+            sign = 2 * turn - 1
+            q = 1 / (1 + math.exp(-sign * float((w[gate] + shift[group]) @ x)))
+            q = min(max(q, 1e-5), 1 - 1e-5)
+            total += math.log10(q)
+            pending.append((group, cm.STEP * (1 - q) * sign * x))
+            n += 1
+            if n % cm.REFINE == 0:
+                for g, step_ in pending:
+                    shift[g] += step_
+                pending = []
+    return total
+
+
+def test_scores_equal_a_scalar_model():
+    tree, tables, w, bits = model()
+    texts = [b"", b"a", b"Abba ba\nabab", b"ab ba  zebra \xc3\xa9 " * 40, b"x" * 90]
+    got = scores(texts, tree, tables, w, bits)
+    assert got == pytest.approx([scalar_score(t, tree, tables, w, bits) for t in texts], rel=1e-4)
+
+
 def test_scores_are_probabilities():
-    """The model is a distribution over texts: those of at most one symbol take less than 1; and a text's score is the product of its decisions."""
-    tree = cm.tree_of(np.bincount(np.frombuffer(b"ab" * 50, np.uint8), minlength=256))
-    rng = np.random.default_rng(1)
-    tables = [cm.packed(rng.integers(0, 9, (1 << bits, 2))) for _, bits in cm.ORDERS]
-    w = cm.first_weights()
-    symbols = [bytes([i]) for i in range(255) if not 65 <= i <= 90]
-
-    def score(texts):
-        data = np.frombuffer(b"".join(texts), np.uint8)
-        return 10 ** cm.log10_probabilities(cm.decisions(data, np.concatenate([[0], np.cumsum([len(t) for t in texts])]), tree), tables, w)
-
-    # texts of one symbol and the empty text are part of all texts
-    one = score(symbols)
-    assert 0 < one.sum() + score([b""])[0] < 1
-    d = cm.decisions(np.frombuffer(b"ab", np.uint8), np.array([0, 2]), tree)
-    x, gate = cm.inputs_packed(d, tables)
-    z = sum(w[gate, k] * v for k, v in enumerate(x)) + w[gate, -1] * cm.CONSTANT
-    p = 1 / (1 + np.exp(-z * (2 * d.turn - 1)))
-    assert cm.log10_probabilities(d, tables, w)[0] == pytest.approx(np.log10(np.clip(p, 1e-5, 1 - 1e-5)).sum(), rel=1e-5)
+    """The model is a distribution over texts: texts of at most one symbol, and the empty text, take less than 1."""
+    m = model()
+    one = 10 ** scores([bytes([i]) for i in range(255) if not 65 <= i <= 90], *m)
+    assert 0 < one.sum() + 10 ** scores([b""], *m)[0] < 1
+
+
+def test_windows_of_a_long_text_give_its_score():
+    m = model()
+    text = b"ab ba abba zebra " * 300
+    batch = pa.RecordBatch.from_arrays([pa.array([text.decode()])], ["text"])
+    total, shift = 0.0, None
+    for _, data, offsets, lead, last in cm.windows([batch], cm.REFINE * 5):
+        value, shift = cm.log10_probabilities(cm.evidence(cm.decisions(data, offsets, m[0], m[3], lead, last), m[1], m[2]), shift)
+        total += value[0]
+    assert total == pytest.approx(scores([text], *m)[0], rel=2e-3)  # refined at other decisions
+
+
+def test_learning_halves_large_counts():
+    tree, _, _, bits = model()
+    learner = cm.Learner(bits)
+    text = np.frombuffer(b"aaaa " * 4000, np.uint8)
+    for _ in range(8):
+        learner.add(cm.decisions(text, np.array([0, len(text)]), tree, bits))
+    seen = learner.counts[0].view(np.uint16)
+    assert seen.max() < 40_000 and (learner.weights != cm.first_weights()).any()
+    d = cm.decisions(text[:4000], np.array([0, 4000]), tree, bits)
+    tables = [cm.odds_of(c.view(np.uint16).reshape(-1, 2).astype(np.int64)) for c in learner.counts]
+    assert -cm.log10_probabilities(cm.evidence(d, tables, learner.weights))[0][0] * np.log2(10) / 4000 < 0.05
 
 
 def test_scores_of_odd_rows(spark):
