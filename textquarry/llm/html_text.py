@@ -1,8 +1,9 @@
 """Main-text extraction from web pages by tree scoring.
 
 Paragraphs give points for length and commas to their ancestors, halved at each level up; a container's points are discounted by the share of
-its text that is links. The best container, or the article around it, and its siblings of less than a quarter links hold the main text; page
-furniture is cut out before.
+its text that is links. The best container, or the article around it, and its siblings of less than a quarter links hold the main text. What is
+page furniture by its element, or hidden, or reader comments by its name, never counts; what is only named like furniture counts where it
+holds most of the points of its article or page. All passes are linear in the page.
 """
 
 from __future__ import annotations
@@ -26,33 +27,58 @@ BLOCKS = frozenset(
 CONTAINERS = frozenset("article body div main section td table blockquote html ul ol li dl figure tr tbody fieldset details center".split())
 SCORED = frozenset("article body center div main section table td blockquote".split())
 CLOSES_P = BLOCKS - {"body", "html", "head", "li", "dd", "dt", "td", "th", "tr", "tbody", "thead", "tfoot", "legend", "summary", "figcaption"}
-AVOIDED = frozenset(
+COMMENTS = frozenset("comment comments disqus replies respond".split())
+AVOIDED = COMMENTS | frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe nav navbar navigation menu breadcrumb "
-    "breadcrumbs header masthead footer sidebar aside comment comments disqus replies respond share sharing social related recommended widget toolbar pagination pager login signup form search copyright".split()
+    "breadcrumbs header masthead footer sidebar aside complementary contentinfo share sharing social related recommended widget toolbar pagination pager login signup form search copyright".split()
 )
-WANTED = frozenset("article content main post entry story body text".split())
+#: Words that say nothing of a block's matter: before them the first word of a name counts, as in comment-list.
+GENERIC = frozenset("list box bar wrap wrapper container inner outer area section block link links item items panel button buttons icon icons group row column col top bottom left right content body text thread".split())
+NEVER_NAMED = frozenset("article main body html p h1 h2 h3 h4 h5 h6 pre b i em strong a".split())
 
 _TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*>|[^>]*(?:>|\Z))|[!?/][^>]*(?:>|\Z))", re.S)
 _NAME = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_WORD = re.compile(r"[a-z0-9]+")
-
-
-def _avoided(tag: str, attributes: str, inside_article: bool) -> bool:
-    if tag in FURNITURE or (tag == "header" and not inside_article):
-        return True
-    if tag in ("article", "main", "body", "html") or "=" not in attributes:
-        return False
-    names = set(_WORD.findall(" ".join(a or b or c for a, b, c in _NAME.findall(attributes)).lower()))
-    return bool(names & AVOIDED) and not names & WANTED
+_HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|>|$)|display\s*:\s*none|visibility\s*:\s*hidden|aria-hidden\s*=\s*[\"']?true", re.I)
+_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+_RAW_END = {name: re.compile(rf"</{name}\b[^>]*(?:>|\Z)", re.I) for name in RAW}
+KEPT, NAMED, CUT = 0, 1, 2
+
+
+def _named(attributes: str) -> frozenset[str]:
+    """Words of AVOIDED that a class, id or role says the block is: its last word, or the first before a generic last one."""
+    found = set()
+    for a, b, c in _NAME.findall(attributes):
+        for name in (a or b or c).split():
+            words = [w.lower() for w in _WORD.findall(name)]
+            if words:
+                found.add(words[0] if words[-1] in GENERIC else words[-1])
+    return frozenset(found & AVOIDED)
+
+
+def _state(tag: str, attributes: str) -> int:
+    """CUT: never part of the text. NAMED: furniture by its name, unless it holds most of its article or page."""
+    if tag in FURNITURE:
+        return CUT
+    if not attributes.strip(" >/"):
+        return KEPT
+    if _HIDDEN.search(attributes):
+        return CUT
+    if tag in NEVER_NAMED:
+        return KEPT
+    names = _named(attributes)
+    return CUT if names & COMMENTS else NAMED if names else KEPT
 
 
 class _Page:
     """Nodes as parallel lists, and the blocks of text found under them."""
 
     def __init__(self, html: str):
-        self.tag, self.parent, self.cut = ["#page"], [-1], [False]
+        self.tag, self.parent, self.state = ["#page"], [-1], [KEPT]
         self.blocks: list[tuple[int, str, int]] = []  # node, text, characters of it in links
-        self._open, self._parts, self._linked, self._links = [0], [], 0, 0
+        self._open, self._parts, self._linked = [0], [], 0
+        self._at: dict[str, list[int]] = {}  # where in _open each tag is
+        self._block_at, self._container_at = [], []
+        self._cut = self._article = 0  # how many open nodes are
         at = 0
         while True:
             found = _TAG.search(html, at)
@@ -66,16 +92,17 @@ class _Page:
             if found[1]:
                 self._end(name)
             elif name in RAW:
-                close = re.compile(rf"</{re.escape(name)}\b[^>]*(?:>|\Z)", re.I).search(html, at) if not found[3].endswith("/>") else None
-                at = close.end() if close else (at if found[3].endswith("/>") else len(html))
+                if not found[3].endswith("/>"):
+                    close = _RAW_END[name].search(html, at)
+                    at = close.end() if close else len(html)
             else:
                 self._start(name, found[3])
         self._flush()
 
     def _add(self, text: str) -> None:
-        if text and not self.cut[self._open[-1]]:
+        if text and not self._cut:
             self._parts.append(text)
-            if self._links:
+            if self._at.get("a"):
                 self._linked += len(text)
 
     def _flush(self) -> None:
@@ -99,37 +126,48 @@ class _Page:
                     self._close(same, frozenset(("ul", "ol", "dl", "table")) if name != "tr" else frozenset(("table",)))
         if name in VOID or attributes.endswith("/>") and name not in BLOCKS:
             return
-        if name == "a":
-            self._links += 1
-        up = self._open[-1]
+        state = _state(name, attributes)
+        if name == "header" and state == KEPT and not self._article and self.tag[self._open[-1]] in ("body", "html", "#page"):
+            state = NAMED
         self.tag.append(name)
-        self.parent.append(up)
-        self.cut.append(self.cut[up] or _avoided(name, attributes, any(self.tag[n] in ("article", "main") for n in self._open)))
+        self.parent.append(self._open[-1])
+        self.state.append(state)
+        self._at.setdefault(name, []).append(len(self._open))
+        if name in BLOCKS:
+            self._block_at.append(len(self._open))
+        if name in CONTAINERS:
+            self._container_at.append(len(self._open))
+        self._cut += state == CUT
+        self._article += name in ("article", "main")
         self._open.append(len(self.tag) - 1)
 
+    def _last(self, names: frozenset[str] | tuple[str, ...]) -> int:
+        return max((self._at[n][-1] for n in names if self._at.get(n)), default=0)
+
     def _close(self, name: str, until: frozenset[str]) -> None:
-        for i in range(len(self._open) - 1, 0, -1):
-            tag = self.tag[self._open[i]]
-            if tag == name:
-                self._pop(i)
-                return
-            if tag in until:
-                return
-
-    def _pop(self, i: int) -> None:
-        self._links -= sum(self.tag[n] == "a" for n in self._open[i:])
-        del self._open[i:]
+        at = self._last((name,))
+        if at and at >= self._last(until):
+            self._pop(at)
+
+    def _pop(self, to: int) -> None:
+        while len(self._open) > to:
+            node = self._open.pop()
+            name = self.tag[node]
+            self._at[name].pop()
+            if name in BLOCKS:
+                self._block_at.pop()
+            if name in CONTAINERS:
+                self._container_at.pop()
+            self._cut -= self.state[node] == CUT
+            self._article -= name in ("article", "main")
 
     def _end(self, name: str) -> None:
         if name in BLOCKS:
             self._flush()
-        for i in range(len(self._open) - 1, 0, -1):
-            tag = self.tag[self._open[i]]
-            if tag == name:
-                self._pop(i)
-                return
-            if name not in BLOCKS and tag in BLOCKS or name == "p" and tag in CONTAINERS:
-                return
+        at = self._last((name,))
+        barrier = self._container_at if name == "p" else [] if name in BLOCKS else self._block_at
+        if at and (not barrier or at >= barrier[-1]):
+            self._pop(at)
 
     def _whole(self, node: int) -> int:
         """The nearest article or main that holds the node, else the node."""
@@ -138,35 +176,54 @@ class _Page:
             level = self.parent[level]
         return level if level > 0 else node
 
+    def _without_named(self) -> tuple[list[tuple[int, str, int]], list[bool]]:
+        """The blocks outside of named furniture, and which nodes are inside of it. A named node counts as text if it holds more than half of the points
+        of the article around it, or, outside of any article, of the page and every article of it."""
+        n = len(self.tag)
+        mass, articles, around = [0.0] * n, [0] * n, [0] * n
+        for node, text, linked in self.blocks:
+            mass[node] += _points(text, linked)
+        for i in range(n - 1, 0, -1):
+            articles[i] += self.tag[i] in ("article", "main") and mass[i] > 0
+            mass[self.parent[i]] += mass[i]
+            articles[self.parent[i]] += articles[i]
+        gone = [False] * n
+        for i in range(1, n):
+            up = self.parent[i]
+            around[i] = up if self.tag[up] in ("article", "main") else around[up]
+            few = 2 * mass[i] <= mass[around[i]] or not around[i] and articles[i] < articles[0]
+            gone[i] = gone[up] or self.state[i] == CUT or (self.state[i] == NAMED and few)
+        return [x for x in self.blocks if not gone[x[0]]], gone
+
     def main_blocks(self) -> list[str]:
         n = len(self.tag)
+        blocks, gone = self._without_named()
         points, size, linked = [0.0] * n, [0] * n, [0] * n
-        for node, text, in_links in self.blocks:
-            value = 1 + text.count(",") + min(len(text) / 100, 3.0) - (in_links / len(text)) * 4
-            level, part = node, 1.0
-            while level >= 0:
-                if self.tag[level] in SCORED or level == 0:
-                    points[level] += value * part
-                    part /= 2
-                level = self.parent[level]
-            level = node
-            while level >= 0:
-                size[level] += len(text)
-                linked[level] += in_links
-                level = self.parent[level]
+        for node, text, in_links in blocks:
+            points[node] += _points(text, in_links)
+            size[node] += len(text)
+            linked[node] += in_links
+        for i in range(n - 1, 0, -1):  # children come after their parents
+            up = self.parent[i]
+            points[up] += points[i] / 2 if self.tag[i] in SCORED else points[i]
+            size[up] += size[i]
+            linked[up] += linked[i]
         score = [p * (1 - k / s) + (25 if t in ("article", "main") else 0) if s else -1e9 for p, s, k, t in zip(points, size, linked, self.tag, strict=True)]
         candidates = [i for i in range(n) if size[i] and (self.tag[i] in SCORED or i == 0)]
         if not candidates:
             return []
-        best = max(candidates, key=lambda i: (score[i], -i))
-        best = self._whole(best)
+        best = self._whole(max(candidates, key=lambda i: (score[i], -i)))
         chosen = {best}
         if best:
-            chosen.update(i for i in range(n) if self.parent[i] == self.parent[best] and size[i] and not self.cut[i] and linked[i] < 0.25 * size[i])
+            chosen.update(i for i in range(n) if self.parent[i] == self.parent[best] and size[i] and not gone[i] and linked[i] < 0.25 * size[i])
         inside = [False] * n
         for i in range(n):
             inside[i] = i in chosen or (self.parent[i] >= 0 and inside[self.parent[i]])
-        return [text for node, text, _ in self.blocks if inside[node]]
+        return [text for node, text, _ in blocks if inside[node]]
+
+
+def _points(text: str, linked: int) -> float:
+    return 1 + text.count(",") + min(len(text) / 100, 3.0) - (linked / len(text)) * 4
 
 
 def main_text(html: str | None) -> str:
