@@ -61,6 +61,12 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>v
 <div class="sidebar"><p>Related, related, related things, many of them, and more.</p></div><section id="comments"><p>Nice, really nice, the best, I think, of all.</p></section><footer>&copy; me</footer></body></html>"""
 
 
+def test_a_null_conversation_is_not_the_empty_one(spark):
+    rows = [(None, 1, "user", "a"), ("", 1, "user", "b"), ("", 2, "user", "c")]
+    got = chat.render(spark.createDataFrame(rows, "conv_id string, turn long, role string, text string")).collect()
+    assert {(r["conv_id"], r["n_turns"]) for r in got} == {(None, 1), ("", 2)}
+
+
 def test_main_text_of_a_page():
     assert html_text.main_text(PAGE) == "Head & tail\nFirst paragraph, with bold, a link and text.\nSecond <one> unclosed é.\nitem one\nitem two\ncode here"
 

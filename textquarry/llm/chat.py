@@ -25,8 +25,8 @@ def _turns(rows: DataFrame) -> DataFrame:
 
 
 def _key(df: DataFrame) -> DataFrame:
-    """A null conv_id is an id of its own."""
-    return df.withColumn("c", F.coalesce(F.col("conv_id").cast("string"), F.lit("")))
+    """A null conv_id is an id of its own, not that of an empty text."""
+    return df.withColumn("c", F.coalesce(F.concat(F.lit("="), F.col("conv_id").cast("string")), F.lit("")))
 
 
 def _numbered(turns: DataFrame) -> DataFrame:

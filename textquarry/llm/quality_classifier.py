@@ -151,7 +151,7 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
 
 
 def keep(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of `docs`, all columns, whose score reaches the threshold. Only the labelled rows' statistics are kept for the fit."""
+    """The rows of `docs`, all columns, whose score reaches the threshold. Statistics of all documents are stored for the fit."""
     model = docs.sparkSession.sparkContext.broadcast(fit(stored(statistics(docs)), labels))
 
     def kept_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
