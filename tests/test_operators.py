@@ -285,3 +285,44 @@ def test_small_helpers(spark):
     assert sampling.prioritised(files, F.col("path") == "f7", F.col("path") == "f8").orderBy("rank").first()["path"] == "f7"
     hints = reports.edit_hints(spark.createDataFrame([("a", i, "n" * 90 + str(i)) for i in range(9)], "path string, ts int, note string")).first()["hint"]
     assert len(hints) == 400 and hints.startswith("n" * 90 + "8")
+
+
+def test_requests_that_read_all_files(spark):
+    rows = [("a", "Find magic numbers, please"), ("b", "any open issue?"), ("c", "有什麼問題"), ("d", "show me the parser"), ("e", None), ("f", "有多少")]
+    got = {r["id"]: (r["is_audit"], r["is_review"], r["reads_all"], r["mode"]) for r in queries.with_intent(spark.createDataFrame(rows, "id string, query string").withColumn("mode", F.lit("agent")), mode="mode").collect()}
+    assert got == {"a": (True, False, True, "direct"), "b": (False, True, True, "direct"), "c": (False, True, True, "direct"), "d": (False, False, False, "agent"), "e": (False, False, False, "agent"), "f": (False, False, False, "direct")}
+
+
+def test_cosines_in_blocks_and_with_k(spark):
+    rng = random.Random(2)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(6)]) for i in range(80)] + [(80, None), (81, [1.0, 2.0]), (82, [0.0] * 6)]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    asked = v.where("vec_id < 9").select(F.col("vec_id").alias("query_id"), "embedding")
+    every = vectors.cosine_scores(v, asked, block=4)
+    assert every.count() == 9 * 81
+    want = {(r["query_id"], r["vec_id"], r["rank"]) for r in vectors.nearest(every, 5).collect()}
+    assert {(r["query_id"], r["vec_id"], r["rank"]) for r in vectors.nearest(vectors.cosine_scores(v, asked, k=5), 5).collect()} == want
+    assert all((i, i, 1) in want for i in range(9))
+    assert vectors.cosine_scores(v, asked.limit(0)).count() == 0
+    with pytest.raises(ValueError, match="more than 3"):
+        vectors.cosine_scores(v, asked, most_queries=3)
+
+
+def test_artifact_hits_have_types(spark):
+    index = spark.createDataFrame([("pattern:p:1", [1.0, 0.0]), ("edge_case:e", [0.6, 0.8]), ("bare", [0.0, 1.0])], "vec_id string, embedding array<double>")
+    asked = spark.createDataFrame([(7, [0.0, 1.0])], "query_id int, embedding array<double>")
+    got = [(r["artifact_type"], r["artifact_id"], round(r["relevance"], 3), r["rank"]) for r in vectors.artifact_hits(index, asked, min_score=0.5).orderBy("rank").collect()]
+    assert got == [("unknown", "bare", 1.0, 1), ("edge_case", "e", 0.8, 2)]
+
+
+def test_project_memory_is_indexed_anew(spark):
+    text = "# Title\n\n" + "Some words that fill a section of a file. " * 6
+    files = spark.createDataFrame([("p", "PROJECT.md", text), ("p", "modules/core.md", text), ("p", "modules/deep/x.md", text), ("p", "notes.md", text)], "project string, path string, content string")
+    index = spark.createDataFrame([("p", "PATTERNS.md", 0, "old", "gone"), ("q", "PROJECT.md", 0, "h", "stays")], "project string, path string, chunk_index int, section_header string, content string")
+    got = {(r["project"], r["path"]) for r in retrieval.indexed_memory(index, files).collect()}
+    assert got == {("q", "PROJECT.md"), ("p", "PROJECT.md"), ("p", "modules/core.md")}
+
+
+def test_passages_of_wanted_sources(spark):
+    rows = spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "doc_id int, source string")
+    assert [r["doc_id"] for r in retrieval.from_sources(rows, rows.where("source = 'b'")).collect()] == [2]

@@ -26,6 +26,21 @@ MAP_ONLY = (
     r"(?i)(影響|affect|depend|import|誰呼叫|who call|called by|uses|用到|架構|architecture|pattern|模式|禁止|forbidden|規範|convention|"
     r"side effect|有沒有副作用|critical|核心路徑|overview|概覽|what does .+ do|這個.*做什麼|purpose|用途)"
 )
+# What marks a request as an audit for literals, and as a review of a whole code base.
+AUDIT = r"(?i)(hardcode|hard.code|magic.number|hard.coded|寫死|硬編碼|audit|grep|列出所有|找出所有|所有檔案|scan)"
+REVIEW = r"(?i)(問題|有什麼問題|哪些問題|架構問題|code.quality|code.smell|improvement|what.*wrong|any.*issue|review|檢查|掃描)"
+# What sends a chat request past its chosen mode, to direct reading of files.
+DIRECT = (
+    r"(?i)(hardcode|hard.code|magic.number|hard.coded|寫死|硬編碼|audit|scan all|列出所有|找出所有|有多少|grep|"
+    r"問題|有什麼問題|哪些問題|架構問題|code.quality|code.smell|improvement|what.*wrong|any.*issue|review|檢查|掃描)"
+)
+
+
+def with_intent(df: DataFrame, query: str = "query", mode: str | None = None) -> DataFrame:
+    """Adds is_audit, is_review and reads_all (either), and, where `mode` names a column, mode with direct for requests that have to read files."""
+    q = F.coalesce(F.col(query), F.lit(""))
+    rows = df.withColumns({"is_audit": q.rlike(AUDIT), "is_review": q.rlike(REVIEW)}).withColumn("reads_all", F.col("is_audit") | F.col("is_review"))
+    return rows if mode is None else rows.withColumn(mode, F.when(q.rlike(DIRECT), F.lit("direct")).otherwise(F.col(mode)))
 
 
 def hits(text: Column, words: tuple[str, ...]) -> Column:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import deque
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
@@ -57,14 +58,25 @@ def window_counts(events: DataFrame, key: str, ts: str = "ts", spans: tuple[tupl
     return rows.drop("us")
 
 
-def decide(times: list[float], now: float, per_minute: int, per_hour: int) -> tuple[bool, int]:
-    """Whether a call at `now` is allowed after the accepted `times` (of the last hour, ascending), and else after how many seconds."""
-    minute = [t for t in times if t > now - MINUTE]
-    if len(minute) >= per_minute:
-        return False, int(minute[0] + MINUTE - now) + 1
-    if len(times) >= per_hour:
-        return False, int(times[0] + HOUR - now) + 1
-    return True, 0
+class Accepted:
+    """Times of accepted calls in the last hour and the last minute; each goes in and out once."""
+
+    def __init__(self, per_minute: int, per_hour: int, times: Iterable[float] = ()):
+        self.per_minute, self.per_hour = per_minute, per_hour
+        self.hour, self.minute = deque(times), deque(times)
+
+    def ask(self, now: float) -> tuple[bool, int]:
+        """Whether a call at `now` is allowed, and else after how many seconds."""
+        for times, span in ((self.hour, HOUR), (self.minute, MINUTE)):
+            while times and times[0] <= now - span:
+                times.popleft()
+        if len(self.minute) >= self.per_minute:
+            return False, int(self.minute[0] + MINUTE - now) + 1
+        if len(self.hour) >= self.per_hour:
+            return False, int(self.hour[0] + HOUR - now) + 1
+        self.hour.append(now)
+        self.minute.append(now)
+        return True, 0
 
 
 def rate_limited(events: DataFrame, key: str, event_id: str, ts: str = "ts", per_minute: int = 60, per_hour: int = 1000) -> DataFrame:
@@ -77,19 +89,14 @@ def rate_limited(events: DataFrame, key: str, event_id: str, ts: str = "ts", per
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
 
     def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, times = object(), []
+        current, accepted = object(), Accepted(per_minute, per_hour)
         for batch in batches:
-            allowed, retry = [], []
+            answers = []
             for k, t in zip(batch[key], batch["t"], strict=True):
                 if k != current:
-                    current, times = k, []
-                times = [x for x in times if x > t - HOUR]
-                ok, wait = decide(times, t, per_minute, per_hour)
-                if ok:
-                    times.append(t)
-                allowed.append(ok)
-                retry.append(wait)
-            yield batch.assign(allowed=allowed, retry_after=retry)
+                    current, accepted = k, Accepted(per_minute, per_hour)
+                answers.append(accepted.ask(t))
+            yield batch.assign(allowed=[a for a, _ in answers], retry_after=[w for _, w in answers])
 
     ordered = rows.repartition(key).sortWithinPartitions(key, "t", event_id)
     return ordered.mapInPandas(part, f"{event_id} {kinds[event_id]}, {key} {kinds[key]}, t double, allowed boolean, retry_after int")

@@ -18,12 +18,12 @@ def issue_summary(issues: DataFrame, by: list[str]) -> DataFrame:
     return issues.groupBy(*by).agg(F.count("*").alias("total"), *[F.count_if(F.col("severity") == s).alias(n) for s, n in (("error", "errors"), ("warning", "warnings"), ("info", "infos"))])
 
 
-def json_candidates(raw: Column) -> Column:
-    """Texts that may be the JSON in an answer: all of it, the first fenced block, and from the first brace or bracket to the last."""
-    fenced = F.regexp_extract(raw, r"(?s)```(?:json)?\s*(.*?)```", 1)
-    braced = F.regexp_extract(raw, r"(?s)(\{.*\})", 1)
-    listed = F.regexp_extract(raw, r"(?s)(\[.*\])", 1)
-    return F.filter(F.array(F.trim(raw), F.trim(fenced), braced, listed), lambda t: t != "")
+def json_candidates(raw: Column) -> list[Column]:
+    """Texts that may be the JSON in an answer, each null if it can't be: all of it, the first fenced block, from the first brace or bracket to the last."""
+    some = lambda t: F.when(t.rlike(r"\A\s*[\[{]"), t)
+    fenced = F.when(raw.contains("```"), F.regexp_extract(raw, r"(?s)```(?:json)?\s*(.*?)```", 1))
+    between = lambda a, b: F.when(F.locate(a, raw) > 0, F.substring(raw, F.locate(a, raw), F.length(raw) - F.locate(b, F.reverse(raw)) + 2 - F.locate(a, raw)))
+    return [some(F.trim(raw)), some(F.trim(fenced)), *(F.when(F.contains(t, F.lit(b)), t) for t, b in ((between("{", "}"), "}"), (between("[", "]"), "]")))]
 
 
 def plain_literals(text: Column) -> Column:
@@ -34,10 +34,12 @@ def plain_literals(text: Column) -> Column:
 
 def parsed(df: DataFrame, raw: str, schema: str, out: str = "parsed") -> DataFrame:
     """Adds `out`, the first candidate that reads as JSON of the schema, ok, and fallback (the first 200 characters) where none does."""
-    tried = F.concat(json_candidates(F.col(raw)), F.transform(json_candidates(F.col(raw)), plain_literals))
-    good = F.filter(tried, lambda t: F.try_parse_json(t).isNotNull() & t.rlike(r"^\s*[\[{]"))
-    value = F.from_json(F.get(good, F.lit(0)), schema)
-    rows = df.withColumn(out, value).withColumn("ok", F.size(good) > 0)
+    good = lambda t: F.when(F.try_parse_json(t).isNotNull(), t)
+    # exploding arrays of one item keeps the optimizer from copying what is below into each use of it
+    once = lambda rows, name, value: rows.withColumn(name, F.explode(F.array(value)))
+    rows = once(df, "__tried", F.array_compact(F.array(*json_candidates(F.col(raw)))))
+    rows = once(rows, "__good", F.coalesce(*[good(F.get("__tried", F.lit(i))) for i in range(4)], *[good(plain_literals(F.get("__tried", F.lit(i)))) for i in range(4)]))
+    rows = rows.withColumns({out: F.from_json("__good", schema), "ok": F.col("__good").isNotNull()}).drop("__tried", "__good")
     return rows.withColumn("fallback", F.when(~F.col("ok"), F.substring(raw, 1, 200)))
 
 
@@ -46,10 +48,10 @@ FINDING = "array<struct<line int, category string, severity string, value string
 
 def findings(answers: DataFrame, key: str = "path", raw: str = "raw") -> DataFrame:
     """(key, line, category, severity, value, reason) of each finding in answers that hold a JSON array; an answer that doesn't is one row of category parse_failure."""
-    rows = parsed(answers, raw, FINDING)
-    fine = rows.where("ok and parsed is not null").select(key, F.explode("parsed").alias("f")).select(key, "f.*")
-    bad = rows.where("not ok or parsed is null").select(key, F.lit(None).cast("int").alias("line"), F.lit("parse_failure").alias("category"), F.lit("low").alias("severity"), F.lit(None).cast("string").alias("value"), F.coalesce("fallback", raw).alias("reason"))
-    return fine.unionByName(bad)
+    rows = parsed(answers.select(key, raw), raw, FINDING)
+    text = lambda v: v.cast("string")
+    failure = F.struct(F.lit(None).cast("int").alias("line"), F.lit("parse_failure").alias("category"), F.lit("low").alias("severity"), text(F.lit(None)).alias("value"), F.coalesce("fallback", raw).alias("reason"))
+    return rows.select(key, F.explode(F.coalesce("parsed", F.array(failure))).alias("f")).select(key, "f.*")
 
 
 def severity_rank(severity: Column) -> Column:

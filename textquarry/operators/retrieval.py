@@ -138,11 +138,38 @@ def top_k(scores: DataFrame, k: int, by: str, query_key: str, key: str, digits:
 
 
 def fused(vector_scores: DataFrame, bm25_norm: DataFrame, alpha: float = 0.4, query_key: str = "item_id", key: str = "doc_id") -> DataFrame:
-    """Adds final = alpha * norm + (1 - alpha) * (cosine + 1) / 2 to vector scores (query_key, key, cosine); a passage without shared terms has norm 0."""
+    """(query_key, key, cosine, norm, final): final = alpha * norm + (1 - alpha) * (cosine + 1) / 2 of passages that either search has.
+
+    A passage without shared terms has norm 0; one without a vector has no cosine, which adds nothing.
+    """
     if not 0 <= alpha <= 1:
         raise ValueError("alpha must be from 0 to 1")
-    both = vector_scores.join(bm25_norm.select(query_key, key, "norm"), [query_key, key], "left").withColumn("norm", F.coalesce("norm", F.lit(0.0)))
-    return both.withColumn("final", alpha * F.col("norm") + (1 - alpha) * (F.col("cosine") + 1) / 2)
+    both = vector_scores.join(bm25_norm.select(query_key, key, "norm"), [query_key, key], "full").withColumn("norm", F.coalesce("norm", F.lit(0.0)))
+    return both.withColumn("final", alpha * F.col("norm") + (1 - alpha) * F.coalesce((F.col("cosine") + 1) / 2, F.lit(0.0)))
+
+
+def from_sources(passages: DataFrame, sources: DataFrame, source: str = "source") -> DataFrame:
+    """The passages of the wanted sources: applied before ranking, so that each query still gets its k best of them."""
+    return passages.join(sources.select(source).distinct(), source, "left_semi").select(*passages.columns)
+
+
+# Files of a project's memory, beside those of its modules folder.
+MEMORY_FILES = ("PROJECT.md", "PATTERNS.md", "EDGE_CASES.md", "INDEX.md")
+
+
+def memory_files(files: DataFrame, names: tuple[str, ...] = MEMORY_FILES, path: str = "path") -> DataFrame:
+    """The Markdown files that make up each project's memory: those of the given names at the top, and all in the folder modules. Paths are relative to the project."""
+    module = F.col(path).startswith("modules/") & F.col(path).endswith(".md") & ~F.substring(path, 9, 1 << 20).contains("/")
+    return files.where(F.col(path).isin(*names) | module)
+
+
+def indexed_memory(index: DataFrame, files: DataFrame, names: tuple[str, ...] = MEMORY_FILES) -> DataFrame:
+    """The chunk table (project, path, chunk_index, section_header, content) with the chunks of all memory files of the given projects anew."""
+    mine = memory_files(files, names)
+    keyed = mine.select(F.to_json(F.struct("project", "path")).alias("f"), "content")
+    chunks = markdown_chunks(keyed, "f", "content").withColumn("f", F.from_json("f", "project string, path string"))
+    fresh = chunks.select("f.project", "f.path", "chunk_index", "section_header", "content")
+    return reindexed(index, files.select("project").distinct(), fresh, "project")
 
 
 def shaped(results: DataFrame, text: str = "content") -> DataFrame:

@@ -27,25 +27,28 @@ def _flagged(r: Rule) -> str:
     return ("(?iU)" if r.ignore_case else "(?U)") + r.regex
 
 
-def line_evidence(texts: DataFrame, rules: list[Rule], key: str = "path", text: str = "content", language: str | None = "language") -> DataFrame:
-    """(key, pattern, rule_id, start_line, end_line, snippet, weight): one row for each line that a rule finds.
+def line_evidence(texts: DataFrame, rules: list[Rule], key: str = "path", text: str = "content", language: str | None = "language", carried: tuple[str, ...] = ()) -> DataFrame:
+    """(key, pattern, rule_id, start_line, end_line, snippet, weight): one row for each line that a rule finds, with the `carried` columns.
 
     Rules are literal columns, so each is compiled once and a text is split once, in one pass without a shuffle. Snippets are trimmed and cut to
     250 characters (300 with following lines).
     """
-    kinds = [language] if language else []
-    lines = texts.select(key, *kinds, F.split(F.regexp_replace(F.col(text), r"\r?\n\z", ""), r"\r?\n").alias("all_lines"))
-    lines = lines.select(key, *kinds, "all_lines", F.posexplode("all_lines").alias("i", "line"))
+    kinds = [*([language] if language else []), *carried]
+    most = max((r.after for r in rules), default=0)
+    texts = texts.select(key, *kinds, F.split(F.regexp_replace(F.col(text), r"\r?\n\z", ""), r"\r?\n").alias("all_lines"))
+    # a line takes the few that follow it along, never the whole text
+    line = lambda x, i: F.struct(i.alias("i"), x.alias("line"), *([F.slice("all_lines", i + 1, F.lit(most + 1)).alias("near")] if most else []))
+    lines = texts.select(key, *kinds, F.size("all_lines").alias("n_lines"), F.explode(F.transform("all_lines", line)).alias("x")).select(key, *kinds, "n_lines", "x.*")
 
     def hit(r: Rule) -> Column:
         found = F.col("line").rlike(_flagged(r))
         if r.languages and language:
             found = F.col(language).isin(*r.languages) & found
-        snippet = F.array_join(F.slice("all_lines", F.col("i") + 1, F.lit(r.after + 1)), "\n") if r.after else F.col("line")
+        snippet = F.array_join(F.slice("near", 1, r.after + 1), "\n") if r.after else F.col("line")
         return F.when(
             found,
             F.struct(
-                F.lit(r.pattern).alias("pattern"), F.lit(r.rule_id).alias("rule_id"), F.least(F.col("i") + 1 + r.after, F.size("all_lines")).alias("end_line"),
+                F.lit(r.pattern).alias("pattern"), F.lit(r.rule_id).alias("rule_id"), F.least(F.col("i") + 1 + r.after, F.col("n_lines")).alias("end_line"),
                 F.substring(F.trim(snippet), 1, 300 if r.after else 250).alias("snippet"), F.lit(float(r.weight)).alias("weight"),
             ),
         )

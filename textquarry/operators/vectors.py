@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
+#: Most cosines that one block of an Arrow batch makes.
+_CELLS = 1 << 22
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -41,11 +47,57 @@ def asked_all(rows: DataFrame, packed: DataFrame, blocks: int) -> DataFrame:
     return rows.join(F.broadcast(packed)) if blocks == 1 else rows.hint("shuffle_replicate_nl").join(packed)
 
 
-def cosine_scores(vectors: DataFrame, queries: DataFrame, key: str = "vec_id", query_key: str = "query_id", vector: str = "embedding", most_queries: int | None = None, block: int = 10_000) -> DataFrame:
-    """(query_key, key, cosine) of every query against every vector, in blocks of about `block` queries; more than `most_queries` are refused if it is given."""
-    packed, blocks = in_blocks(queries, F.struct(F.col(query_key).alias("q"), unit(F.col(vector)).alias("v")), query_key, block, most_queries)
-    pairs = asked_all(with_units(vectors, vector).select(key, "u"), packed, blocks).select(key, "u", F.explode("asked").alias("s"))
-    return pairs.select(F.col("s.q").alias(query_key), key, dot(F.col("u"), F.col("s.v")).alias("cosine"))
+def cosine_scores(
+    vectors: DataFrame, queries: DataFrame, key: str = "vec_id", query_key: str = "query_id", vector: str = "embedding", most_queries: int | None = None, block: int = 10_000, k: int | None = None, digits: int = 9
+) -> DataFrame:
+    """(query_key, key, cosine) of every query against every vector; more than `most_queries` are refused if it is given.
+
+    Queries go in blocks of about `block`: the matrix of one block is broadcast and multiplied with each Arrow batch of vectors. With `k` a batch
+    leaves out what is below its own k-th best cosine (at `digits` decimals) of a query, which cannot be among the k best of all.
+    """
+    n = queries.count()
+    if most_queries is not None and n > most_queries:
+        raise ValueError(f"more than {most_queries} queries")
+    blocks = max(1, -(-n // block))
+    asked = queries.select(F.col(query_key).alias("q"), F.col(vector).cast("array<double>").alias("v")).where("q is not null and v is not null")
+    rows = vectors.select(F.col(key), F.col(vector).cast("array<double>").alias("v")).where("v is not null")
+    kinds = {name: df.schema[name].dataType.simpleString() for df, name in ((rows, key), (queries, query_key))}
+
+    def scored(shared):
+        def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, matrix = shared.value
+            step = max(1, _CELLS // max(len(ids), 1))
+            for batch in batches:
+                for at in range(0, batch.num_rows, step):
+                    some = batch.slice(at, step)
+                    x = units_of(some.column("v"), matrix.shape[1])
+                    sims = x @ matrix.T
+                    keep = ~np.isnan(sims)
+                    if k is not None and k < len(sims):
+                        rounded = np.round(np.where(keep, sims, -np.inf), digits)
+                        keep &= rounded >= np.partition(rounded, len(rounded) - k, axis=0)[len(rounded) - k]
+                    r, c = np.nonzero(keep)
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(c)), some.column(key).take(pa.array(r)), pa.array(sims[r, c])], [query_key, key, "cosine"])
+
+        return part
+
+    out = None
+    for b in range(blocks):
+        found = (asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == b)).toArrow()
+        v = found.column("v").combine_chunks()
+        shared = vectors.sparkSession.sparkContext.broadcast((found.column("q").combine_chunks(), units_of(v, len(v[0]) if len(v) else 0)))
+        pairs = rows.mapInArrow(scored(shared), f"{query_key} {kinds[query_key]}, {key} {kinds[key]}, cosine double")
+        out = pairs if out is None else out.union(pairs)
+    return out
+
+
+def units_of(column: pa.Array, dimension: int, smallest: float = 1e-10) -> np.ndarray:
+    """Rows at unit length; those of another dimension or with missing numbers are not numbers."""
+    same = np.asarray(pc.equal(pc.list_value_length(column), dimension))
+    out = np.full((len(column), dimension), np.nan)
+    flat = pc.list_flatten(column.filter(pa.array(same))).to_numpy(zero_copy_only=False).astype(np.float64)
+    out[same] = flat.reshape(-1, dimension) if dimension else 0
+    return out / (np.sqrt((out * out).sum(axis=1, keepdims=True)) + smallest)
 
 
 def nearest(scores: DataFrame, k: int, min_score: float | None = None, key: str = "vec_id", query_key: str = "query_id", digits: int = 9) -> DataFrame:
@@ -75,12 +127,15 @@ def terms(texts: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def tf_idf(texts: DataFrame, key: str = "doc_id", text: str = "text", features: int = 20_000) -> DataFrame:
-    """(key, term, weight): (1 + ln tf) * (ln((1 + n) / (1 + df)) + 1) at unit length, over the `features` most frequent terms."""
+    """(key, term, weight): (1 + ln tf) * (ln((1 + n) / (1 + df)) + 1) at unit length, over the `features` most frequent terms.
+
+    The vocabulary, of at most `features` terms, is broadcast, so the counts are weighed where they are.
+    """
     counts = terms(texts, key, text)
     vocabulary = counts.groupBy("term").agg(F.sum("tf").alias("total"), F.count("*").alias("df")).orderBy(F.desc("total"), "term").limit(features)
     n = texts.agg(F.count("*").alias("n"))
     idf = vocabulary.join(n).select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
-    raw = counts.join(idf, "term").select(key, "term", ((1 + F.log("tf")) * F.col("idf")).alias("raw"))
+    raw = counts.join(F.broadcast(idf), "term").select(key, "term", ((1 + F.log("tf")) * F.col("idf")).alias("raw"))
     lengths = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("length"))
     return raw.join(lengths, key).select(key, "term", (F.col("raw") / F.col("length")).alias("weight"))
 
@@ -144,3 +199,15 @@ def artifact_text() -> Column:
     """Name, description, evidence and handling joined by bars; the id where all are empty."""
     parts = F.concat_ws(" | ", F.nullif(F.col("name"), F.lit("")), F.nullif(F.col("description"), F.lit("")), F.filter("evidence", lambda e: e != ""), F.nullif(F.col("handling"), F.lit("")))
     return F.coalesce(F.nullif(parts, F.lit("")), F.col("artifact_id"))
+
+
+def artifact_hits(vectors: DataFrame, queries: DataFrame, k: int = 5, min_score: float = 0.0, query_key: str = "query_id") -> DataFrame:
+    """(query_id, artifact_type, artifact_id, relevance, rank) of the nearest artifacts; `vectors` has ids of the form `type:id` and their embeddings.
+
+    An id without a type is of type unknown. Relevance is the cosine.
+    """
+    found = nearest(cosine_scores(vectors, queries, query_key=query_key, k=k), k, min_score, query_key=query_key)
+    typed = F.col("vec_id").contains(":")
+    name = F.when(typed, F.expr("substring(vec_id, instr(vec_id, ':') + 1)")).otherwise(F.col("vec_id"))
+    kind = F.when(typed, F.substring_index("vec_id", ":", 1)).otherwise(F.lit("unknown"))
+    return found.select(query_key, kind.alias("artifact_type"), name.alias("artifact_id"), F.col("cosine").alias("relevance"), "rank")

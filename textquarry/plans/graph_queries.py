@@ -33,8 +33,7 @@ _QUALITY = "CASE WHEN n = 1 THEN 'weak' WHEN n <= 3 THEN 'moderate' ELSE 'strong
 
 
 def _evidence(t):
-    docs = t("documents")
-    return rules.line_evidence(docs, TEXT_RULES, "doc_id", "text", "lang").join(docs.select("doc_id", "source"), "doc_id")
+    return rules.line_evidence(t("documents"), TEXT_RULES, "doc_id", "text", "lang", carried=("source",))
 
 
 @query(f"WITH {_EVIDENCE} SELECT doc_id, pattern, rule_id, start_line, snippet, weight FROM evidence")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from textquarry.functions.queries import with_intent
 from textquarry.functions.texts import keywords, token_estimate
 from textquarry.operators import reports, retrieval, vectors
 from textquarry.plans.catalog import query
@@ -27,8 +28,8 @@ ends AS (
 normed AS (SELECT item_id, doc_id, score, CASE WHEN high - low < 1e-9 THEN 0 ELSE (score - low) / (high - low) END AS norm FROM scores JOIN ends USING (item_id))"""
 
 
-def _scores(t):
-    docs = t("documents")
+def _scores(t, docs=None):
+    docs = t("documents") if docs is None else docs
     return retrieval.min_max(retrieval.bm25(docs, t("benchmark")), docs.agg(F.count("*").alias("n")))
 
 
@@ -48,20 +49,46 @@ v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
 cos AS (
   SELECT item_id, d.vec_id AS doc_id, list_cosine_similarity(d.e, q.e) AS cosine
   FROM benchmark JOIN v q ON q.vec_id = item_id, v d JOIN documents ON documents.doc_id = d.vec_id),
-fused AS (SELECT c.item_id, c.doc_id, 0.4 * coalesce(norm, 0) + 0.6 * (cosine + 1) / 2 AS final FROM cos c LEFT JOIN normed n ON n.item_id = c.item_id AND n.doc_id = c.doc_id)
+fused AS (
+  SELECT coalesce(c.item_id, n.item_id) AS item_id, coalesce(c.doc_id, n.doc_id) AS doc_id, 0.4 * coalesce(norm, 0) + coalesce(0.6 * (cosine + 1) / 2, 0) AS final
+  FROM cos c FULL JOIN normed n ON n.item_id = c.item_id AND n.doc_id = c.doc_id)
 SELECT item_id, doc_id, rank::INTEGER AS rank, round(final, 5) AS final FROM (
   SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(final, 7) DESC, doc_id) AS rank FROM fused) WHERE rank <= 5"""
 )
 def hybrid_top_passages(t):
-    """BM25 fused with cosines; a document's vector is the one of its id, a benchmark text's likewise."""
+    """BM25 fused with cosines; a document's vector is the one of its id, a benchmark text's likewise. Those without a vector have BM25 alone."""
     v = t("embeddings")
-    docs = v.join(t("documents").select(F.col("doc_id").alias("vec_id")), "vec_id")
-    asked = v.join(t("benchmark").select(F.col("item_id").alias("vec_id")), "vec_id").select(F.col("vec_id").alias("item_id"), "embedding")
+    docs = v.join(t("documents").select(F.col("doc_id").alias("vec_id")), "vec_id", "left_semi")
+    asked = v.join(t("benchmark").select(F.col("item_id").alias("vec_id")), "vec_id", "left_semi").select(F.col("vec_id").alias("item_id"), "embedding")
     cosines = vectors.cosine_scores(docs, asked, query_key="item_id").withColumnRenamed("vec_id", "doc_id")
     both = retrieval.fused(cosines, _scores(t))
     return retrieval.top_k(both, 5, "final", "item_id", "doc_id", digits=7).select("item_id", "doc_id", "rank", F.round("final", 5).alias("final"))
 
 
+@query(
+    f"""WITH {_BM25.replace("FROM documents)", "FROM documents WHERE source IN (SELECT min(source) FROM documents GROUP BY lang))")}
+SELECT item_id, doc_id, rank::INTEGER AS rank, round(norm, 6) AS norm FROM (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(norm, 9) DESC, doc_id) AS rank FROM normed) WHERE rank <= 3"""
+)
+def passages_of_sources(t):
+    """The three best passages of each benchmark text among a few sources, the first of each language."""
+    docs = t("documents")
+    wanted = docs.groupBy("lang").agg(F.min("source").alias("source"))
+    return retrieval.top_k(_scores(t, retrieval.from_sources(docs, wanted)), 3, "norm", "item_id", "doc_id").select("item_id", "doc_id", "rank", F.round("norm", 6).alias("norm"))
+
+
+@query(
+    r"""WITH q AS (SELECT doc_id, text FROM documents), f AS (
+  SELECT doc_id, coalesce(regexp_matches(text, '(?i)(hardcode|hard.code|magic.number|hard.coded|audit|grep|scan)'), false) AS is_audit, coalesce(regexp_matches(text, '(?i)(code.quality|code.smell|improvement|what.*wrong|any.*issue|review)'), false) AS is_review,
+         coalesce(regexp_matches(text, '(?i)(hardcode|hard.code|magic.number|hard.coded|audit|scan all|grep|code.quality|code.smell|improvement|what.*wrong|any.*issue|review)'), false) AS direct FROM q)
+SELECT doc_id, is_audit, is_review, is_audit OR is_review AS reads_all, CASE WHEN direct THEN 'direct' ELSE 'agent' END AS mode FROM f"""
+)
+def request_intents(t):
+    """Which documents, read as requests, ask for an audit or a review (none of them is Chinese, whose words the SQL leaves out)."""
+    rows = with_intent(t("documents").withColumn("mode", F.lit("agent")), "text", "mode")
+    return rows.select("doc_id", "is_audit", "is_review", "reads_all", "mode")
+
+
 @query(
     """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
 c AS (SELECT q.vec_id AS query_id, v.vec_id, list_cosine_similarity(v.e, q.e) AS cosine FROM v, v q WHERE q.vec_id % 100 = 0)
@@ -72,7 +99,7 @@ def vector_top_k(t):
     """The ten vectors nearest to each query, queries being the ids divisible by 100, against all vectors."""
     v = t("embeddings")
     asked = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
-    return vectors.nearest(vectors.cosine_scores(v, asked), 10, digits=7).select("query_id", "vec_id", "rank", F.round("cosine", 6).alias("cosine"))
+    return vectors.nearest(vectors.cosine_scores(v, asked, k=10, digits=7), 10, digits=7).select("query_id", "vec_id", "rank", F.round("cosine", 6).alias("cosine"))
 
 
 @query()
@@ -192,6 +219,21 @@ def _questions(t):
     return t("benchmark").select(F.col("item_id").alias("query_id"), F.get(F.split("text", " ", -1), F.lit(1)).alias("query")).where("query <> ''")
 
 
+@query(
+    """WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
+a AS (SELECT CASE WHEN label % 2 = 0 THEN 'pattern' ELSE 'edge_case' END AS artifact_type, vec_id::VARCHAR AS artifact_id, CASE WHEN label % 2 = 0 THEN 'pattern:' ELSE 'edge_case:' END || vec_id AS id, e FROM v),
+c AS (SELECT item_id AS query_id, artifact_type, artifact_id, id, list_cosine_similarity(a.e, q.e) AS cosine FROM benchmark JOIN v q ON q.vec_id = item_id, a)
+SELECT query_id, artifact_type, artifact_id, round(cosine, 6) AS relevance, rank::INTEGER AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(cosine, 9) DESC, id) AS rank FROM c) WHERE rank <= 5 AND cosine >= 0.2"""
+)
+def artifact_semantic_search(t):
+    """Artifacts nearest to each benchmark text, every vector standing for an artifact; their types come from their ids."""
+    v = t("embeddings")
+    index = v.select(F.concat(F.when(F.col("label") % 2 == 0, "pattern:").otherwise("edge_case:"), F.col("vec_id").cast("string")).alias("vec_id"), "embedding")
+    asked = v.join(t("benchmark").select(F.col("item_id").alias("vec_id")), "vec_id", "left_semi").select(F.col("vec_id").alias("query_id"), "embedding")
+    return vectors.artifact_hits(index, asked, 5, 0.2).withColumn("relevance", F.round("relevance", 6))
+
+
 _HITS = f"""{_ARTIFACTS},
 sought AS (SELECT item_id AS query_id, lower(split_part(text, ' ', 2)) AS q FROM benchmark WHERE split_part(text, ' ', 2) <> ''),
 found AS (

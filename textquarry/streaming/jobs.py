@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
 
-from textquarry.operators.logs import HOUR, decide
+from textquarry.operators.logs import Accepted
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -25,17 +25,10 @@ class _RateLimiter(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         batch = pd.concat(list(rows)).sort_values(["t", "event_id"])
-        times = [r[0] for r in self.times.get()] if self.times.exists() else []
-        allowed, retry = [], []
-        for t in batch["t"]:
-            times = [x for x in times if x > t - HOUR]
-            ok, wait = decide(times, t, self.per_minute, self.per_hour)
-            if ok:
-                times.append(t)
-            allowed.append(ok)
-            retry.append(wait)
-        self.times.put([(t,) for t in times])
-        yield pd.DataFrame({"event_id": batch["event_id"], "key": key[0], "t": batch["t"], "allowed": allowed, "retry_after": retry})
+        accepted = Accepted(self.per_minute, self.per_hour, [r[0] for r in self.times.get()] if self.times.exists() else [])
+        answers = [accepted.ask(t) for t in batch["t"]]
+        self.times.put([(t,) for t in accepted.hour])
+        yield pd.DataFrame({"event_id": batch["event_id"], "key": key[0], "t": batch["t"], "allowed": [a for a, _ in answers], "retry_after": [w for _, w in answers]})
 
     def close(self) -> None:
         pass
