@@ -34,7 +34,7 @@ def query(sql: str | None = None) -> Callable[[Callable], Query]:
 
 def load() -> None:
     """Imports all modules that register queries."""
-    from textquarry.plans import change_queries, graph_queries, log_queries, report_queries, text_queries  # noqa: F401
+    from textquarry.plans import change_queries, code_queries, graph_queries, log_queries, report_queries, text_queries  # noqa: F401
 
 
 load()

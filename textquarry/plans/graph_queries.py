@@ -242,7 +242,13 @@ def key_targets(t):
     return found.select("path", "priority", "rank")
 
 
-@query()
+_TASK = "whether that other station is there"
+
+
+@query(
+    f"""WITH {_MODULES}, x AS (SELECT path, lower(name || ' ' || path || ' page ') AS s FROM modules)
+SELECT path, relevance FROM (SELECT path, ({" + ".join(f"contains(s, '{w}')::INTEGER" for w in sorted({w for w in _TASK.split() if len(w) > 3}))})::INTEGER AS relevance FROM x) WHERE relevance > 0"""
+)
 def module_relevance(t):
     """Page modules by how many words of a task they hold."""
-    return reports.task_relevance(_module_table(t), "whether that other station is there").where("relevance > 0").select("path", "relevance")
+    return reports.task_relevance(_module_table(t), _TASK).where("relevance > 0").select("path", "relevance")
