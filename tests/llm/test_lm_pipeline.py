@@ -160,71 +160,74 @@ def test_pipeline_stages_chain(spark, sf):
     assert docs.select(F.sum("n_tokens")).first()[0] == docs.select(F.sum(F.size("ids"))).first()[0]
 
 
-def test_run_equals_its_stages(spark, sf):
-    got = corpus_pipeline.run(spark, sf)
-    assert got.columns == ["doc_id", "n_tokens", "round_trip", "ids"] and got.count() > 0
+def test_run_equals_its_stages_with_odd_rows(spark, sf, tmp_path):
+    """Also with nulls, an empty text and repeated rows among the documents."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    odd = spark.createDataFrame([(None, None, "en", "s", 0), (990001, "", None, None, 0), (990002, None, "en", "s", None)], docs.schema)
+    docs.union(odd).union(docs.limit(5)).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{sf}/labels.parquet").write.parquet(f"{tmp_path}/labels.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path))
+    want = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        want = corpus_pipeline.stored(stage(spark, want, str(tmp_path)))
+    rows = lambda df: sorted((r["doc_id"], r["n_tokens"], r["round_trip"], tuple(r["ids"])) for r in df.collect())
+    assert got.columns == ["doc_id", "n_tokens", "round_trip", "ids"] and rows(got) == rows(want)
+    assert not {None, 990001, 990002} & {r["doc_id"] for r in got.collect()}
+
+
+def test_model_comes_from_all_training_documents(spark, monkeypatch):
+    """Also a table without documents of any one residue learns its weights, and each training document is met once."""
+    rows = [(i, f"text number {i} says hello to the world, " * 5) for i in range(200) if zlib.crc32(str(i).encode()) % 25 and zlib.crc32(str(i).encode()) % 5 != 1]
+    seen, made = [], lm_scoring._model
+    monkeypatch.setattr(lm_scoring, "_model", lambda train, *rest: seen.append((train.count(), made(train, *rest))) or seen[-1][1])
+    assert lm_scoring.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).count() == len(rows)
+    assert seen[0][0] == len(rows)
+    tables, weights = seen[0][1]
+    assert not np.array_equal(weights, cm.first_weights()) and all(t.any() for t in tables)
 
 
-def test_mixing_weights_come_from_all_training_documents(spark, monkeypatch):
-    """Also a table without documents of any one residue learns its weights, and each training decision is met once."""
-    rows = [(i, f"text number {i} says hello to the world, " * 5) for i in range(200) if zlib.crc32(str(i).encode()) % 25 and zlib.crc32(str(i).encode()) % 5 != 1]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    seen, weights = [], lm_scoring._weights
-    monkeypatch.setattr(lm_scoring, "_weights", lambda train, *rest: seen.append((train.count(), weights(train, *rest))) or seen[-1][1])
-    assert lm_scoring.score(docs).count() == len(rows)
-    assert seen[0][0] == len(rows) and not np.array_equal(seen[0][1], cm.first_weights())
-
-
-def test_own_decisions_are_taken_out_text_by_text():
-    tree = cm.tree_of(np.bincount(np.frombuffer(b"abc" * 50, np.uint8), minlength=256))
-    d = cm.decisions(np.frombuffer(b"abcabcabab", np.uint8), np.array([0, 6, 10]), tree)
-    counts = []
-    for slot, (_, bits) in zip(d.slots, cm.ORDERS, strict=True):
-        c = np.zeros((1 << bits, 2), np.uint16)
-        np.add.at(c, (slot, d.turn), 1)
-        counts.append(c)
-    scratch = np.zeros((1 << max(bits for _, bits in cm.ORDERS), 2), np.int32)
-    x, _ = cm.inputs_without_self(d, counts, scratch)
-    assert not scratch.any()
-    for k, slot in enumerate(d.slots):
-        for begin, end in ((d.begin[0], d.begin[1]), (d.begin[1], d.begin[2])):
-            for j in range(begin, end):
-                others = [i for i in range(len(slot)) if slot[i] == slot[j] and not begin <= i < end]
-                zeros, ones = sum(d.turn[i] == 0 for i in others), sum(d.turn[i] == 1 for i in others)
-                assert x[j, k] == pytest.approx(np.log((ones + cm.SOFT) / (zeros + cm.SOFT)), rel=1e-4, abs=1e-4)
+def test_a_slice_is_predicted_before_it_is_counted():
+    """Nothing is known of the first slice, so only the constant's weight can move; the second is known from the first."""
+    tree, _, _, bits = model()
+    d = cm.decisions(np.frombuffer(b"abba ab " * 50, np.uint8), np.array([0, 400]), tree, bits)
+    learner = cm.Learner(bits)
+    learner.add(d)
+    assert (learner.weights[:, :-1] == cm.first_weights()[:, :-1]).all()
+    learner.add(d)
+    assert (learner.weights[:, :-1] != cm.first_weights()[:, :-1]).any()
+    assert all(int(c.view(np.uint16).sum()) == 2 * len(d.turn) for c in learner.counts)
 
 
 def test_low_orders_predict_where_longer_contexts_are_new():
     learnt = b"x1ab y2ab z3ab w4ab " * 50
-    tree = cm.tree_of(np.bincount(np.frombuffer(learnt, np.uint8), minlength=256))
-    d = cm.decisions(np.frombuffer(learnt, np.uint8), np.array([0, len(learnt)]), tree)
-    counts = [np.zeros((1 << bits, 2), np.uint16) for _, bits in cm.ORDERS]
-    for c, slot in zip(counts, d.slots, strict=True):
-        np.add.at(c, (slot, d.turn), 1)
-    new = cm.decisions(np.frombuffer(b"4w3zab", np.uint8), np.array([0, 6]), tree)  # only "a", seen often, predicts "b"
-    odds, _ = cm.inputs_packed(new, [cm.packed(c) for c in counts])
-    b = slice(len(new.turn) - tree.length[ord("b")] - tree.length[cm.END], len(new.turn) - tree.length[cm.END])
-    assert {k for k, _ in cm.ORDERS} >= {1, 2, 3, 5, 0}
-    assert all(any(abs(v[i]) > 3 for v in odds) for i in range(b.start, b.stop))
+    tree, _, _, bits = model(bits=16)
+    learner = cm.Learner(bits)
+    learner.add(cm.decisions(np.frombuffer(learnt, np.uint8), np.array([0, len(learnt)]), tree, bits))
+    new = cm.decisions(np.frombuffer(b"4w3zab", np.uint8), np.array([0, 6]), tree, bits)  # only "a", seen often, predicts "b"
+    odds = [cm.odds_of(c.view(np.uint16).reshape(-1, 2).astype(np.int64)).take(slot) for c, slot in zip(learner.counts, new.slots, strict=True)]
+    end = len(new.turn) - tree.length[ord("b") * 256 + cm.END]
+    b = range(end - tree.length[ord("a") * 256 + ord("b")], end)
+    assert set(cm.ORDERS) >= {1, 2, 3, 0}
+    assert all(any(abs(int(v[i])) > 3 * cm.SCALE for v in odds) for i in b)
 
 
 def test_short_texts_are_refined():
     """A text of some hundred bytes scores better than by its first weights, and alone the same as beside others."""
+    tree, tables, w, bits = model()
+    tables = [np.full_like(t, 9) for t in tables]
     text = b"qz" * 100
-    tree = cm.tree_of(np.zeros(256, np.int64))
-    tables = [cm.packed(np.tile([[1, 3]], (1 << bits, 1))) for _, bits in cm.ORDERS]
-    w = cm.first_weights()
-    d = cm.decisions(np.frombuffer(text, np.uint8), np.array([0, len(text)]), tree)
-    odds, gate = cm.inputs_packed(d, tables)
-    z = sum(w[gate, k] * v for k, v in enumerate(odds)) + w[gate, -1] * cm.CONSTANT
-    fixed = -np.log10(1 + np.exp(-z * (2 * d.turn - 1))).sum()
-    alone = cm.log10_probabilities(d, tables, w)[0]
-    assert len(d.turn) < 2048 and alone > fixed + 1
-    many = [b"", text, b"other words " * 40, text, b"a"]
-    together = cm.log10_probabilities(cm.decisions(np.frombuffer(b"".join(many), np.uint8), np.cumsum([0, *map(len, many)]), tree), tables, w)
-    assert together[1] == together[3] == pytest.approx(alone, rel=1e-9)
-
-
-def test_rare_turns_of_frequent_slots_stay():
-    c = lm_scoring._in_16_bits(np.array([[10_000_000, 1], [0, 9_000_000], [3, 5]]))
-    assert c.tolist() == [[65535, 1], [0, 65535], [3, 5]]
+    e = cm.evidence(cm.decisions(np.frombuffer(text, np.uint8), np.array([0, len(text)]), tree, bits), tables, w)
+    fixed = -np.log10(1 + np.exp(-e.z.astype(np.float64) * (2 * e.turn - 1))).sum()
+    alone = cm.log10_probabilities(e)[0][0]
+    assert alone > fixed + 1
+    together = scores([b"", text, b"other words " * 40, text, b"a"], tree, tables, w, bits)
+    assert together[1] == pytest.approx(together[3], rel=1e-9) and together[1] == pytest.approx(alone, rel=1e-6)
+    parts = [cm.evidence(cm.decisions(np.frombuffer(t, np.uint8), np.array([0, len(t)]), tree, bits), tables, w) for t in (text, b"a b", text)]
+    assert cm.log10_probabilities(cm.joined(parts))[0][[0, 2]] == pytest.approx([alone, alone], rel=1e-6)
+
+
+def test_packed_counts_come_back():
+    rng = np.random.default_rng(2)
+    block = np.where(rng.random(2 * lm_scoring._BLOCK) < 0.1, rng.integers(0, 65536, 2 * lm_scoring._BLOCK), 0).astype(np.uint16)
+    assert (lm_scoring._unpacked(lm_scoring._packed(block), np.uint16) == block).all()
+    assert (lm_scoring._unpacked(lm_scoring._packed(block.astype(np.int64) << 30), np.int64) == block.astype(np.int64) << 30).all()
