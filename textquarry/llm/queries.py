@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from textquarry.llm import chat, embedding_dedup, html_text, jaccard_join, lm_scoring, mixing, quality_classifier, quality_rules, sentencepiece_codec, sharding, substring_dedup, whitening
+from textquarry.llm import chat, conversation_repair, embedding_dedup, html_text, jaccard_join, lm_scoring, mixing, quality_classifier, quality_rules, sentencepiece_codec, sharding, substring_dedup, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +54,11 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.link(_table(spark, sf_dir, "embeddings"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations")
+    return conversation_repair.digest(conversation_repair.damaged(rows), rows)
+
+
 def op12_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(_table(spark, sf_dir, "documents"), with_text=False).drop("kept")
 
@@ -64,7 +69,7 @@ def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _ALL = (
     op1_lm_scoring, op2_mixing, op3_chat_formatting, op4_quality_rules, op5_sharding, op6_sentencepiece, op7_quality_classifier, op8_html_extraction, op9_jaccard_join,
-    op10_embedding_dedup, op12_suffix_array_dedup, op13_embedding_whitening,
+    op10_embedding_dedup, op11_conversation_repair, op12_suffix_array_dedup, op13_embedding_whitening,
 )
 
 
