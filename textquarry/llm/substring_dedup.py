@@ -30,10 +30,10 @@ from textquarry.llm.scratch import stored
 from textquarry.llm.words import slices, span_hashes
 
 LENGTH = 100
-SLICE = 2 << 20
+SLICE = 3 << 19
 #: Bytes of text to one bucket of hashes.
 BUCKET = 16 << 20
-_TEXT, _PIECE, _KEYS, _FLAGS, _LEFT, _KNOWN = range(6)
+_TEXT, _PIECE, _KEYS, _FLAGS, _LEFT, _KNOWN, _ASKED = range(7)
 _NULL = -(1 << 63)
 _ROW = "slice long, kind int, part int, a binary, b binary, c binary"
 _FIELDS = [("slice", pa.int64()), ("kind", pa.int32()), ("part", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())]
@@ -116,10 +116,11 @@ def _keyed(high: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def _by_bucket(number: int, bucket: np.ndarray, *columns: np.ndarray) -> list[tuple]:
-    """One row of keys for each run of `bucket`, which is in order."""
+    """One row of keys for each run of `bucket`; the first column is in order inside a bucket, so its steps are sent."""
     cuts = np.flatnonzero(np.diff(bucket, prepend=-1, append=-1))
     more = [None] * (3 - len(columns))
-    return [(number, _KEYS, int(bucket[s]), *[_packed(c[s:e]) for c in columns], *more) for s, e in zip(cuts[:-1], cuts[1:], strict=True)] if len(bucket) else []
+    sent = lambda c, s, e: _packed(np.diff(c[s:e], prepend=c.dtype.type(0)) if c is columns[0] else c[s:e])
+    return [(number, _KEYS, int(bucket[s]), *[sent(c, s, e) for c in columns], *more) for s, e in zip(cuts[:-1], cuts[1:], strict=True)] if len(bucket) else []
 
 
 def _answers(table: pa.Table, bucket: np.ndarray, columns: int) -> np.ndarray:
@@ -138,6 +139,7 @@ def _exchanged(sent: DataFrame, kinds: tuple[type, ...], decide: Callable[..., n
     def of(key: tuple, table: pa.Table) -> pa.Table:
         rows = sorted(table.to_pylist(), key=lambda r: r["slice"])
         parts = [[_unpacked(r[c], k) for r in rows] for c, k in zip("abc", kinds, strict=False)]
+        parts[0] = [np.cumsum(p, dtype=p.dtype) for p in parts[0]]
         sizes = np.array([len(p) for p in parts[0]])
         flags = decide(*[np.concatenate(p) for p in parts], np.repeat(np.arange(len(rows)), sizes))
         ends = np.cumsum(sizes)
@@ -213,6 +215,13 @@ def _kept_windows(s: _Slice, length: int, begin: np.ndarray, end: np.ndarray) ->
     return np.flatnonzero(change == 1), np.flatnonzero(change == -1)
 
 
+def _printed(data: np.ndarray, at: np.ndarray, length: int, buckets: int) -> tuple[np.ndarray, ...]:
+    """(order of the windows that start at these positions by bucket and print, and in it their bucket and print)."""
+    high, low = prefix_free.prints(data, at, length)
+    order = np.argsort(high, kind="stable")  # buckets go by the high bits
+    return order, _keyed(high[order], buckets).astype(np.int64), high[order], low[order]
+
+
 @dataclass
 class _Left:
     """The windows that are left of a slice, as runs with their texts, and groups of those with the same triggers inside."""
@@ -265,13 +274,6 @@ class _Left:
         order = np.lexsort((key, bucket))
         return tuple(x[order] for x in (some, bucket, key, around, self.id[self.heads[some]]))
 
-    def windows(self, which: np.ndarray, buckets: int) -> tuple[np.ndarray, ...]:
-        """(window, bucket, print, id), in the order of buckets, of these windows."""
-        high, low = prefix_free.prints(self.data, self.at[which], self.length)
-        bucket = _keyed(high, buckets).astype(np.int64)
-        order = np.lexsort((high, bucket))
-        return tuple(x[order] for x in (which, bucket, high, low, self.id[which]))
-
     def row(self, number: int, first: np.ndarray) -> tuple:
         return (number, _LEFT, 0, _packed(self.data), _packed(np.concatenate([self.starts, self.ends, self.ids])), _packed(np.packbits(first)))
 
@@ -281,15 +283,20 @@ class _Left:
         return left, np.unpackbits(_unpacked(row["c"], np.uint8), count=len(left.at)).astype(bool)
 
 
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield batch.slice(i, 1).to_pylist()[0]
+
+
 def repeated_starts(texts: DataFrame, length: int = LENGTH, buckets: int = 1) -> DataFrame:
     """Rows of kind _KNOWN and _FLAGS by slice, which `_starts` turns into the starts of windows that have occurred before."""
 
     def phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                s = _Slice.of(row)
-                _, _, _, bucket, key, several = _phrases(s, length, buckets)
-                yield from _table(_by_bucket(s.number, bucket, key, several)).to_batches()
+        for row in _rows(batches):
+            s = _Slice.of(row)
+            _, _, _, bucket, key, several = _phrases(s, length, buckets)
+            yield from _table(_by_bucket(s.number, bucket, key, several)).to_batches()
 
     once = _exchanged(texts.mapInArrow(phrases, _ROW), (np.uint32, np.uint8), _only)
 
@@ -303,36 +310,51 @@ def repeated_starts(texts: DataFrame, length: int = LENGTH, buckets: int = 1) ->
         size = ends - starts + length - 1
         at = np.arange(size.sum()) + np.repeat(starts - (np.cumsum(size) - size), size)
         left = _Left(s.data[at], starts, ends, s.ids[np.searchsorted(s.ends, starts, "right")], length)
-        first = left.firsts()
-        _, bucket, key, around, ids = left.anchors(first, buckets)
-        return _table([left.row(s.number, first), *_by_bucket(s.number, bucket, key, around, ids)])
+        return _table([left.row(s.number, left.firsts())])
 
     left = stored(texts.union(once).groupBy("slice").applyInArrow(remaining, _ROW))
-    shared = _exchanged(left, (np.uint32, np.uint64, np.int64), _anchored)
+
+    def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _rows(batches):
+            mine, first = _Left.of(row, length)
+            _, bucket, key, around, ids = mine.anchors(first, buckets)
+            yield from _table(_by_bucket(row["slice"], bucket, key, around, ids)).to_batches()
+
+    shared = _exchanged(left.mapInArrow(anchors, _ROW), (np.uint32, np.uint64, np.int64), _anchored)
 
     def settled(key: tuple, table: pa.Table) -> pa.Table:
         number = key[0].as_py()
-        mine, first = _Left.of(next(r for r in table.to_pylist() if r["kind"] == _LEFT), length)
+        row = next(r for r in table.to_pylist() if r["kind"] == _LEFT)
+        mine, first = _Left.of(row, length)
         group, bucket, *_ = mine.anchors(first, buckets)
         said = _answers(table, bucket, 2)
         earlier, single = np.zeros(len(mine.heads), bool), ~mine.anchored
         earlier[group], single[group] = said[:, 0], said[:, 1]
         known = ~first | earlier[mine.group]
-        which, bucket, high, low, ids = mine.windows(np.flatnonzero(first & single[mine.group]), buckets)
+        asked = np.flatnonzero(first & single[mine.group])
         runs = np.flatnonzero(np.diff(known.astype(np.int8), prepend=0, append=0))
         breaks = np.flatnonzero(np.diff(mine.origin) != 1) + 1
         breaks = breaks[known[breaks] & known[breaks - 1]]
         at = np.sort(np.concatenate([runs, breaks, breaks]))
         known_runs = np.concatenate([mine.origin[at[::2]], mine.origin[at[1::2] - 1] + 1])
-        row = (number, _KNOWN, 0, _packed(known_runs), _packed(mine.origin[which]), _packed(bucket))
-        return _table([row, *_by_bucket(number, bucket, high, low, ids)])
+        steps = lambda x: _packed(np.diff(x, prepend=0))
+        return _table([(number, _KNOWN, 0, _packed(known_runs), steps(mine.origin[asked]), None), (number, _ASKED, 0, row["a"], steps(mine.at[asked]), _packed(mine.id[asked]))])
+
+    known = stored(left.union(shared).groupBy("slice").applyInArrow(settled, _ROW))
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _rows(batches):
+            at, ids = np.cumsum(_unpacked(row["b"], np.int64)), _unpacked(row["c"], np.int64)
+            order, bucket, high, low = _printed(_unpacked(row["a"], np.uint8), at, length, buckets)
+            yield from _table(_by_bucket(row["slice"], bucket, high, low, ids[order])).to_batches()
 
-    known = stored(left.where(F.col("kind") == _LEFT).union(shared).groupBy("slice").applyInArrow(settled, _ROW))
-    return known.where(F.col("kind") == _KNOWN).union(_exchanged(known, (np.uint64, np.uint32, np.int64), _earlier))
+    said = _exchanged(known.where(F.col("kind") == _ASKED).mapInArrow(windows, _ROW), (np.uint64, np.uint32, np.int64), _earlier)
+    return known.where(F.col("kind") == _KNOWN).union(said)
 
 
-def _starts(table: pa.Table, n: int) -> np.ndarray:
-    """Whether each of a slice's n positions starts a window that has occurred before."""
+def _starts(table: pa.Table, data: np.ndarray, length: int, buckets: int) -> np.ndarray:
+    """Whether each of a slice's positions starts a window that has occurred before."""
+    n = len(data)
     out = np.zeros(n, bool)
     for r in table.to_pylist():
         if r["kind"] == _KNOWN:
@@ -341,8 +363,9 @@ def _starts(table: pa.Table, n: int) -> np.ndarray:
             np.add.at(change, begin, 1)
             np.add.at(change, end, -1)
             out = np.cumsum(change)[:n] > 0
-            asked = _unpacked(r["b"], np.int64)
-            out[asked[_answers(table, _unpacked(r["c"], np.int64), 1)[:, 0]]] = True
+            asked = np.cumsum(_unpacked(r["b"], np.int64))
+            order, bucket, *_ = _printed(data, asked, length, buckets)
+            out[asked[order[_answers(table, bucket, 1)[:, 0]]]] = True
     return out
 
 
@@ -367,12 +390,12 @@ def remove_repeats(documents: DataFrame, length: int = LENGTH, key: str = "doc_i
         raise ValueError(f"length must be at least {2 * TRIGGER}")
     kind = documents.schema[key].dataType.simpleString()
     texts = stored(sliced(documents, length, slice_bytes, key, text))
-    total = texts.agg(F.sum("part")).first()[0] or 0
-    known = repeated_starts(texts, length, max(1, -(-total // bucket_bytes)))
+    buckets = max(1, -(-(texts.agg(F.sum("part")).first()[0] or 0) // bucket_bytes))
+    known = repeated_starts(texts, length, buckets)
 
     def kept(slice_: tuple, table: pa.Table) -> pa.Table:
         s = _Slice.of(next(r for r in table.to_pylist() if r["kind"] in (_TEXT, _PIECE)))
-        starts = _starts(table, len(s.data))
+        starts = _starts(table, s.data, length, buckets)
         null = lambda ids: [None if i == _NULL else i for i in ids.tolist()]
         if s.kind == _PIECE:
             own = int(s.own[0])
