@@ -2,16 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
-#: Most cosines that one block of an Arrow batch makes.
-_CELLS = 1 << 22
+from textquarry.operators.vector_blocks import cosine_scores
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -47,59 +43,6 @@ def asked_all(rows: DataFrame, packed: DataFrame, blocks: int) -> DataFrame:
     return rows.join(F.broadcast(packed)) if blocks == 1 else rows.hint("shuffle_replicate_nl").join(packed)
 
 
-def cosine_scores(
-    vectors: DataFrame, queries: DataFrame, key: str = "vec_id", query_key: str = "query_id", vector: str = "embedding", most_queries: int | None = None, block: int = 10_000, k: int | None = None, digits: int = 9
-) -> DataFrame:
-    """(query_key, key, cosine) of every query against every vector; more than `most_queries` are refused if it is given.
-
-    Queries go in blocks of about `block`: the matrix of one block is broadcast and multiplied with each Arrow batch of vectors. With `k` a batch
-    leaves out what is below its own k-th best cosine (at `digits` decimals) of a query, which cannot be among the k best of all.
-    """
-    n = queries.count()
-    if most_queries is not None and n > most_queries:
-        raise ValueError(f"more than {most_queries} queries")
-    blocks = max(1, -(-n // block))
-    asked = queries.select(F.col(query_key).alias("q"), F.col(vector).cast("array<double>").alias("v")).where("q is not null and v is not null")
-    rows = vectors.select(F.col(key), F.col(vector).cast("array<double>").alias("v")).where("v is not null")
-    kinds = {name: df.schema[name].dataType.simpleString() for df, name in ((rows, key), (queries, query_key))}
-
-    def scored(shared):
-        def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ids, matrix = shared.value
-            step = max(1, _CELLS // max(len(ids), 1))
-            for batch in batches:
-                for at in range(0, batch.num_rows, step):
-                    some = batch.slice(at, step)
-                    x = units_of(some.column("v"), matrix.shape[1])
-                    sims = x @ matrix.T
-                    keep = ~np.isnan(sims)
-                    if k is not None and k < len(sims):
-                        rounded = np.round(np.where(keep, sims, -np.inf), digits)
-                        keep &= rounded >= np.partition(rounded, len(rounded) - k, axis=0)[len(rounded) - k]
-                    r, c = np.nonzero(keep)
-                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(c)), some.column(key).take(pa.array(r)), pa.array(sims[r, c])], [query_key, key, "cosine"])
-
-        return part
-
-    out = None
-    for b in range(blocks):
-        found = (asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == b)).toArrow()
-        v = found.column("v").combine_chunks()
-        shared = vectors.sparkSession.sparkContext.broadcast((found.column("q").combine_chunks(), units_of(v, len(v[0]) if len(v) else 0)))
-        pairs = rows.mapInArrow(scored(shared), f"{query_key} {kinds[query_key]}, {key} {kinds[key]}, cosine double")
-        out = pairs if out is None else out.union(pairs)
-    return out
-
-
-def units_of(column: pa.Array, dimension: int, smallest: float = 1e-10) -> np.ndarray:
-    """Rows at unit length; those of another dimension or with missing numbers are not numbers."""
-    same = np.asarray(pc.equal(pc.list_value_length(column), dimension))
-    out = np.full((len(column), dimension), np.nan)
-    flat = pc.list_flatten(column.filter(pa.array(same))).to_numpy(zero_copy_only=False).astype(np.float64)
-    out[same] = flat.reshape(-1, dimension) if dimension else 0
-    return out / (np.sqrt((out * out).sum(axis=1, keepdims=True)) + smallest)
-
-
 def nearest(scores: DataFrame, k: int, min_score: float | None = None, key: str = "vec_id", query_key: str = "query_id", digits: int = 9) -> DataFrame:
     """The k highest cosines of each query, then without those below `min_score`; ties go to the smaller key."""
     order = Window.partitionBy(query_key).orderBy(F.round("cosine", digits).desc(), F.col(key))
@@ -183,18 +126,6 @@ def current_version(index: DataFrame, version: str) -> tuple[DataFrame, DataFram
     return index.where(same), index.where(~same)
 
 
-def approximate_nearest(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", query_key: str = "query_id", vector: str = "embedding", tables: int = 8, width: float = 1.0, seed: int = 7) -> DataFrame:
-    """Nearest vectors by random-projection hashing: queries meet only the vectors of their buckets in any of the tables. Recall grows with tables and width."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    left = vectors.select(F.col(key), array_to_vector(unit(F.col(vector))).alias("v"))
-    right = queries.select(F.col(query_key), array_to_vector(unit(F.col(vector))).alias("v"))
-    model = BucketedRandomProjectionLSH(inputCol="v", outputCol="hashes", bucketLength=width, numHashTables=tables, seed=seed).fit(left)
-    near = model.approxSimilarityJoin(left, right, 2.0, distCol="d").select(F.col(f"datasetB.{query_key}").alias(query_key), F.col(f"datasetA.{key}").alias(key), (1 - F.col("d") * F.col("d") / 2).alias("cosine"))
-    return nearest(near, k, key=key, query_key=query_key)
-
-
 def artifact_text() -> Column:
     """Name, description, evidence and handling joined by bars; the id where all are empty."""
     parts = F.concat_ws(" | ", F.nullif(F.col("name"), F.lit("")), F.nullif(F.col("description"), F.lit("")), F.filter("evidence", lambda e: e != ""), F.nullif(F.col("handling"), F.lit("")))

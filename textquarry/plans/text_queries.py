@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from textquarry.functions.queries import with_intent
-from textquarry.functions.texts import keywords, token_estimate
-from textquarry.operators import reports, retrieval, vectors
+from textquarry.functions.texts import keywords, token_estimate, tokens
+from textquarry.operators import block_max, cells, reports, retrieval, vectors
 from textquarry.plans.catalog import query
+from textquarry.sources.shared import new_path
 
 _TOKENS = r"list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '')"
 _BM25 = rf"""
@@ -28,9 +29,15 @@ ends AS (
 normed AS (SELECT item_id, doc_id, score, CASE WHEN high - low < 1e-9 THEN 0 ELSE (score - low) / (high - low) END AS norm FROM scores JOIN ends USING (item_id))"""
 
 
-def _scores(t, docs=None):
+def _index(t, docs=None):
     docs = t("documents") if docs is None else docs
-    return retrieval.min_max(retrieval.bm25(docs, t("benchmark")), docs.agg(F.count("*").alias("n")))
+    asked = t("benchmark").select(F.explode(tokens(F.col("text"))).alias("term")).distinct()
+    return block_max.build(docs, new_path(docs.sparkSession, "passages"), asked=asked)
+
+
+def _best(t, k, docs=None):
+    """The k best documents of each benchmark text, with their scaled scores and ranks."""
+    return retrieval.top_k(block_max.normed_top(_index(t, docs), t("benchmark"), k), k, "norm", "item_id", "doc_id")
 
 
 @query(
@@ -40,7 +47,7 @@ SELECT item_id, doc_id, rank::INTEGER AS rank, round(norm, 6) AS norm FROM (
 )
 def bm25_top_passages(t):
     """The ten documents nearest to each benchmark text by BM25, scaled to 0..1."""
-    return retrieval.top_k(_scores(t), 10, "norm", "item_id", "doc_id").select("item_id", "doc_id", "rank", F.round("norm", 6).alias("norm"))
+    return _best(t, 10).select("item_id", "doc_id", "rank", F.round("norm", 6).alias("norm"))
 
 
 @query(
@@ -60,8 +67,14 @@ def hybrid_top_passages(t):
     v = t("embeddings")
     docs = v.join(t("documents").select(F.col("doc_id").alias("vec_id")), "vec_id", "left_semi")
     asked = v.join(t("benchmark").select(F.col("item_id").alias("vec_id")), "vec_id", "left_semi").select(F.col("vec_id").alias("item_id"), "embedding")
-    cosines = vectors.cosine_scores(docs, asked, query_key="item_id").withColumnRenamed("vec_id", "doc_id")
-    both = retrieval.fused(cosines, _scores(t))
+    near = vectors.nearest(vectors.cosine_scores(docs, asked, query_key="item_id", k=64), 64, query_key="item_id").select(F.col("item_id").alias("q"), F.col("vec_id").alias("k"), "cosine")
+    units = vectors.with_units(v).select("vec_id", "u")
+
+    def cosines_of(pairs):
+        one, two = units.select(F.col("vec_id").alias("q"), F.col("u").alias("a")), units.join(docs.select("vec_id"), "vec_id", "left_semi").select(F.col("vec_id").alias("k"), F.col("u").alias("b"))
+        return pairs.join(one, "q").join(two, "k").select("q", "k", vectors.dot(F.col("a"), F.col("b")).alias("cosine"))
+
+    both = block_max.hybrid_top(_index(t), t("benchmark"), near, cosines_of, 5)
     return retrieval.top_k(both, 5, "final", "item_id", "doc_id", digits=7).select("item_id", "doc_id", "rank", F.round("final", 5).alias("final"))
 
 
@@ -74,7 +87,7 @@ def passages_of_sources(t):
     """The three best passages of each benchmark text among a few sources, the first of each language."""
     docs = t("documents")
     wanted = docs.groupBy("lang").agg(F.min("source").alias("source"))
-    return retrieval.top_k(_scores(t, retrieval.from_sources(docs, wanted)), 3, "norm", "item_id", "doc_id").select("item_id", "doc_id", "rank", F.round("norm", 6).alias("norm"))
+    return _best(t, 3, retrieval.from_sources(docs, wanted)).select("item_id", "doc_id", "rank", F.round("norm", 6).alias("norm"))
 
 
 @query(
@@ -89,12 +102,13 @@ def request_intents(t):
     return rows.select("doc_id", "is_audit", "is_review", "reads_all", "mode")
 
 
-@query(
-    """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+_NEAREST = """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
 c AS (SELECT q.vec_id AS query_id, v.vec_id, list_cosine_similarity(v.e, q.e) AS cosine FROM v, v q WHERE q.vec_id % 100 = 0)
 SELECT query_id, vec_id, rank::INTEGER AS rank, round(cosine, 6) AS cosine FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(cosine, 7) DESC, vec_id) AS rank FROM c) WHERE rank <= 10"""
-)
+
+
+@query(_NEAREST)
 def vector_top_k(t):
     """The ten vectors nearest to each query, queries being the ids divisible by 100, against all vectors."""
     v = t("embeddings")
@@ -102,12 +116,13 @@ def vector_top_k(t):
     return vectors.nearest(vectors.cosine_scores(v, asked, k=10, digits=7), 10, digits=7).select("query_id", "vec_id", "rank", F.round("cosine", 6).alias("cosine"))
 
 
-@query()
+@query(_NEAREST)
 def vector_top_k_approximate(t):
-    """The same by random-projection hashing; tests measure its recall."""
+    """The same by the stored index of cells, which reads few full vectors and proves that no other is nearer."""
     v = t("embeddings")
     asked = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
-    return vectors.approximate_nearest(v, asked, 10, tables=12, width=1.5)
+    index = cells.build(v, new_path(v.sparkSession, "cells"))
+    return cells.search(index, asked, 10).select("query_id", "vec_id", "rank", F.round("cosine", 6).alias("cosine"))
 
 
 def _windows_sql(size: int, step: int) -> str:
@@ -276,7 +291,7 @@ SELECT query_id, artifact_id AS id, round(relevance, 5) AS score, 'artifacts' AS
 def unified_search(t):
     """Artifact hits and document hits of the benchmark texts in one table, each with the method that found it."""
     hits = reports.keyword_hits(_artifacts(t), _questions(t), threshold=0.5).select("query_id", F.col("artifact_id").alias("id"), F.col("relevance").alias("score"))
-    best = retrieval.top_k(_scores(t), 3, "norm", "item_id", "doc_id").select(F.col("item_id").alias("query_id"), F.col("doc_id").alias("id"), F.col("norm").alias("score"))
+    best = _best(t, 3).select(F.col("item_id").alias("query_id"), F.col("doc_id").alias("id"), F.col("norm").alias("score"))
     return reports.unified(artifacts=hits, keywords=best).withColumn("score", F.round("score", 5))
 
 
