@@ -16,7 +16,8 @@ def collapse(rows):
 
     turns = {}
     for c, t, r, x in set(rows):
-        h = hashlib.md5(("\0" if r is None else r).encode() + b"\x1f" + ("\0" if x is None else x).encode()).hexdigest()
+        sized = lambda v: "" if v is None else f"{len(v)}:{v}"
+        h = hashlib.md5(f"{sized(r)} {sized(x)}".encode()).hexdigest()
         turns.setdefault(c, []).append((-1 if t is None else t, h, r or "", x or ""))
     seq = {c: [(h, r, x) for _, h, r, x in sorted(v)] for c, v in turns.items()}
     key = lambda c: (c is None, c or 0)
@@ -47,6 +48,13 @@ def test_collapse_equals_all_pairs(spark):
     assert chat.render(df.limit(0)).count() == 0
 
 
+def test_turns_that_differ_stay_apart(spark):
+    rows = [(1, 0, "a\x1fb", "c"), (1, 0, "a", "b\x1fc"), (2, 0, None, "x"), (2, 0, "\0", "x"), (2, 0, "", "x"), (3, 0, "u", None), (3, 0, "u", "\0"), (3, 0, "u", ""), (4, 0, "1:a", "b"), (4, 0, "1", "a 1:b")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    assert {r["conv_id"]: r["n_turns"] for r in chat.render(df).collect()} == {1: 2, 2: 3, 3: 3, 4: 2}
+    assert rendered(chat.render(df)) == collapse(rows)
+
+
 def test_collapse_equals_sql(spark, sf):
     con = duckdb.connect()
     con.execute(f"create view conversations as select * from '{sf}/conversations.parquet'")

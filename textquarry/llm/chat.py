@@ -15,7 +15,9 @@ BLOCK = 256
 
 
 def _hashed(rows: DataFrame) -> DataFrame:
-    h = F.md5(F.concat_ws("\u001f", F.coalesce(F.col("role"), F.lit("\u0000")), F.coalesce(F.col("text"), F.lit("\u0000"))).cast("binary"))
+    # a null is empty here, one that is not begins with its length
+    sized = lambda c: F.coalesce(F.concat(F.length(c).cast("string"), F.lit(":"), F.col(c)), F.lit(""))
+    h = F.md5(F.concat(sized("role"), F.lit(" "), sized("text")).cast("binary"))
     return rows.withColumn("turn", F.coalesce(F.col("turn").cast("long"), F.lit(-1))).withColumn("h", h)
 
 
@@ -75,7 +77,7 @@ def render(conversations: DataFrame) -> DataFrame:
 
 ORACLE = """
 WITH t AS (
-  SELECT DISTINCT conv_id, coalesce(turn, -1) AS turn, role, text, md5(coalesce(role, chr(0)) || chr(31) || coalesce(text, chr(0))) AS h FROM conversations),
+  SELECT DISTINCT conv_id, coalesce(turn, -1) AS turn, role, text, md5(coalesce(length(role) || ':' || role, '') || ' ' || coalesce(length(text) || ':' || text, '')) AS h FROM conversations),
 n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, h) AS pos, count(*) OVER (PARTITION BY conv_id) AS n FROM t),
 p AS (SELECT conv_id, pos, n, md5(string_agg(h, '') OVER (PARTITION BY conv_id ORDER BY pos ROWS UNBOUNDED PRECEDING)) AS x FROM n),
 l AS (SELECT pos, x, max(n) AS longest, min(CASE WHEN n = pos THEN conv_id END) AS first FROM p GROUP BY pos, x),
