@@ -43,7 +43,7 @@ class PassageIndex:
         return self.spark.read.parquet(f"{self.folder}/{name}")
 
 
-def _counted(passages: DataFrame, key: str, text: str) -> DataFrame:
+def counted(passages: DataFrame, key: str, text: str) -> DataFrame:
     """(key, len, terms: (term, tf) of each passage), counted inside the row."""
     runs = F.expr("filter(sequence(1, greatest(size(s), 1)), i -> i = 1 or s[i - 1] <> s[i - 2])")
     rows = passages.select(F.col(key), tokens(F.col(text)).alias("t")).select(key, F.size("t").alias("len"), F.array_sort("t").alias("s")).withColumn("heads", runs)
@@ -59,7 +59,7 @@ def build(passages: DataFrame, folder: str, key: str = "doc_id", text: str = "te
     n, mean = passages.agg(F.count("*"), F.avg(F.size(tokens(F.col(text))))).first()
     impact = f"x.tf * {k1 + 1:.17g}D / (x.tf + {k1:.17g}D * ({1 - b:.17g}D + {b:.17g}D * len / {mean or 1.0:.17g}D))"
     length = F.floor(F.log2(F.col("len") + 1) * STEPS).cast("int")
-    _counted(passages, key, text).select(key, length.alias("c"), F.expr(f"transform(terms, x -> struct(x.term as term, {impact} as impact))").alias("terms")).write.mode("overwrite").parquet(f"{folder}/forward")
+    counted(passages, key, text).select(key, length.alias("c"), F.expr(f"transform(terms, x -> struct(x.term as term, {impact} as impact))").alias("terms")).write.mode("overwrite").parquet(f"{folder}/forward")
     every = spark.read.parquet(f"{folder}/forward").select(key, "c", F.explode("terms").alias("p")).select(key, "c", "p.term", "p.impact")
     classes = every.groupBy("term", "c").agg(F.count("*").alias("n"), F.max("impact").alias("most"))
     df = classes.groupBy("term").agg(F.sum("n").alias("df"), F.collect_list(F.struct("c", "n", "most")).alias("classes"))
