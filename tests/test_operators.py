@@ -323,3 +323,34 @@ def test_project_memory_is_indexed_anew(spark):
 def test_passages_of_wanted_sources(spark):
     rows = spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "doc_id int, source string")
     assert [r["doc_id"] for r in retrieval.from_sources(rows, rows.where("source = 'b'")).collect()] == [2]
+
+
+def test_literals_gate_every_rule():
+    from textquarry.operators.pattern_rules import RULES
+
+    assert rules.required_literals(r"(get|set)_\w+|[Ff]actory") == {"get", "set", "actory"}
+    assert rules.required_literals(r"a?b*") is None and rules.required_literals(r"(?<!q)Abc+") == {"ab"} and rules.required_literals(r"(x|y*)z") == {"z"}
+    assert all(rules.required_literals(r.regex) for r in RULES)
+
+
+def test_gated_rules_find_what_plain_expressions_find(spark):
+    import re
+
+    from textquarry.operators.pattern_rules import RULES
+    from textquarry.plans.code_queries import _KINDS, _LINES
+
+    odd = ["DEF GET_IN\u017fTANCE(", "\u212aey", "def m\u0131x(", "class \u00c9Factory(", "", "   "]
+    text = "\n".join([*_LINES, *odd, *(x.upper() for x in _LINES), *(f"{a} {b}" for a, b in zip(_LINES, _LINES[5:], strict=False))])
+    files = spark.createDataFrame([(k, k, text) for k in _KINDS], "path string, language string, content string")
+    plain = [r for r in RULES if r.at_least == 1]
+    got = {(r["path"], r["rule_id"], r["start_line"]) for r in rules.line_evidence(files, plain).collect()}
+    want = {(k, r.rule_id, i) for k in _KINDS for r in plain if k in r.languages or not r.languages for i, line in enumerate(text.split("\n"), 1) if re.search(r.regex, line, re.I)}
+    assert got == want and len(want) > 100
+
+
+def test_three_times_fewer_expressions(spark, sf):
+    from textquarry.operators.pattern_rules import RULES
+    from textquarry.plans.code_queries import _catalogue_files
+
+    n = rules.regex_evaluations(_catalogue_files(lambda name: spark.read.parquet(f"{sf}/{name}.parquet")), RULES).first()
+    assert n["all"] > 3 * n["gated"]

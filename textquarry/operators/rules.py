@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -27,11 +28,85 @@ def _flagged(r: Rule) -> str:
     return ("(?iU)" if r.ignore_case else "(?U)") + r.regex
 
 
+def _best(choices: list[frozenset[str] | None]) -> frozenset[str] | None:
+    """Of sets of which one string each must be there, the one whose shortest string is longest."""
+    return max((c for c in choices if c), key=lambda c: (min(map(len, c)), -len(c)), default=None)
+
+
+def _required(parsed: object) -> frozenset[str] | None:
+    """Strings of which every match of a parsed expression has at least one, in lower case; None if there are none."""
+    sets, run = [], ""
+    for op, value in parsed:
+        name = str(op)
+        if name == "LITERAL" and value < 128:
+            run += chr(value).lower()
+            continue
+        sets.append(frozenset({run}) if run else None)
+        run = ""
+        if name == "SUBPATTERN":
+            sets.append(_required(value[3]))
+        elif name == "BRANCH":
+            each = [_required(b) for b in value[1]]
+            sets.append(frozenset().union(*each) if all(each) else None)
+        elif name in ("MAX_REPEAT", "MIN_REPEAT", "POSSESSIVE_REPEAT") and value[0] > 0:
+            sets.append(_required(value[2]))
+    sets.append(frozenset({run}) if run else None)
+    return _best(sets)
+
+
+def required_literals(regex: str) -> frozenset[str] | None:
+    """ASCII strings, in lower case, of which a text has at least one wherever the expression matches; None where nothing is sure."""
+    try:
+        parsed = re._parser.parse(regex)
+    except re.error:  # an expression of Java's own kind
+        return None
+    return _required(parsed)
+
+
+#: Characters that case-insensitive expressions take for ASCII letters, and those.
+_ALIKE = ("\u017f\u0131\u0130\u212a", "siik")
+
+
+def folded(line: Column) -> Column:
+    return F.lower(F.translate(line, *_ALIKE))
+
+
+def may_hit(rules: list[Rule], low: Column) -> Column | None:
+    """Whether a line, `folded`, has a string that one of the rules requires: one expression for all of them. None if a rule requires none."""
+    wanted = [required_literals(r.regex) for r in rules]
+    if not all(wanted):
+        return None
+    every = frozenset().union(*wanted)
+    shortest = sorted(w for w in every if not any(v != w and v in w for v in every))
+    return low.rlike("|".join(re.escape(w) for w in shortest))
+
+
+def _has_literal(rule: Rule, low: Column) -> Column | None:
+    found = None
+    for w in sorted(required_literals(rule.regex) or ()):
+        found = low.contains(w) if found is None else found | low.contains(w)
+    return found
+
+
+def regex_evaluations(texts: DataFrame, rules: list[Rule], text: str = "content", language: str | None = "language") -> DataFrame:
+    """One row (gated, all): expressions evaluated on the lines of the texts with and without the literals that gate them."""
+    lines = texts.select(*([language] if language else []), F.explode(F.split(F.regexp_replace(F.col(text), r"\r?\n\z", ""), r"\r?\n")).alias("line")).withColumn("low", folded(F.col("line")))
+    may, gated, every = may_hit(rules, F.col("low")), F.lit(0), F.lit(0)
+    for r in rules:
+        own = F.col(language).isin(*r.languages) if r.languages and language else F.lit(True)
+        literal = _has_literal(r, F.col("low"))
+        every = every + own.cast("int")
+        gated = gated + (own & (F.lit(True) if literal is None else literal)).cast("int")
+    gated = gated if may is None else F.when(may, gated + 1).otherwise(1)
+    return lines.select(gated.alias("g"), every.alias("e")).agg(F.coalesce(F.sum("g"), F.lit(0)).alias("gated"), F.coalesce(F.sum("e"), F.lit(0)).alias("all"))
+
+
 def line_evidence(texts: DataFrame, rules: list[Rule], key: str = "path", text: str = "content", language: str | None = "language", carried: tuple[str, ...] = ()) -> DataFrame:
     """(key, pattern, rule_id, start_line, end_line, snippet, weight): one row for each line that a rule finds, with the `carried` columns.
 
-    Rules are literal columns, so each is compiled once and a text is split once, in one pass without a shuffle. Snippets are trimmed and cut to
-    250 characters (300 with following lines).
+    Rules are literal columns, so each is compiled once and a text is split once, in one pass without a shuffle. A line goes on if it has one of the
+    strings that the rules require, which is one expression for all of them, and then meets only the rules whose own string it has. Snippets are
+    trimmed and cut to 250 characters (300 with following lines).
     """
     kinds = [*([language] if language else []), *carried]
     most = max((r.after for r in rules), default=0)
@@ -39,9 +114,14 @@ def line_evidence(texts: DataFrame, rules: list[Rule], key: str = "path", text:
     # a line takes the few that follow it along, never the whole text
     line = lambda x, i: F.struct(i.alias("i"), x.alias("line"), *([F.slice("all_lines", i + 1, F.lit(most + 1)).alias("near")] if most else []))
     lines = texts.select(key, *kinds, F.size("all_lines").alias("n_lines"), F.explode(F.transform("all_lines", line)).alias("x")).select(key, *kinds, "n_lines", "x.*")
+    lines = lines.withColumn("low", folded(F.col("line")))
+    may = may_hit(rules, F.col("low"))
+    lines = lines if may is None else lines.where(may)
 
     def hit(r: Rule) -> Column:
+        literal = _has_literal(r, F.col("low"))
         found = F.col("line").rlike(_flagged(r))
+        found = found if literal is None else literal & found
         if r.languages and language:
             found = F.col(language).isin(*r.languages) & found
         snippet = F.array_join(F.slice("near", 1, r.after + 1), "\n") if r.after else F.col("line")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from textquarry.functions import paths
-from textquarry.operators import facts
+from textquarry.operators import facts, rules
+from textquarry.operators.pattern_rules import RULES
 from textquarry.plans.catalog import query
 
 _FILES = """f AS (SELECT event_id AS i, user_id % 50 AS m, user_id % 5 AS b, user_id % 3 = 0 AS entry, event_id % 4 AS k,
@@ -85,3 +86,41 @@ def function_changes(t):
     old = _corpus(t)
     renamed = F.when(F.col("content").contains("__main__"), F.col("content")).otherwise(F.regexp_replace("content", r"def f(\d+)", "def g$1"))
     return facts.change_impact(old, old.withColumn("content", renamed))
+
+
+# Lines of source code that the rules of the catalogue are to find, or nearly.
+_LINES = (
+    "def __new__(cls):", "    _instance = None", "def get_instance(self):", "private static Thing one;", "class ShapeFactory(Base):", "def create_shape(kind):", "@functools.wraps(func)", "    return wrapper",
+    "def wrapper(*args):", "self.listeners = []", "def subscribe(self, f):", "def notify(self):", "class Strategy(ABC):", "self.state = State()", "class UserRepository:", "class LogMiddleware:",
+    "try:", "except ValueError as e:", "raise RuntimeError(1)", "async def run():", "await thing", "import threading", "def __init__(self, service):", "class UserController:",
+    "@Override", "public static Shape createShape() {", "addEventListener('x', f)", "catch (Exception e) {", "throw new Error(1);", "self.a = A()", "self.b = B()", "self.c = C()",
+    "x = 1", "# a comment of nothing", "return x + y", "for i in range(3):", "while (true) { }", "int main() {", "print('hello')", "let z = q;", "SELFISH = instances", "factory of dreams", "value = wrapped", "",
+)
+_KINDS = ("python", "java", "cpp", "javascript", "typescript")
+_PICKED = 12
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+_CATALOGUE = f"""WITH lines AS (SELECT [{", ".join(_quoted(x) for x in _LINES)}] AS l, [{", ".join(_quoted(x) for x in _KINDS)}] AS k),
+files AS (SELECT event_id, k[event_id % {len(_KINDS)} + 1] AS language, l FROM events, lines WHERE user_id IS NOT NULL),
+rows AS (SELECT event_id, language, n, l[(event_id * 7 + n * n * 13 + n * (event_id % 5)) % {len(_LINES)} + 1] AS line FROM files, range({_PICKED}) r(n)),
+rules(pattern, rule_id, languages, regex, least) AS (VALUES {", ".join(f"({_quoted(r.pattern)}, {_quoted(r.rule_id)}, [{', '.join(map(_quoted, r.languages))}]::VARCHAR[], {_quoted('(?i)' + r.regex)}, {r.at_least})" for r in RULES)}),
+hits AS (
+  SELECT event_id, pattern, rule_id, n + 1 AS start_line, least, count(*) OVER w AS m, row_number() OVER (PARTITION BY event_id, rule_id ORDER BY n) AS k
+  FROM rows JOIN rules ON (len(languages) = 0 OR list_contains(languages, language)) AND regexp_matches(line, regex) WINDOW w AS (PARTITION BY event_id, rule_id))
+SELECT event_id, pattern, rule_id, start_line::INTEGER AS start_line FROM hits WHERE least = 1 OR (m >= least AND k <= least)"""
+
+
+def _catalogue_files(t):
+    lines, kinds, i = F.array(*map(F.lit, _LINES)), F.array(*map(F.lit, _KINDS)), F.col("event_id")
+    picked = F.transform(F.sequence(F.lit(0), F.lit(_PICKED - 1)), lambda n: F.get(lines, ((i * 7 + n * n * 13 + n * (i % 5)) % len(_LINES)).cast("int")))
+    return t("events").where("user_id is not null").select("event_id", F.get(kinds, (i % len(_KINDS)).cast("int")).alias("language"), F.concat(F.array_join(picked, "\n"), F.lit("\n")).alias("content"))
+
+
+@query(_CATALOGUE)
+def catalogue_evidence(t):
+    """What the whole catalogue of pattern rules finds in source files of twelve lines, one for each event."""
+    return rules.line_evidence(_catalogue_files(t), RULES, key="event_id").select("event_id", "pattern", "rule_id", "start_line")
