@@ -354,3 +354,21 @@ def test_three_times_fewer_expressions(spark, sf):
 
     n = rules.regex_evaluations(_catalogue_files(lambda name: spark.read.parquet(f"{sf}/{name}.parquet")), RULES).first()
     assert n["all"] > 3 * n["gated"]
+
+
+def test_running_totals_equal_a_loop(spark):
+    from textquarry.operators.ordered import running
+
+    rng = random.Random(6)
+    rows = [(i, rng.choice(["a", "b", None]), rng.randint(0, 9), rng.randint(-3, 9)) for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, g string, o int, x int").repartition(5)
+    for by in ((), ("g",)):
+        done = running(df, [-F.col("o"), F.col("id")], F.col("x"), "before", by)
+        got = {r["id"]: r["before"] for r in done.collect()}
+        want, sums = {}, {}
+        for i, g, o, x in sorted(rows, key=lambda r: (-r[2], r[0])):
+            k = g if by else 0
+            want[i] = sums.get(k, 0)
+            sums[k] = sums.get(k, 0) + x
+        assert got == want and done.columns == [*df.columns, "before"]
+    assert running(df.limit(0), [F.col("id")], F.lit(1), "before").count() == 0

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
+from textquarry.operators.ordered import running
 from textquarry.operators.vectors import asked_all, in_blocks
 
 SEVERITIES = ("critical", "high", "medium", "low")
@@ -98,10 +99,9 @@ def edit_hints(edits: DataFrame, key: str = "path", order: str = "ts", note: str
 
 
 def window_batches(files: DataFrame, by: str = "project", key: str = "path", size: str = "size", budget: int = 300_000, cap: int = 20_000) -> DataFrame:
-    """(by, key, batch): a file's batch is the budget's multiple its running size has reached. Fully in windows, but a batch may exceed the budget by one file."""
-    w = Window.partitionBy(by).orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum(F.least(F.col(size), F.lit(cap))).over(w), F.lit(0))
-    return files.select(by, key, F.floor(before / budget).cast("int").alias("batch"))
+    """(by, key, batch): a file's batch is the budget's multiple its running size has reached. Large projects lie in several ranges; a batch may exceed the budget by one file. Keys are unique in a project."""
+    sized = running(files.select(by, key, F.coalesce(F.least(F.col(size), F.lit(cap)), F.lit(0)).alias("s")), [F.col(key)], F.col("s"), "before", (by,))
+    return sized.select(by, key, F.floor(F.col("before") / budget).cast("int").alias("batch"))
 
 
 def greedy_batches(files: DataFrame, by: str = "project", key: str = "path", size: str = "size", budget: int = 300_000, cap: int = 20_000) -> DataFrame:

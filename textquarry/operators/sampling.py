@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
+from textquarry.operators.ordered import running
+
 
 def size_profile(files: DataFrame, by: list[str], stratum: str = "language", sample_above: int = 200) -> DataFrame:
     """(by, stratum, n, n_files, size_class, needs_sample, estimate_s) from counts of files in each group and stratum."""
@@ -45,11 +47,11 @@ def coverage(files: DataFrame, sample: DataFrame, key: str = "path", confidence:
 
 
 def prioritised(files: DataFrame, entry: Column, config: Column, n_imports: str = "n_imports", by: tuple[str, ...] = (), key: str = "path") -> DataFrame:
-    """Adds tier (1 entry points, 2 configuration, 3 files with imports, 4 the rest) and rank: tier 3 by imports, most first, others by path."""
+    """Adds tier (1 entry points, 2 configuration, 3 files with imports, 4 the rest) and rank: tier 3 by imports, most first, others by path. Paths are unique."""
     tier = F.when(entry, 1).when(config, 2).when(F.col(n_imports) > 0, 3).otherwise(4)
     rows = files.withColumn("tier", tier)
     order = [F.col("tier"), F.when(F.col("tier") == 3, -F.col(n_imports)).otherwise(0), F.col(key)]
-    return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+    return running(rows, order, F.lit(1), "rank", by).withColumn("rank", (F.col("rank") + 1).cast("int"))
 
 
 def key_files(entries: DataFrame, import_counts: DataFrame, configs: DataFrame, by: list[str], keep: int = 20, least: int = 2) -> DataFrame:

@@ -225,8 +225,7 @@ def page_priorities(t):
     """The order in which pages are to be read."""
     pages = t("pages").select("page_id", F.concat_ws("\u0001", "url", F.lpad(F.col("page_id").cast("string"), 20, "0")).alias("path"), "url", F.size(facts.extract_distinct(F.col("html"), r'<a href="([^"]+)"')).alias("n_imports"))
     entry = F.col("url").contains("/en/") & F.col("url").contains("//m.")
-    rows = pages.withColumn("all", F.lit("web"))
-    return sampling.prioritised(rows, entry, F.col("url").contains("utm_"), by=("all",)).select("page_id", "tier", "rank")
+    return sampling.prioritised(pages, entry, F.col("url").contains("utm_")).select("page_id", "tier", "rank")
 
 
 @query(

@@ -286,13 +286,21 @@ def artifact_texts(t):
 @query(
     f"""WITH {_HITS.replace("WITH ", "")}, {_BM25},
 best AS (SELECT item_id AS query_id, doc_id::VARCHAR AS id, norm AS score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(norm, 9) DESC, doc_id) AS rank FROM normed) WHERE rank <= 3)
-SELECT query_id, artifact_id AS id, round(relevance, 5) AS score, 'artifacts' AS method FROM hits UNION ALL SELECT query_id, id, round(score, 5), 'keywords' FROM best"""
+, vec AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+near AS (SELECT item_id AS query_id, v.vec_id::VARCHAR AS id, list_cosine_similarity(v.e, q.e) AS cosine, row_number() OVER (PARTITION BY item_id ORDER BY round(list_cosine_similarity(v.e, q.e), 9) DESC, 'pattern:' || v.vec_id) AS rank
+  FROM benchmark JOIN vec q ON q.vec_id = item_id, vec v)
+SELECT query_id, artifact_id AS id, round(relevance, 5) AS score, 'artifacts' AS method FROM hits UNION ALL SELECT query_id, id, round(score, 5), 'keywords' FROM best
+UNION ALL SELECT query_id, id, round(cosine, 5), 'semantic' FROM near WHERE rank <= 5 AND cosine >= 0.2"""
 )
 def unified_search(t):
-    """Artifact hits and document hits of the benchmark texts in one table, each with the method that found it."""
+    """Artifact hits by words and by vectors and document hits of the benchmark texts in one table, each with the method that found it."""
     hits = reports.keyword_hits(_artifacts(t), _questions(t), threshold=0.5).select("query_id", F.col("artifact_id").alias("id"), F.col("relevance").alias("score"))
     best = _best(t, 3).select(F.col("item_id").alias("query_id"), F.col("doc_id").alias("id"), F.col("norm").alias("score"))
-    return reports.unified(artifacts=hits, keywords=best).withColumn("score", F.round("score", 5))
+    v = t("embeddings")
+    index = v.select(F.concat(F.lit("pattern:"), F.col("vec_id").cast("string")).alias("vec_id"), "embedding")
+    asked = v.join(t("benchmark").select(F.col("item_id").alias("vec_id")), "vec_id", "left_semi").select(F.col("vec_id").alias("query_id"), "embedding")
+    semantic = vectors.artifact_hits(index, asked, 5, 0.2).select("query_id", F.col("artifact_id").alias("id"), F.col("relevance").alias("score"))
+    return reports.unified(artifacts=hits, keywords=best, semantic=semantic).withColumn("score", F.round("score", 5))
 
 
 @query(
