@@ -69,3 +69,22 @@ def test_log_replay_and_maintenance(spark, feed, tmp_path):
     assert sum(n for _, n in seen) == events.count() and [b for b, _ in seen] == list(range(len(seen)))
     got = drained(spark, jobs.active(stream, "ts", "click", "view", kind="event_type"), "active", "append", tmp_path)
     assert 0 <= sum(r["opened"] for r in got.collect()) <= events.where("event_type = 'click'").count()
+
+
+def test_running_count_of_a_shuffled_feed_equals_batch(spark, feed, tmp_path):
+    events, _ = feed
+    rows = events.select("event_id", "user_id", "ts", "event_type").where("user_id < 40")
+    folder = str(tmp_path / "shuffled")
+    # each file overlaps the next in time; the last one moves the watermark past all others
+    part = F.greatest(F.lit(0), F.floor(F.unix_seconds("ts") / 600) + F.pmod(F.hash("event_id"), F.lit(3)) - 1)
+    numbers = rows.withColumn("part", part).withColumn("part", F.dense_rank().over(__import__("pyspark").sql.Window.orderBy("part"))).cache()
+    last = numbers.agg(F.max("part")).first()[0]
+    assert last > 3
+    for i in range(1, last + 1):
+        numbers.where(f"part = {i}").drop("part").orderBy(F.hash("event_id")).coalesce(1).write.mode("append").parquet(folder)
+    end = rows.limit(1).select(F.lit(10**9).cast("long").alias("event_id"), F.lit(10**6).cast("long").alias("user_id"), F.expr("timestamp'2100-01-01'").alias("ts"), F.lit("click").alias("event_type"))
+    end.select(*[F.col(f.name).cast(f.dataType) for f in rows.schema]).coalesce(1).write.mode("append").parquet(folder)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    got = drained(spark, jobs.running_active(stream, "user_id", "event_id", "ts", "click", "view", kind="event_type", late="1 hour"), "counted", "append", tmp_path)
+    want = logs.active_connections(rows, ["user_id"], ["ts", "event_id"], F.col("event_type") == "click", F.col("event_type") == "view")
+    assert {(r["event_id"], r["active"]) for r in got.collect()} == {(r["event_id"], r["active"]) for r in want.collect()}

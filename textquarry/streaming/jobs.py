@@ -118,6 +118,62 @@ def active(events: DataFrame, ts: str, opened: str, closed: str, kind: str = "ty
     return rows.groupBy(F.window("w_ts", every).alias("window")).agg(F.count_if(F.col(kind) == opened).alias("opened"), F.count_if(F.col(kind) == closed).alias("closed"))
 
 
+class _Active(StatefulProcessor):
+    """State of a key: events that the watermark has not passed, and how many connections are open before them."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "us long, event_id long, step int")
+        self.open = handle.getValueState("open", "n long")
+
+    def _held(self) -> list[tuple]:
+        return [tuple(r) for r in self.waiting.get()] if self.waiting.exists() else []
+
+    def _hold(self, rows: list[tuple]) -> None:
+        if not rows:
+            self.waiting.clear()
+            return
+        self.waiting.put(rows)
+        self.handle.registerTimer(-(-min(r[0] for r in rows) // 1000))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        new = [r for batch in rows for r in zip(batch["us"].astype(int), batch["event_id"].astype(int), batch["step"].astype(int), strict=True)]
+        self._hold([*self._held(), *new])
+        yield from ()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        until = timerValues.getCurrentWatermarkInMs() * 1000
+        held = sorted(self._held())
+        due = [r for r in held if r[0] <= until]
+        n = self.open.get()[0] if self.open.exists() else 0
+        counts = []
+        for _, _, step in due:
+            n += step
+            counts.append(n)
+        if n:
+            self.open.update((n,))
+        else:
+            self.open.clear()
+        self._hold(held[len(due) :])
+        if due:
+            yield pd.DataFrame({"event_id": [r[1] for r in due], "key": key[0], "us": [r[0] for r in due], "active": counts})
+
+    def close(self) -> None:
+        pass
+
+
+def running_active(events: DataFrame, key: str, event_id: str, ts: str, opened: str, closed: str, kind: str = "type", late: str = "10 minutes") -> DataFrame:
+    """Stream of (event_id, key, us, active): openings less closings of a key up to each event, in the order of time and then id, whatever order they come in.
+
+    An event waits until the watermark, `late` behind the newest, has passed it; one that comes after that is dropped, and counted in the progress of
+    the query (numRowsDroppedByWatermark). A key whose count is 0 and that has nothing waiting keeps no state. Needs the RocksDB state store.
+    """
+    step = F.when(F.col(kind) == opened, 1).when(F.col(kind) == closed, -1).otherwise(0)
+    at = F.col(ts).cast("timestamp")
+    rows = events.select(F.col(key).cast("long").alias("key"), F.col(event_id).cast("long").alias("event_id"), at.alias("ts"), F.unix_micros(at).alias("us"), step.alias("step")).withWatermark("ts", late)
+    return rows.groupBy("key").transformWithStateInPandas(statefulProcessor=_Active(), outputStructType="event_id long, key long, us long, active long", outputMode="Append", timeMode="EventTime")
+
+
 def maintained(changes: DataFrame, checkpoint: str, update: Callable[[DataFrame, int], None]) -> StreamingQuery:
     """Runs `update(changed files, batch number)` for each micro-batch of a stream of changed files; a repeated batch has the same number, so updates keyed by it are applied once."""
     return changes.writeStream.foreachBatch(update).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
