@@ -88,3 +88,25 @@ def test_running_count_of_a_shuffled_feed_equals_batch(spark, feed, tmp_path):
     got = drained(spark, jobs.running_active(stream, "user_id", "event_id", "ts", "click", "view", kind="event_type", late="1 hour"), "counted", "append", tmp_path)
     want = logs.active_connections(rows, ["user_id"], ["ts", "event_id"], F.col("event_type") == "click", F.col("event_type") == "view")
     assert {(r["event_id"], r["active"]) for r in got.collect()} == {(r["event_id"], r["active"]) for r in want.collect()}
+
+
+def test_rate_limiter_forgets_and_counts_late_rows(spark, tmp_path):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", jobs.STATE_STORE)
+    folder = str(tmp_path / "feed")
+    files = [
+        [(i, i % 7, f"2024-01-01 10:{i:02d}:00") for i in range(50)],
+        [(100, 1, "2024-01-01 14:00:00")],
+        [(150, 5, "2024-01-01 14:00:10")],  # rows are held against the watermark of the batch before
+        [(200, 2, "2024-01-01 10:30:00"), (201, 3, "2024-01-01 11:59:00"), (202, 4, "2024-01-01 13:30:00")],  # two are before 13:00
+        [(300, 6, "2024-01-02 10:00:00")],
+    ]
+    for rows in files:
+        spark.createDataFrame(rows, "event_id long, user_id long, ts string").selectExpr("event_id", "user_id", "cast(ts as timestamp) ts").coalesce(1).write.mode("append").parquet(folder)
+    stream = spark.readStream.schema("event_id long, user_id long, ts timestamp").option("maxFilesPerTrigger", 1).parquet(folder)
+    df = jobs.rate_limited(stream, "user_id", "event_id", late="1 hour")
+    q = df.writeStream.format("memory").queryName("forgetful").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    assert q.awaitTermination(300)
+    assert jobs.late_rows(q) == 2
+    assert {r["event_id"] for r in spark.table("forgetful").collect()} == {*range(50), 100, 150, 202, 300}
+    most = max(p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress)
+    assert q.lastProgress["stateOperators"][0]["numRowsTotal"] <= 4 < most

@@ -13,33 +13,53 @@ from textquarry.operators.logs import Accepted
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
+_HOUR_MS = 3_600_000
+
 
 class _RateLimiter(StatefulProcessor):
-    """State of a key: accepted times of its last hour, at most the hourly limit."""
+    """State of a key: accepted times of its last hour, at most the hourly limit; none an hour after the last of them."""
 
     def __init__(self, per_minute: int, per_hour: int):
         self.per_minute, self.per_hour = per_minute, per_hour
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.times = handle.getListState("times", "t double")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         batch = pd.concat(list(rows)).sort_values(["t", "event_id"])
         accepted = Accepted(self.per_minute, self.per_hour, [r[0] for r in self.times.get()] if self.times.exists() else [])
         answers = [accepted.ask(t) for t in batch["t"]]
-        self.times.put([(t,) for t in accepted.hour])
+        if accepted.hour:
+            self.times.put([(t,) for t in accepted.hour])
+            self.handle.registerTimer(int(accepted.hour[-1] * 1000) + _HOUR_MS)
         yield pd.DataFrame({"event_id": batch["event_id"], "key": key[0], "t": batch["t"], "allowed": [a for a, _ in answers], "retry_after": [w for _, w in answers]})
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        held = [r[0] for r in self.times.get()] if self.times.exists() else []
+        if not held or int(max(held) * 1000) + _HOUR_MS <= timerValues.getCurrentWatermarkInMs():
+            self.times.clear()
+        yield from ()
+
     def close(self) -> None:
         pass
 
 
+def late_rows(query: StreamingQuery) -> int:
+    """Rows that a query's operators with state have left out as later than their watermark, as far as its recent progress tells."""
+    return sum(o.get("numRowsDroppedByWatermark", 0) for p in query.recentProgress for o in p["stateOperators"])
+
+
 def rate_limited(events: DataFrame, key: str, event_id: str, ts: str = "ts", per_minute: int = 60, per_hour: int = 1000, late: str = "1 hour") -> DataFrame:
-    """Stream of (event_id, key, t, allowed, retry_after). Needs the RocksDB state store. Events later than `late` behind the newest are dropped."""
+    """Stream of (event_id, key, t, allowed, retry_after). Needs the RocksDB state store.
+
+    Events later than `late` behind the newest are left out (`late_rows` counts them). A key keeps no state once the watermark is an hour past its last
+    accepted event.
+    """
     us = F.col(ts).cast("timestamp")
     rows = events.select(F.col(event_id).cast("long").alias("event_id"), F.col(key).cast("long").alias("key"), us.alias("ts"), (F.unix_micros(us) / 1e6).alias("t")).withWatermark("ts", late)
     schema = "event_id long, key long, t double, allowed boolean, retry_after int"
-    return rows.groupBy("key").transformWithStateInPandas(statefulProcessor=_RateLimiter(per_minute, per_hour), outputStructType=schema, outputMode="Append", timeMode="None")
+    return rows.groupBy("key").transformWithStateInPandas(statefulProcessor=_RateLimiter(per_minute, per_hour), outputStructType=schema, outputMode="Append", timeMode="EventTime")
 
 
 class _History(StatefulProcessor):
