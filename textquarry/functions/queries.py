@@ -94,6 +94,28 @@ def fallback(fallbacks: Column, failed: Column) -> Column:
     return F.get(F.filter(fallbacks, lambda m: m != failed), F.lit(0))
 
 
+def cost_by_words(query: Column, price_per_1k: Column, answer_tokens: int = 400) -> Column:
+    """The other estimate of a query's cost: a token for each word and `answer_tokens` for the answer."""
+    words = F.size(F.filter(F.split(query, r"\s+"), lambda w: w != ""))
+    return (words + answer_tokens) / 1000 * price_per_1k
+
+
+def degraded(failures: DataFrame, ladders: DataFrame, models: DataFrame, model: str = "model", reason: str = "reason") -> DataFrame:
+    """Adds degraded, the model that takes over, and timeout_s, how long it may take: twice its latency, 30 seconds without a known one.
+
+    `ladders` (reason, ladder ARRAY<STRING>) lists what is tried for each reason, with a row for the null reason that stands for those not
+    listed; `models` (model, latency_ms, available) says what there is. The first available model of the ladder other than the one that failed takes over; none does
+    for a model that isn't known. Both tables are small, one row for each reason and model, and are broadcast.
+    """
+    there = models.agg(F.collect_list(F.when(F.col("available"), F.col("model"))).alias("_there"), F.collect_list("model").alias("_known"), F.map_from_entries(F.collect_list(F.struct("model", "latency_ms"))).alias("_latency"))
+    named = ladders.where(F.col("reason").isNotNull()).select(F.col("reason").alias("_reason"), F.col("ladder").alias("_ladder"))
+    rest = ladders.where(F.col("reason").isNull()).agg(F.first("ladder").alias("_rest"))
+    rows = failures.join(F.broadcast(named), F.col(reason) == F.col("_reason"), "left").join(F.broadcast(rest)).join(F.broadcast(there))
+    able = F.filter(F.coalesce("_ladder", "_rest"), lambda m: F.array_contains("_there", m) & (m != F.col(model)))
+    rows = rows.withColumn("degraded", F.when(F.array_contains("_known", F.col(model)), F.get(able, F.lit(0))))
+    return rows.withColumn("timeout_s", F.coalesce(F.try_element_at("_latency", F.col("degraded")) * 2 / 1000, F.lit(30.0))).drop("_reason", "_ladder", "_rest", "_there", "_known", "_latency")
+
+
 def feasibility(answer: Column) -> Column:
     """First `NN/100` or `NN%` in the text as a share, at most 1; null without one."""
     n = F.regexp_extract(answer, r"(\d{1,9})\s*(?:/\s*100|%)", 1)

@@ -160,6 +160,23 @@ def routed_queries(t):
     return rows.select("conv_id", "turn", F.col("primary").alias("model"), asked.fallback(F.col("fallbacks"), F.col("primary")).alias("fallback"), "latency_ms", F.round("estimated_cost", 9).alias("estimated_cost"))
 
 
+@query(
+    f"""WITH {_CLASSIFIED}, {_DIMENSIONS},
+fails AS (SELECT conv_id, turn, primary_model AS model, turn % 4 AS r, price, text FROM classified JOIN rules USING (complexity) JOIN models ON model = primary_model),
+taken AS (SELECT *, CASE r WHEN 0 THEN CASE WHEN model = 'small' THEN 'large' ELSE 'small' END WHEN 1 THEN CASE WHEN model <> 'small' THEN 'small' END
+  ELSE CASE WHEN model = 'large' THEN 'small' ELSE 'large' END END AS degraded FROM fails)
+SELECT conv_id, turn, model, degraded, CASE degraded WHEN 'small' THEN 1.6 WHEN 'large' THEN 4.0 ELSE 30.0 END::DOUBLE AS timeout_s,
+       round((len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) + 400) / 1000 * price, 9)::DOUBLE AS cost_by_words FROM taken"""
+)
+def degraded_queries(t):
+    """Which model takes over from each message's own, for four kinds of failure of which one is not listed; `open` is not available."""
+    rules, models = _dimensions(t)
+    rows = asked.routed(asked.with_complexity(_questions(t)), rules, models).withColumn("reason", F.get(F.array(*map(F.lit, ("timeout", "rate_limit", "error", "unheard of"))), (F.col("turn") % 4).cast("int")))
+    ladders = models.sparkSession.createDataFrame([("timeout", ["small", "large"]), ("rate_limit", ["small"]), ("error", ["open", "large", "small"]), (None, ["large", "small"])], "reason string, ladder array<string>")
+    found = asked.degraded(rows, ladders, models.withColumn("available", F.col("model") != "open"), model="primary")
+    return found.select("conv_id", "turn", F.col("primary").alias("model"), "degraded", "timeout_s", F.round(asked.cost_by_words(F.col("query"), F.col("price_per_1k")), 9).alias("cost_by_words"))
+
+
 @query(
     f"""WITH {_CLASSIFIED}, {_DIMENSIONS},
 log AS (SELECT complexity, primary_model AS model, length(text) // 4 AS tokens, turn > 4 AS fallback, price FROM classified JOIN rules USING (complexity) JOIN models ON model = primary_model),
