@@ -204,20 +204,6 @@ def test_rate_limits_equal_a_loop(spark, sf):
     assert got == want and not all(want.values())
 
 
-def test_greedy_batches(spark):
-    rng = random.Random(2)
-    rows = [("p" if i % 3 else "q", f"f{i:04}", rng.randint(1, 40)) for i in range(300)]
-    got = {(r[0], r[1]): r[2] for r in reports.greedy_batches(spark.createDataFrame(rows, "project string, path string, size int"), budget=100, cap=30).collect()}
-    used, batch, want = {}, {}, {}
-    for g, k, s in sorted(rows):
-        s = min(s, 30)
-        if used.get(g, 0) and used[g] + s > 100:
-            batch[g], used[g] = batch.get(g, 0) + 1, 0
-        used[g] = used.get(g, 0) + s
-        want[g, k] = batch.get(g, 0)
-    assert got == want
-
-
 def test_tolerant_json(spark):
     raw = ['[{"line": 1}]', 'see ```json\n[{"line": 2}]\n``` ok', 'so [{"line": 3}] is', "[{'line': 4, 'value': None}]", "broken [", None, ""]
     rows = reports.findings(spark.createDataFrame([(str(i), r) for i, r in enumerate(raw)], "path string, raw string")).collect()
@@ -225,10 +211,7 @@ def test_tolerant_json(spark):
     assert {r["path"] for r in rows if r["category"] == "parse_failure"} == {"4", "5", "6"}
 
 
-def test_latent_vectors(spark, sf):
-    docs = spark.read.parquet(f"{sf}/documents.parquet").where("doc_id < 40").coalesce(1)
-    v = vectors.latent_vectors(vectors.tf_idf(docs, features=60).coalesce(1), 5)
-    assert v.count() == 40
+def test_vector_dimensions(spark, sf):
     e = spark.read.parquet(f"{sf}/embeddings.parquet")
     asked = e.where("vec_id % 25 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
     assert vectors.wrong_dimension(e, 64).count() == 0 and vectors.wrong_dimension(e, 63).count() == e.count()

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
@@ -104,27 +101,6 @@ def window_batches(files: DataFrame, by: str = "project", key: str = "path", siz
     return sized.select(by, key, F.floor(F.col("before") / budget).cast("int").alias("batch"))
 
 
-def greedy_batches(files: DataFrame, by: str = "project", key: str = "path", size: str = "size", budget: int = 300_000, cap: int = 20_000) -> DataFrame:
-    """(by, key, batch): a new batch begins where the next file (at most `cap`) would exceed the budget. Only keys and sizes stream through, in order."""
-    rows = files.select(by, key, F.least(F.col(size), F.lit(cap)).cast("long").alias("s"))
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-
-    def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, used, n = object(), 0, 0
-        for batch in batches:
-            out = []
-            for g, s in zip(batch[by], batch["s"], strict=True):
-                if g != current:
-                    current, used, n = g, 0, 0
-                if used and used + s > budget:
-                    used, n = 0, n + 1
-                used += s
-                out.append(n)
-            yield pd.DataFrame({by: batch[by], key: batch[key], "batch": out})
-
-    return rows.repartition(by).sortWithinPartitions(by, key).mapInPandas(part, f"{by} {kinds[by]}, {key} {kinds[key]}, batch int")
-
-
 def keyword_hits(artifacts: DataFrame, queries: DataFrame, threshold: float = 0.80, keep: int = 5, block: int = 1000) -> DataFrame:
     """(query_id, artifact_type, artifact_id, relevance, rank): artifacts whose name, description or evidence holds the whole lower-cased query.
 

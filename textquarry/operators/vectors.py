@@ -1,4 +1,4 @@
-"""Vector tables: cosine ranking, merges, TF-IDF, latent semantic vectors, approximate search."""
+"""Vector tables: cosine ranking, merges, TF-IDF, cached embeddings."""
 
 from __future__ import annotations
 
@@ -83,27 +83,6 @@ def tf_idf(texts: DataFrame, key: str = "doc_id", text: str = "text", features:
     return raw.join(lengths, key).select(key, "term", (F.col("raw") / F.col("length")).alias("weight"))
 
 
-def latent_vectors(weights: DataFrame, dimensions: int = 256, key: str = "doc_id") -> DataFrame:
-    """(key, embedding): rows of the sparse (key, term, weight) table projected on its first right singular vectors, at unit length.
-
-    The singular vectors come from a distributed decomposition whose driver side is terms x dimensions, bounded by the vocabulary; signs are
-    arbitrary, so compare cosines.
-    """
-    from pyspark.mllib.linalg import Vectors
-    from pyspark.mllib.linalg.distributed import IndexedRow, IndexedRowMatrix
-
-    vocabulary = weights.select("term").distinct().orderBy("term")
-    number = {r[0]: i for i, r in enumerate(vocabulary.collect())}
-    shared = weights.sparkSession.sparkContext.broadcast(number)
-    grouped = weights.groupBy(key).agg(F.collect_list(F.struct("term", "weight")).alias("f"))
-    n = len(number)
-    rows = grouped.rdd.map(lambda r: IndexedRow(r[0], Vectors.sparse(n, {shared.value[x["term"]]: x["weight"] for x in r["f"]})))
-    found = IndexedRowMatrix(rows).computeSVD(min(dimensions, max(n - 1, 1)), computeU=True)
-    scale = [float(x) for x in found.s.toArray()]
-    projected = found.U.rows.map(lambda r: (int(r.index), [float(u) * s for u, s in zip(r.vector.toArray(), scale, strict=False)]))
-    return weights.sparkSession.createDataFrame(projected, f"{key} long, embedding array<double>").withColumn("embedding", unit(F.col("embedding")))
-
-
 def embedded_once(texts: DataFrame, cache: DataFrame, embed: Callable[[DataFrame], DataFrame], text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(texts with their embedding, the new cache): each distinct text that the cache (h, embedding) lacks is embedded once.
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from textquarry.operators import reports
+from textquarry.operators import batches, reports
 from textquarry.plans.catalog import query
 from textquarry.sources import corpus
 
@@ -110,10 +110,16 @@ def window_batches(t):
     return reports.window_batches(t("documents"), "source", "doc_id", "n_chars")
 
 
-@query()
+@query(
+    """WITH RECURSIVE f AS (SELECT source, doc_id, least(n_chars, 20000) AS s, row_number() OVER w AS k, sum(least(n_chars, 20000)) OVER w AS upto FROM documents WINDOW w AS (PARTITION BY source ORDER BY doc_id)),
+b AS (
+  SELECT source, 0 AS batch, 1::BIGINT AS k, 0::HUGEINT AS at FROM f WHERE k = 1 UNION ALL
+  SELECT f.source, b.batch + 1, min(f.k), min(f.upto - f.s) FROM b JOIN f ON f.source = b.source AND f.upto > b.at + 300000 GROUP BY f.source, b.batch)
+SELECT f.source, f.doc_id, max(b.batch)::INTEGER AS batch FROM f JOIN b ON b.source = f.source AND b.k <= f.k GROUP BY ALL"""
+)
 def greedy_batches(t):
-    """The same, packed greedily; tests hold it against a plain loop."""
-    return reports.greedy_batches(t("documents"), "source", "doc_id", "n_chars")
+    """The same, packed greedily."""
+    return batches.greedy_batches(t("documents"), "source", "doc_id", "n_chars")
 
 
 @query()

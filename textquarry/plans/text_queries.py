@@ -7,7 +7,7 @@ from pyspark.sql.window import Window
 
 from textquarry.functions.queries import with_intent
 from textquarry.functions.texts import keywords, token_estimate, tokens
-from textquarry.operators import block_max, cells, reports, retrieval, vectors
+from textquarry.operators import block_max, cells, latent, reports, retrieval, vectors
 from textquarry.plans.catalog import query
 from textquarry.sources.shared import new_path
 
@@ -190,6 +190,12 @@ def tf_idf_top_terms(t):
     return w.withColumn("rank", F.row_number().over(order)).where("rank <= 5").withColumn("weight", F.round("weight", 6))
 
 
+@query()
+def latent_vectors(t):
+    """Documents in 64 latent dimensions of their TF-IDF terms; tests hold cosines against a dense decomposition."""
+    return latent.latent_vectors(vectors.tf_idf(t("documents"), features=5000), 64)
+
+
 @query(
     """SELECT sha256(text) AS h, count(*) AS n FROM documents
 WHERE sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE lang = 'en') GROUP BY ALL"""
