@@ -1,4 +1,4 @@
-"""Latent semantic vectors: subspace iteration on a sparse table of term weights, with block products summed by partition."""
+"""Latent semantic vectors: filtered subspace iteration on a sparse table of term weights, with block products summed by partition."""
 
 from __future__ import annotations
 
@@ -21,15 +21,17 @@ def _lists(column: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
     return column.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]].astype(kind, copy=False), offsets - offsets[0]
 
 
-def _slices(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(terms, weights, first entry of each document) of runs of whole documents; every document has an entry."""
+def _slices(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(terms met, documents x terms met) of runs of whole documents; repeated terms of a document add up."""
     ids, offsets = _lists(batch.column("ids"), np.int64)
     weights, _ = _lists(batch.column("weights"), np.float64)
     low = 0
     while low < len(offsets) - 1:
         high = max(low + 1, int(np.searchsorted(offsets, offsets[low] + _ENTRIES, "right")) - 1)
         a, b = offsets[low], offsets[high]
-        yield ids[a:b], weights[a:b], offsets[low:high] - a
+        met, at = np.unique(ids[a:b], return_inverse=True)
+        row = np.repeat(np.arange(high - low), np.diff(offsets[low : high + 1]))
+        yield met, np.bincount(row * len(met) + at, weights[a:b], (high - low) * len(met)).reshape(high - low, len(met))
         low = high
 
 
@@ -44,13 +46,9 @@ def _parts(basis: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
         q = basis.value
         total, seen = np.zeros_like(q), np.zeros(len(q), bool)
         for batch in batches:
-            for ids, weights, first in _slices(batch):
-                y = np.add.reduceat(q[ids] * weights[:, None], first)
-                back = np.repeat(y, np.diff(first, append=len(ids)), axis=0) * weights[:, None]
-                order = np.argsort(ids, kind="stable")
-                at = np.flatnonzero(np.diff(ids[order], prepend=-1))
-                total[ids[order][at]] += np.add.reduceat(back[order], at)
-                seen[ids] = True
+            for met, block in _slices(batch):
+                total[met] += block.T @ (block @ q[met])
+                seen[met] = True
         terms = np.flatnonzero(seen)
         for i in range(0, len(terms), _SENT):
             some = terms[i : i + _SENT]
@@ -87,25 +85,36 @@ def _product(rows: DataFrame, q: np.ndarray) -> np.ndarray:
     return out
 
 
-def right_vectors(rows: DataFrame, terms: int, dimensions: int, extra: int = 32, tolerance: float = 1e-5, most_rounds: int = 40, seed: int = 7) -> np.ndarray:
+def right_vectors(rows: DataFrame, terms: int, dimensions: int, extra: int = 32, tolerance: float = 1e-4, most_products: int = 60, seed: int = 7) -> np.ndarray:
     """The first right singular vectors of `rows` (ids, weights) as columns; each one's largest entry is positive.
 
-    A Gaussian start of `extra` more columns is multiplied by A'A and made orthonormal until the subspace turns by less than `tolerance` (as a sine)
-    or after `most_rounds`. Each round reads the rows once. Vectors whose squared singular value is below 1e-12 of the first are left out.
+    A Gaussian start of `extra` more columns is improved by Chebyshev polynomials of A'A that grow above the block's smallest Ritz value, until the
+    subspace turns by less than `tolerance` (as a sine) or after `most_products` products. Each product reads the rows once. A polynomial's degree is
+    held to a growth of 1e8, beyond which the last vectors would drown in the first one's rounding. Vectors whose squared singular value is below
+    1e-12 of the first are left out.
     """
     width = min(dimensions + extra, terms)
     q = np.linalg.qr(np.random.default_rng(seed).standard_normal((terms, width)))[0]
-    v = np.zeros((terms, 0))
-    for _ in range(most_rounds):
-        z = _product(rows, q)
-        g = q.T @ z
-        values, turned = np.linalg.eigh((g + g.T) / 2)
-        best = np.argsort(-values)[: min(dimensions, terms)]
-        best = best[values[best] > 1e-12 * max(values.max(), 1e-300)]
-        before, v = v, q @ turned[:, best]
+    v, products = np.zeros((terms, 0)), 0
+    while products < most_products:
+        z, products = _product(rows, q), products + 1
+        values, turned = np.linalg.eigh((q.T @ z + z.T @ q) / 2)
+        values, turned = values[::-1], turned[:, ::-1]
+        q, z = q @ turned, z @ turned
+        keep = min(dimensions, int((values > 1e-12 * max(values[0], 1e-300)).sum()))
+        before, v = v, q[:, :keep]
         if before.shape == v.shape and (not v.size or np.linalg.norm(v - before @ (before.T @ v), 2) < tolerance):
             break
-        q = np.linalg.qr(z)[0]
+        end = values[-1]
+        if end <= 1e-10 * values[0]:
+            q = np.linalg.qr(z)[0]
+            continue
+        degree = int(np.clip(np.arccosh(1e8) / np.arccosh(max(2 * values[0] / end - 1, 1 + 1e-9)), 1, 8))
+        last, now = q, 2 / end * z - q
+        for _ in range(min(degree, most_products - products) - 1):
+            last, now = now, 2 * (2 / end * _product(rows, now) - now) - last
+            products += 1
+        q = np.linalg.qr(now)[0]
     return v * np.sign(v[np.argmax(np.abs(v), axis=0), np.arange(v.shape[1])]) if v.size else v
 
 
@@ -130,7 +139,7 @@ def latent_vectors(weights: DataFrame, dimensions: int = 256, key: str = "doc_id
         for batch in batches:
             if not batch.num_rows:
                 continue
-            y = np.concatenate([np.add.reduceat(basis[ids] * w[:, None], first) for ids, w, first in _slices(batch)])
+            y = np.concatenate([block @ basis[met] for met, block in _slices(batch)])
             y /= np.linalg.norm(y, axis=1, keepdims=True) + 1e-10
             yield pa.RecordBatch.from_arrays([batch.column("key"), _rows(y)], ["key", "embedding"])
 
