@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from textquarry.functions import paths, queries, texts
-from textquarry.operators import changes, facts, graph, logs, policy, reports, retrieval, rules, sampling, vectors
+from textquarry.operators import changes, code_scan, facts, graph, logs, policy, reports, retrieval, rules, sampling, vectors
 from textquarry.operators.pattern_rules import CATEGORIES, PATH_RULES, RULES
 from textquarry.sources import corpus
 
@@ -138,11 +138,11 @@ def test_code_facts(code):
     rows = {(r["kind"], r["name"]) for r in f.where("path = 'src/factory_a.py'").collect()}
     assert {("import", "os"), ("import", "typing"), ("import", "a.b"), ("class", "PluginFactory"), ("inherits", "PluginFactory"), ("main", "__main__"), ("issue", "Foo"), ("issue", "Bar"), ("symbol", "create_thing")} <= rows
     assert f.where("path = 'src/bad.py'").first()["kind"] == "error"
-    assert {tuple(r) for r in facts.imports(code).where("path not like '%.py'").collect()} == {("web/index.js", "lib/core"), ("web/index.js", "fs"), ("A.java", "java.util.List"), ("m.cpp", "vector"), ("m.cpp", "m.h"), ("i.html", "a.js"), ("i.html", "b.css")}
-    d = {tuple(r) for r in facts.definitions(code).collect()}
+    assert {tuple(r) for r in code_scan.imports(code_scan.scan(code)).where("path not like '%.py'").collect()} == {("web/index.js", "lib/core"), ("web/index.js", "fs"), ("A.java", "java.util.List"), ("m.cpp", "vector"), ("m.cpp", "m.h"), ("i.html", "a.js"), ("i.html", "b.css")}
+    d = {tuple(r) for r in code_scan.definitions(code_scan.scan(code)).collect()}
     assert {("web/index.js", "component", "Go"), ("web/index.js", "function", "f"), ("web/index.js", "class", "W"), ("A.java", "class", "A"), ("A.java", "function", "main"), ("m.cpp", "class", "K"), ("m.cpp", "function", "main"), ("t.sql", "table", "users"), ("src/factory_a.py", "class", "Base")} <= d
-    assert {tuple(r) for r in facts.inheritance(code).collect()} == {("src/factory_a.py", "PluginFactory", "Base"), ("A.java", "A", "B")}
-    assert {r["name"]: r["n_files"] for r in facts.import_frequency(facts.imports(code)).collect()}["lib"] == 1
+    assert {tuple(r) for r in code_scan.inheritance(code_scan.scan(code)).collect()} == {("src/factory_a.py", "PluginFactory", "Base"), ("A.java", "A", "B")}
+    assert {r["name"]: r["n_files"] for r in facts.import_frequency(code_scan.imports(code_scan.scan(code))).collect()}["lib"] == 1
     assert facts.completeness(f).where("path = 'src/factory_a.py'").first()["has_entry"]
     s = facts.script_symbols(texts.lines(code).where("path = 'web/index.js'"))
     assert {(r["name"], r["type"]) for r in s.collect()} == {("f", "function"), ("Go", "function"), ("W", "class")}

@@ -1,7 +1,6 @@
-"""Code facts of a packed corpus: imports, definitions, inheritance, symbols, issues.
+"""Facts of Python files by parsing, one parse to a file, in Arrow batches; symbols of scripts, import counts, completeness, change impact.
 
-Python files are parsed, one parse to a file, in Arrow batches; the other languages are read with regular expressions in the JVM. Every fact is
-a row of the long table (path, kind, name, parent, line_start, line_end, detail); a file that can't be parsed gives an error row.
+Every fact is a row of the long table (path, kind, name, parent, line_start, line_end, detail); a file that can't be parsed gives an error row.
 """
 
 from __future__ import annotations
@@ -28,7 +27,7 @@ def _annotation_names(node: ast.AST) -> Iterator[tuple[str, bool]]:
             yield n.id, id(n) in generic
 
 
-def _python_rows(path: str, content: str) -> Iterator[tuple]:
+def python_rows(path: str, content: str) -> Iterator[tuple]:
     try:
         tree = ast.parse(content)
     except (SyntaxError, ValueError, RecursionError, MemoryError) as e:
@@ -78,90 +77,20 @@ def python_facts(corpus: DataFrame) -> DataFrame:
 
     def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [r for p, c in zip(batch["path"], batch["content"], strict=True) for r in _python_rows(p, c or "")]
+            rows = [r for p, c in zip(batch["path"], batch["content"], strict=True) for r in python_rows(p, c or "")]
             out = pd.DataFrame(rows, columns=_COLUMNS)
             yield out.astype({"line_start": "Int32", "line_end": "Int32"})
 
     return corpus.where(F.lower("path").endswith(".py")).select("path", "content").mapInPandas(part, FACTS)
 
 
-# What counts as an import, class or function in each language read by regular expressions.
-_IMPORTS = {
-    "java": r"(?m)^\s*import\s+(?:static\s+)?([\w.]+(?:\.\*)?)\s*;",
+# What counts as an import in each language read by regular expressions.
+IMPORTS = {
+    "java": r"(?m)^[^\S\n]*import\s+(?:static\s+)?([\w.]+(?:\.\*)?)\s*;",
     "js": r"""(?:import\s+(?:[^'";]*?\s+from\s+)?|require\s*\(\s*|import\s*\(\s*)['"]([^'"]+)['"]""",
-    "cpp": r"""(?m)^\s*#\s*include\s*[<"]([^>"]+)[>"]""",
+    "cpp": r"""(?m)^[^\S\n]*#[^\S\n]*include[^\S\n]*[<"]([^>"]+)[>"]""",
     "html": r"""(?i)<(?:script[^>]*\bsrc|link[^>]*\bhref)\s*=\s*["']([^"']+)["']""",
-}
-_KINDS = {"java": ("java",), "js": ("js", "jsx", "ts", "tsx"), "cpp": ("c", "cc", "cpp", "h", "hpp"), "html": ("html", "htm"), "sql": ("sql",)}
-_CLASSES = {
-    "java": r"\b(?:class|interface|enum)\s+(\w+)",
-    "js": r"\bclass\s+(\w+)",
-    "cpp": r"\b(?:class|struct)\s+(\w+)\s*[:{]",
-    "sql": r"(?i)\bcreate\s+(?:or\s+replace\s+)?(?:table|view)\s+(?:if\s+not\s+exists\s+)?([\w.\"`]+)",
-    "html": r"(?i)<([a-z][a-z0-9-]*)\b",
 }
-_FUNCTIONS = {
-    "java": r"(?m)^\s*(?:public|private|protected)\s+(?:static\s+)?[\w<>\[\]]+\s+(\w+)\s*\(",
-    "js": r"(?:\bfunction\s+(\w+)\s*\()|(?:\b(?:const|let|var)\s+(\w+)\s*=\s*(?:async\s*)?\([^)]*\)\s*=>)",
-    "cpp": r"(?m)^[\w:*&<>\s]+?\b(\w+)\s*\([^;{}]*\)\s*(?:const\s*)?\{",
-}
-_NOT_FUNCTIONS = ("if", "for", "while", "switch", "return", "catch", "else")
-
-
-def extract_distinct(text: Column, regex: str, group: int = 1) -> Column:
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(regex), F.lit(group)))
-
-
-def _kind(language: str) -> Column:
-    ext = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
-    return ext.isin(*_KINDS[language])
-
-
-def imports(corpus: DataFrame, patterns: dict[str, str] | None = None) -> DataFrame:
-    """(path, module) distinct in each file: Python by parsing, others by the language's pattern (which `patterns` may replace)."""
-    found = {**_IMPORTS, **(patterns or {})}
-    one = F.array().cast("array<string>")
-    for language, regex in found.items():
-        one = F.when(_kind(language), extract_distinct(F.col("content"), regex)).otherwise(one)
-    others = corpus.where(~F.lower("path").endswith(".py")).select("path", F.explode(one).alias("module"))
-    return python_facts(corpus).where("kind = 'import'").select("path", F.col("name").alias("module")).unionByName(others)
-
-
-def _named(names: Column, kind: Column) -> Column:
-    return F.transform(names, lambda n: F.struct(kind.alias("kind"), n.alias("name")))
-
-
-def definitions(corpus: DataFrame, most_cpp: int = 20) -> DataFrame:
-    """(path, kind, name): classes (tables and views in SQL, tags in HTML, components in scripts) and functions, distinct in each file."""
-    c = F.col("content")
-    one = F.array().cast("array<struct<kind:string,name:string>>")
-    for language in _KINDS:
-        kind = {"sql": "table", "html": "tag"}.get(language, "class")
-        names = _named(extract_distinct(c, _CLASSES[language]), F.lit(kind))
-        if language in _FUNCTIONS:
-            calls = extract_distinct(c, _FUNCTIONS[language])
-            if language == "js":
-                calls = F.array_distinct(F.filter(F.concat(calls, F.regexp_extract_all(c, F.lit(_FUNCTIONS["js"]), F.lit(2))), lambda n: n != ""))
-            calls = F.filter(calls, lambda n: ~n.isin(*_NOT_FUNCTIONS))
-            if language == "cpp":
-                calls = F.slice(calls, 1, most_cpp)
-            if language == "js":
-                upper, lower = F.filter(calls, lambda n: n.rlike("^[A-Z]")), F.filter(calls, lambda n: ~n.rlike("^[A-Z]"))
-                names = F.concat(names, _named(upper, F.lit("component")), _named(lower, F.lit("function")))
-            else:
-                names = F.concat(names, _named(calls, F.lit("function")))
-        one = F.when(_kind(language), names).otherwise(one)
-    others = corpus.where(~F.lower("path").endswith(".py")).select("path", F.explode(one).alias("d")).select("path", "d.kind", "d.name")
-    return python_facts(corpus).where("kind in ('class', 'function')").select("path", "kind", "name").distinct().unionByName(others)
-
-
-def inheritance(corpus: DataFrame) -> DataFrame:
-    """(path, class, parent) of Python and Java classes."""
-    regex = r"\bclass\s+(\w+)(?:<[^>]*>)?\s+extends\s+([\w.]+)"
-    pairs = F.arrays_zip(F.regexp_extract_all("content", F.lit(regex), F.lit(1)).alias("class"), F.regexp_extract_all("content", F.lit(regex), F.lit(2)).alias("parent"))
-    java = corpus.where(_kind("java")).select("path", F.explode(pairs).alias("p")).select("path", F.col("p.class").alias("class"), F.col("p.parent").alias("parent"))
-    return python_facts(corpus).where("kind = 'inherits'").select("path", F.col("name").alias("class"), "parent").unionByName(java)
-
 
 def script_symbols(lines: DataFrame) -> DataFrame:
     """(path, name, type, line, signature): the first of four kinds that a line of a script declares."""
@@ -184,7 +113,7 @@ def lint_imports(corpus: DataFrame) -> DataFrame:
     """(path, imports): names after `from` or `import` at line starts and quoted modules of scripts, distinct."""
     python = F.regexp_extract_all("content", F.lit(r"(?m)^\s*(?:from\s+([\w.]+)\s+import|import\s+([\w.]+))"), F.lit(1))
     plain = F.regexp_extract_all("content", F.lit(r"(?m)^\s*(?:from\s+([\w.]+)\s+import|import\s+([\w.]+))"), F.lit(2))
-    scripts = F.regexp_extract_all("content", F.lit(_IMPORTS["js"]), F.lit(1))
+    scripts = F.regexp_extract_all("content", F.lit(IMPORTS["js"]), F.lit(1))
     return corpus.select("path", F.array_distinct(F.filter(F.concat(python, plain, scripts), lambda m: m != "")).alias("imports"))
 
 

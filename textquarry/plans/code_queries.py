@@ -1,11 +1,11 @@
-"""Queries of the code-fact operators over a packed corpus: a small source file for each event, in one of four languages."""
+"""Queries of the code-fact operators over packed corpora: source files for the events, in one to six languages."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from textquarry.functions import paths
-from textquarry.operators import facts, rules
+from textquarry.operators import code_scan, facts, rules
 from textquarry.operators.pattern_rules import RULES
 from textquarry.plans.catalog import query
 
@@ -35,13 +35,13 @@ _MODULE = "CASE k WHEN 0 THEN 'mod_' || m WHEN 1 THEN 'java.m' || m || '.X' WHEN
 @query(f"WITH {_FILES} SELECT path, {_MODULE} AS module FROM f")
 def code_imports(t):
     """What each file imports, by its language's rules."""
-    return facts.imports(_corpus(t))
+    return code_scan.imports(code_scan.scan(_corpus(t)))
 
 
 @query(f"WITH {_FILES} SELECT CASE k WHEN 0 THEN 'mod_' || m WHEN 1 THEN 'java' WHEN 2 THEN 'lib' || m ELSE 'h' || m || '.h' END AS name, count(DISTINCT path) AS n_files FROM f GROUP BY ALL")
 def import_frequency(t):
     """How many files import each top-level module."""
-    return facts.import_frequency(facts.imports(_corpus(t)))
+    return facts.import_frequency(code_scan.imports(code_scan.scan(_corpus(t))))
 
 
 @query(
@@ -50,13 +50,13 @@ SELECT path, 'class' AS kind, 'C' || i AS name FROM f WHERE k < 3 UNION ALL SELE
 )
 def code_definitions(t):
     """Classes and functions of each file."""
-    return facts.definitions(_corpus(t))
+    return code_scan.definitions(code_scan.scan(_corpus(t)))
 
 
 @query(f"WITH {_FILES} SELECT path, 'C' || i AS class, 'Base' || b AS parent FROM f WHERE k < 2")
 def code_inheritance(t):
     """Classes and what they extend."""
-    return facts.inheritance(_corpus(t))
+    return code_scan.inheritance(code_scan.scan(_corpus(t)))
 
 
 @query(f"WITH {_FILES} SELECT path, CASE WHEN k = 3 THEN 0 ELSE 1 END::INTEGER AS n_imports FROM f")
@@ -124,3 +124,72 @@ def _catalogue_files(t):
 def catalogue_evidence(t):
     """What the whole catalogue of pattern rules finds in source files of twelve lines, one for each event."""
     return rules.line_evidence(_catalogue_files(t), RULES, key="event_id").select("event_id", "pattern", "rule_id", "start_line")
+
+
+# Pieces of source files by language, each with the facts that are in it as (kind, name, line in the piece); many only look as if they had one.
+_PIECES = {
+    "py": (
+        ("import os", (("import", "os", None),)), ("from pkg.core import a, b", (("import", "pkg.core", None),)), ("# import never", ()), ("text = 'import nothing'", ()),
+        ('"""class Quoted:\nimport quoted\n"""', ()), ("class Outer(Base):\n    class Inner:\n        pass", (("class", "Outer", 0), ("class", "Inner", 1), ("inherits", "Outer", 0))),
+        ("async def go():\n    import late", (("function", "go", 0), ("import", "late", None))), ("def plain():\n    return 'def no(): pass'", (("function", "plain", 0),)), ("# class Gone:", ()),
+    ),
+    "java": (
+        ("import java.util.List;", (("import", "java.util.List", 0),)), ("// import not.me;", ()), ("/* import not.this;\n import not.that;\n*/", ()), ('String s = "class Fake extends No {";', ()),
+        ("public class Shop extends Base {}", (("class", "Shop", 0), ("inherits", "Shop", 0))), ("import static org.x.Y.*;", (("import", "org.x.Y.*", 0),)),
+        ("  private static int count(int a) { return a; }", (("function", "count", 0),)), ("interface Seen {}", (("class", "Seen", 0),)), ("char c = '\"'; // class Late", ()),
+    ),
+    "js": (
+        ("import x from 'lib/core';", (("import", "lib/core", 0),)), ("// import y from 'no';", ()), ("const t = `import z from 'no'`;", ()), ("const Card = (p) => p;", (("component", "Card", 0),)),
+        ("/* require('no')\n*/ const fs = require('fs');", (("import", "fs", 1),)), ("function run(a) {}", (("function", "run", 0),)), ('log("function no() {} class No");', ()), ("class Panel {}", (("class", "Panel", 0),)), ("let s = 'it\\'s // no';", ()),
+    ),
+    "cpp": (
+        ("#include <vector>", (("import", "vector", 0),)), ("// #include <never>", ()), ('  #include "own.h"', (("import", "own.h", 0),)), ("/*\n#include <never>\nint never() {\n*/", ()),
+        ("int area(int w) { return w; }", (("function", "area", 0),)), ("struct Box {};", (("class", "Box", 0),)), ('const char* p = "int no() {";', ()), ("void stop() { while (x) { } }", (("function", "stop", 0),)), ("int declared(int a);", ()),
+    ),
+    "html": (
+        ("<script src='a.js'></script>", (("import", "a.js", 0), ("tag", "script", 0))), ("<!-- <link href='no.css'>\n<nav> -->", ()), ('<link rel="x" href="b.css">', (("import", "b.css", 0), ("tag", "link", 0))),
+        ("<div>\n<p>text</p></div>", (("tag", "div", 0), ("tag", "p", 1))), ("a < b", ()),
+    ),
+    "sql": (
+        ("CREATE TABLE IF NOT EXISTS shop.items (id INT);", (("table", "shop.items", 0),)), ("-- create table no (id int);", ()), ("SELECT 'create view no as';", ()), ("create or replace view seen AS SELECT 1;", (("table", "seen", 0),)), ("/* create table\nno */", ()),
+    ),
+}
+_TAKEN, _BROKEN = 7, "def broken(:"
+
+
+def _sql_pieces() -> str:
+    rows = [(k, e, i, piece.count("\n") + 1, facts_) for k, (e, pieces) in enumerate(_PIECES.items()) for i, (piece, facts_) in enumerate(pieces)]
+    facts_sql = lambda found: "[" + ", ".join(f"{{'kind': {_quoted(a)}, 'name': {_quoted(b)}, 'line': {'NULL' if c is None else c}::INTEGER}}" for a, b, c in found) + "]"
+    return ", ".join(f"({k}, {_quoted(e)}, {i}, {n}, {len(_PIECES[e])}, {facts_sql(f)}::STRUCT(kind VARCHAR, name VARCHAR, line INTEGER)[])" for k, e, i, n, f in rows)
+
+
+_SCANNED = f"""WITH pieces(k, ending, i, n_lines, of, found) AS (VALUES {_sql_pieces()}),
+placed AS (
+  SELECT event_id, event_id % {len(_PIECES)} = 0 AND event_id % 7 = 0 AS broken, 'src/' || event_type || '/g' || event_id || '.' || ending AS path, ending, found,
+    coalesce(sum(n_lines) OVER (PARTITION BY event_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(n_lines) OVER (PARTITION BY event_id) AS whole
+  FROM events JOIN pieces ON k = event_id % {len(_PIECES)}, range({_TAKEN}) r(n) WHERE i = (event_id // 6 + n * (1 + event_id % 4)) % of),
+facts AS (SELECT path, ending, unnest(found, recursive := true), before FROM placed WHERE NOT broken)
+SELECT path, ending, kind, name, min(before + line + 1)::INTEGER AS line_start FROM facts GROUP BY ALL
+UNION ALL SELECT path, ending, 'error', 'SyntaxError', max(whole + 1)::INTEGER FROM placed WHERE broken GROUP BY ALL"""
+
+
+def _pieced(t):
+    """(path, content): seven pieces of one language for each event; every seventh Python file does not parse."""
+    i = F.col("event_id")
+    k = (i % len(_PIECES)).cast("int")
+    chosen = F.lit(None)
+    for at, pieces in enumerate(_PIECES.values()):
+        pool = F.array(*[F.lit(piece) for piece, _ in pieces])
+        picked = F.array(*[F.get(pool, ((F.floor(i / 6) + n * (1 + i % 4)) % len(pieces)).cast("int")) for n in range(_TAKEN)])
+        chosen = F.when(k == at, picked).otherwise(chosen)
+    broken = F.when((k == 0) & (i % 7 == 0), F.lit(_BROKEN + "\n")).otherwise("")
+    path = F.concat(F.lit("src/"), "event_type", F.lit("/g"), i.cast("string"), F.lit("."), F.get(F.array(*map(F.lit, _PIECES)), k))
+    return t("events").select(path.alias("path"), F.concat(F.array_join(chosen, "\n"), F.lit("\n"), broken).alias("content"))
+
+
+@query(_SCANNED)
+def code_scan_facts(t):
+    """Imports, classes, functions, tables, tags and errors that one scan finds in files of six languages with look-alikes in comments and strings."""
+    found = code_scan.scan(_pieced(t)).where("kind not in ('symbol', 'issue', 'main')")
+    ending = F.regexp_extract("path", r"\.(\w+)$", 1).alias("ending")
+    return found.groupBy("path", ending, "kind", "name").agg(F.min("line_start").alias("line_start"))
