@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from textquarry.functions.paths import project_id
 from textquarry.operators import changes, sampling
 from textquarry.plans.catalog import query
-from textquarry.sources import corpus
+from textquarry.sources import corpus, versions
+from textquarry.sources.shared import new_path
 
 _SNAPSHOTS = """files AS (SELECT source AS project, 'docs/' || lang || '/' || doc_id || '.md' AS path, text, n_chars, lang FROM documents),
 old AS (SELECT project, path, n_chars AS size, n_chars * 2.0 AS mtime, sha256(text) AS checksum FROM files WHERE lang <> 'es'),
@@ -115,6 +116,24 @@ def project_catalogue(t):
     return corpus.catalogue(projects, _modules(t))
 
 
+@query(
+    """WITH v AS (SELECT 1 AS version, source, doc_id, n_chars FROM documents WHERE lang <> 'de'
+UNION ALL SELECT 2, source, doc_id, n_chars FROM documents WHERE lang <> 'de' AND (source NOT IN ('src0', 'src3') OR n_chars > 200)
+UNION ALL SELECT 3, source, doc_id, n_chars FROM documents WHERE lang <> 'de' AND (source NOT IN ('src0', 'src3') OR n_chars > 200) AND source <> 'src5')
+SELECT version, source, count(*) AS n_documents, sum(n_chars)::BIGINT AS n_chars FROM v GROUP BY ALL"""
+)
+def project_versions(t):
+    """Three versions of a stored table of documents: two sources written anew in the second, one removed in the third, all of them still readable."""
+    docs = t("documents").where("lang <> 'de'").select("source", "doc_id", "n_chars")
+    spark, folder = docs.sparkSession, new_path(docs.sparkSession, "projects")
+    versions.save(docs, folder, "source")
+    versions.save(docs.where("source in ('src0', 'src3') and n_chars > 200"), folder, "source")
+    versions.remove(spark.createDataFrame([("src5",)], "source string"), folder, "source")
+    rows = [versions.load(spark, folder, docs.schema, "source", v).withColumn("version", F.lit(v)) for v in (1, 2, 3)]
+    every = rows[0].unionByName(rows[1]).unionByName(rows[2])
+    return every.groupBy("version", "source").agg(F.count("*").alias("n_documents"), F.sum("n_chars").alias("n_chars"))
+
+
 @query("SELECT DISTINCT source, split_part(source || '/' || lang, '/', -1) || '-' || substr(sha1(source || '/' || lang), 1, 12) AS project_id FROM documents")
 def project_ids(t):
     return t("documents").select("source", project_id(F.concat_ws("/", "source", "lang")).alias("project_id")).distinct()

@@ -6,6 +6,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from textquarry.functions.paths import LANGUAGES, base_name, extension, matches_glob
+from textquarry.sources import versions
 
 # Folders and files that a scan leaves out.
 SKIP_FOLDERS = (
@@ -72,9 +73,13 @@ def read_snapshot(spark: SparkSession, folder: str, snapshot_id: str) -> DataFra
     return found.where(F.col("snapshot_id").cast("string") == snapshot_id).select(*[F.col(f.name).cast(f.dataType) for f in SNAPSHOT])
 
 
-def write_modules(modules: DataFrame, folder: str) -> None:
-    """Replaces the given projects' rows of the module table and leaves other projects alone."""
-    modules.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("project").parquet(folder)
+def write_modules(modules: DataFrame, folder: str) -> int:
+    """Replaces the given projects' rows of the module table and leaves other projects alone; gives the new version's number."""
+    return versions.save(modules.select(*[F.col(f.name).cast(f.dataType) for f in MODULES]), folder)
+
+
+def read_modules(spark: SparkSession, folder: str, version: int | None = None) -> DataFrame:
+    return versions.load(spark, folder, MODULES, version=version)
 
 
 def without_project(table: DataFrame, project: str) -> DataFrame:
@@ -96,10 +101,26 @@ def imported_artifacts(texts: DataFrame) -> DataFrame:
     return rows.select(*plain, F.coalesce(F.col("block.evidence"), F.array().cast("array<string>")).alias("evidence"), F.coalesce(F.col("block.source_file"), F.col("path")).alias("source_file"))
 
 
+def _canonical(columns: list[str]) -> Column:
+    fields = sorted(c for c in columns if c not in ("artifact_type", "artifact_id"))
+    return F.sha2(F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).cast("binary"), 256)
+
+
 def artifact_checksums(artifacts: DataFrame) -> DataFrame:
     """(artifact_type, artifact_id, checksum) of each artifact's canonical JSON."""
-    fields = sorted(c for c in artifacts.columns if c not in ("artifact_type", "artifact_id"))
-    return artifacts.select("artifact_type", "artifact_id", F.sha2(F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).cast("binary"), 256).alias("checksum"))
+    return artifacts.select("artifact_type", "artifact_id", _canonical(artifacts.columns).alias("checksum"))
+
+
+def write_artifacts(artifacts: DataFrame, folder: str) -> int:
+    """Stores the artifacts of the given types, each with its checksum, as the table's next version."""
+    rows = artifacts.select(*[F.col(f.name).cast(f.dataType) for f in ARTIFACTS])
+    return versions.save(rows.withColumn("checksum", _canonical(rows.columns)), folder, "artifact_type")
+
+
+def read_artifacts(spark: SparkSession, folder: str, version: int | None = None) -> DataFrame:
+    """Stored artifacts with `intact`: whether a row still has the checksum that it was stored with."""
+    rows = versions.load(spark, folder, T.StructType([*ARTIFACTS, T.StructField("checksum", T.StringType())]), "artifact_type", version)
+    return rows.withColumn("intact", _canonical([f.name for f in ARTIFACTS]) == F.col("checksum"))
 
 
 def overall_checksum(checksums: DataFrame) -> DataFrame:
