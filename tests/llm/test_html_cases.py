@@ -83,3 +83,25 @@ def _up(page, node):
         out.add(node)
         node = page.parent[node]
     return out
+
+
+def test_text_in_several_containers_is_kept():
+    one, two = "One text, of some length. " * 6, "Two text, of some length. " * 6
+    both = f"{one.strip()}\n{two.strip()}"
+    assert html_text.main_text(f"<div><div><p>{one}</p></div></div><div><div><p>{two}</p></div></div>") == both
+    assert html_text.main_text(f"<div><article><p>{one}</p></article></div><div><article><p>{two}</p></article></div>") == both
+    assert html_text.main_text(f"<div><article><p>{one}</p></article></div><div><div><p>aside, small</p></div></div><div><div><a href=x>{two}</a></div></div>") == one.strip()
+
+
+def test_hidden_and_names_are_read_from_their_own_attributes():
+    text = "One text, of some length. " * 6
+    kept = "<div title='is hidden here'><p>a</p></div><div data-class=\"ad\" data-style='display:none'><p>b</p></div>"
+    cut = "<div hidden><p>c</p></div><div STYLE='color:red; display : none'><p>d</p></div><p aria-hidden=true>e</p><div hidden='hidden'>f</div>"
+    assert html_text.main_text(f"<article>{kept}{cut}<p>{text}</p></article>") == f"a\nb\n{text.strip()}"
+
+
+def test_furniture_outside_of_articles_by_any_word_of_its_name():
+    text = "One text, of some length. " * 6
+    names = ("responses", "discussion-area", "feedback", "ad-slot", "OUTBRAIN", "breadcrumb-trail", "related-posts", "popular-posts", "recommended-reading", "sitemap", "trending")
+    around = "".join(f"<div class='{n}'><p>furniture, {n}</p></div>" for n in names)
+    assert html_text.main_text(f"<body>{around}<article><p>{text}</p><section class='discussion'><p>Its matter</p></section></article>{around}</body>") == f"{text.strip()}\nIts matter"

@@ -3,7 +3,8 @@
 Paragraphs give points for length and commas to their ancestors, halved at each level up; a container's points are discounted by the share of
 its text that is links. The best container, or the article around it, and its siblings of less than a quarter links hold the main text. What is
 page furniture by its element, or hidden, or reader comments by its name, never counts; what is only named like furniture counts where it
-holds most of the points of its article or page. All passes are linear in the page.
+holds most of the points of its article or page. Other articles, or on a page without one other containers, with at least a fifth of the best one's
+discounted points are main text too, wherever they stand. All passes are linear in the page.
 """
 
 from __future__ import annotations
@@ -33,40 +34,48 @@ AVOIDED = COMMENTS | frozenset(
     "breadcrumbs header masthead footer sidebar aside complementary contentinfo share sharing social related recommended widget toolbar pagination pager login signup form search copyright".split()
 )
 #: Words that say nothing of a block's matter: before them the first word of a name counts, as in comment-list.
-GENERIC = frozenset("list box bar wrap wrapper container inner outer area section block link links item items panel button buttons icon icons group row column col top bottom left right content body text thread".split())
+GENERIC = frozenset("list box bar wrap wrapper container inner outer area section block link links item items panel button buttons icon icons group row column col top bottom left right content body text thread slot unit".split())
+#: Words that say so anywhere in a name, outside of articles only: inside of one they may be its matter.
+OUTSIDE = frozenset("responses discussion feedback outbrain taboola breadcrumb sitemap related popular recommended trending".split())
 NEVER_NAMED = frozenset("article main body html p h1 h2 h3 h4 h5 h6 pre b i em strong a".split())
 
 _TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*>|[^>]*(?:>|\Z))|[!?/][^>]*(?:>|\Z))", re.S)
-_NAME = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|>|$)|display\s*:\s*none|visibility\s*:\s*hidden|aria-hidden\s*=\s*[\"']?true", re.I)
+_ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?")
+_UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _RAW_END = {name: re.compile(rf"</{name}\b[^>]*(?:>|\Z)", re.I) for name in RAW}
 KEPT, NAMED, CUT = 0, 1, 2
 
 
-def _named(attributes: str) -> frozenset[str]:
-    """Words of AVOIDED that a class, id or role says the block is: its last word, or the first before a generic last one."""
-    found = set()
-    for a, b, c in _NAME.findall(attributes):
-        for name in (a or b or c).split():
-            words = [w.lower() for w in _WORD.findall(name)]
-            if words:
-                found.add(words[0] if words[-1] in GENERIC else words[-1])
-    return frozenset(found & AVOIDED)
+def _named(names: str, inside: bool) -> frozenset[str]:
+    """Words of AVOIDED that a class, id or role says the block is: its last word, or the first before a generic last one; outside of articles also
+    any of OUTSIDE."""
+    found, outside = set(), set()
+    for name in names.split():
+        words = [w.lower() for w in _WORD.findall(name)]
+        if words:
+            found.add(words[0] if words[-1] in GENERIC else words[-1])
+            outside.update(words)
+    return frozenset(found & AVOIDED | (frozenset() if inside else outside & OUTSIDE))
 
 
-def _state(tag: str, attributes: str) -> int:
+def _state(tag: str, attributes: str, inside: bool) -> int:
     """CUT: never part of the text. NAMED: furniture by its name, unless it holds most of its article or page."""
     if tag in FURNITURE:
         return CUT
     if not attributes.strip(" >/"):
         return KEPT
-    if _HIDDEN.search(attributes):
-        return CUT
+    names = []
+    for name, a, b, c in _ATTRIBUTE.findall(attributes):
+        name, value = name.lower(), a or b or c
+        if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and _UNSEEN.search(value):
+            return CUT
+        if name in ("class", "id", "role"):
+            names.append(value)
     if tag in NEVER_NAMED:
         return KEPT
-    names = _named(attributes)
-    return CUT if names & COMMENTS else NAMED if names else KEPT
+    found = _named(" ".join(names), inside)
+    return CUT if found & COMMENTS else NAMED if found else KEPT
 
 
 class _Page:
@@ -126,7 +135,7 @@ class _Page:
                     self._close(same, frozenset(("ul", "ol", "dl", "table")) if name != "tr" else frozenset(("table",)))
         if name in VOID or attributes.endswith("/>") and name not in BLOCKS:
             return
-        state = _state(name, attributes)
+        state = _state(name, attributes, self._article > 0)
         if name == "header" and state == KEPT and not self._article and self.tag[self._open[-1]] in ("body", "html", "#page"):
             state = NAMED
         self.tag.append(name)
@@ -216,9 +225,17 @@ class _Page:
         chosen = {best}
         if best:
             chosen.update(i for i in range(n) if self.parent[i] == self.parent[best] and size[i] and not gone[i] and linked[i] < 0.25 * size[i])
+        above, level = {0}, best
+        while level > 0:
+            level = self.parent[level]
+            above.add(level)
+        plain = [p * (1 - k / s) if s else 0.0 for p, s, k in zip(points, size, linked, strict=True)]
+        wanted = ("article", "main") if any(t in ("article", "main") and s for t, s in zip(self.tag, size, strict=True)) else SCORED
         inside = [False] * n
         for i in range(n):
-            inside[i] = i in chosen or (self.parent[i] >= 0 and inside[self.parent[i]])
+            up = self.parent[i] >= 0 and inside[self.parent[i]]
+            more = best and self.tag[i] in wanted and i not in above and not gone[i] and linked[i] < 0.25 * size[i] and plain[i] >= 0.2 * plain[best]
+            inside[i] = up or i in chosen or bool(more)
         return [text for node, text, _ in blocks if inside[node]]
 
 
