@@ -84,6 +84,11 @@ def python_facts(corpus: DataFrame) -> DataFrame:
     return corpus.where(F.lower("path").endswith(".py")).select("path", "content").mapInPandas(part, FACTS)
 
 
+def extract_distinct(text: Column, regex: str, group: int = 1) -> Column:
+    """What a group of the expression holds in each of its matches, each text once, in order of first appearance."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(regex), F.lit(group)))
+
+
 # What counts as an import in each language read by regular expressions.
 IMPORTS = {
     "java": r"(?m)^[^\S\n]*import\s+(?:static\s+)?([\w.]+(?:\.\*)?)\s*;",

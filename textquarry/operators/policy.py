@@ -39,7 +39,7 @@ def required_imports(files: DataFrame, policies: list[Policy]) -> DataFrame:
     for p in policies:
         for token in p.required:
             absent = ~F.contains(F.array_join("imports", "\n"), F.lit(token)) & ~F.contains(F.col("content"), F.lit(token))
-            misses.append(F.when(matches_glob(F.col("path"), p.match_files) & absent, F.struct(F.lit(p.rule_id).alias("rule_id"), F.lit(token).alias("detail"))))
+            misses.append(F.when(matches_glob(F.coalesce("path", F.lit("")), p.match_files) & absent, F.struct(F.lit(p.rule_id).alias("rule_id"), F.lit(token).alias("detail"))))
     if not misses:
         return files.limit(0).select("path", F.lit("").alias("rule_id"), F.lit("").alias("kind"), F.lit("").alias("detail"))
     rows = files.select("path", F.explode(F.filter(F.array(*misses), lambda h: h.isNotNull())).alias("h"))
