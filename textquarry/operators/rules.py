@@ -156,11 +156,11 @@ class PathRule:
     languages: tuple[str, ...] = ()
 
 
-def path_evidence(files: DataFrame, rules: list[PathRule], key: str = "path", language: str | None = "language") -> DataFrame:
-    """Evidence rows, one for each file and path rule that holds."""
+def path_evidence(files: DataFrame, rules: list[PathRule], key: str = "path", language: str | None = "language", carried: tuple[str, ...] = ()) -> DataFrame:
+    """Evidence rows, one for each row of `files` and path rule that holds, with the `carried` columns. Paths need not be unique."""
     path = F.lower(F.col(key))
     name = F.element_at(F.split(path, "/"), -1)
-    kinds = [language] if language else []
+    kinds = [*([language] if language else []), *carried]
 
     def hit(r: PathRule) -> Column:
         found = F.lit(False)
