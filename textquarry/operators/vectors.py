@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from textquarry.operators.vector_blocks import cosine_scores
+from textquarry.sources.shared import stored
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -63,24 +64,36 @@ def wrong_dimension(vectors: DataFrame, dimension: int, vector: str = "embedding
 
 
 def terms(texts: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, term, tf): lower-cased words and pairs of neighbouring words."""
-    words = texts.select(key, F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0)).alias("w"))
+    """(key, term, tf): lower-cased words and pairs of neighbouring words of each row, counted inside it: no shuffle."""
+    # exploding arrays of one item keeps the optimizer from copying what is below into each use of it
+    words = texts.select(key, F.explode(F.array(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0)))).alias("w"))
     pairs = F.expr("transform(slice(w, 1, greatest(size(w) - 1, 0)), (x, i) -> concat(x, ' ', w[i + 1]))")
-    return words.select(key, F.explode(F.concat("w", pairs)).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+    runs = F.expr("filter(sequence(1, size(s)), i -> i = 1 or s[i - 1] <> s[i - 2])")
+    rows = words.where(F.size("w") > 0).select(key, F.explode(F.array(F.sort_array(F.concat("w", pairs)))).alias("s")).withColumn("heads", F.explode(F.array(runs)))
+    counted = F.expr("transform(heads, (h, i) -> struct(s[h - 1] as term, cast(coalesce(get(heads, i + 1), size(s) + 1) - h as long) as tf))")
+    return rows.select(key, F.explode(counted).alias("x")).select(key, "x.term", "x.tf")
 
 
 def tf_idf(texts: DataFrame, key: str = "doc_id", text: str = "text", features: int = 20_000) -> DataFrame:
     """(key, term, weight): (1 + ln tf) * (ln((1 + n) / (1 + df)) + 1) at unit length, over the `features` most frequent terms.
 
-    The vocabulary, of at most `features` terms, is broadcast, so the counts are weighed where they are.
+    The vocabulary, of at most `features` terms, is broadcast to the counts; only what is in it is shuffled, once and as numbers, by key. The result
+    stays dealt by key.
     """
     counts = terms(texts, key, text)
-    vocabulary = counts.groupBy("term").agg(F.sum("tf").alias("total"), F.count("*").alias("df")).orderBy(F.desc("total"), "term").limit(features)
+    once = texts.groupBy(key).agg(F.count("*").alias("m")).where("m > 1").select(key)
+    if once.isEmpty():
+        found = counts.groupBy("term").agg(F.sum("tf").alias("total"), F.count("*").alias("df"))
+    else:  # rows of one key are one text
+        found = counts.groupBy(key, "term").agg(F.sum("tf").alias("tf")).groupBy("term").agg(F.sum("tf").alias("total"), F.count("*").alias("df"))
     n = texts.agg(F.count("*").alias("n"))
-    idf = vocabulary.join(n).select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
-    raw = counts.join(F.broadcast(idf), "term").select(key, "term", ((1 + F.log("tf")) * F.col("idf")).alias("raw"))
-    lengths = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("length"))
-    return raw.join(lengths, key).select(key, "term", (F.col("raw") / F.col("length")).alias("weight"))
+    numbered = found.orderBy(F.desc("total"), "term").limit(features).join(n).select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
+    numbered = stored(numbered.select("term", "idf", F.row_number().over(Window.orderBy("term")).alias("id")))
+    dealt = counts.join(F.broadcast(numbered.select("term", "id")), "term").select(key, "id", F.col("tf").cast("int").alias("tf")).repartition(key)
+    merged_tf = dealt.groupBy(key, "id").agg(F.sum("tf").alias("tf"))
+    raw = merged_tf.join(F.broadcast(numbered), "id").select(key, "term", ((1 + F.log("tf")) * F.col("idf")).alias("raw"))
+    length = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(key)))
+    return raw.select(key, "term", (F.col("raw") / length).alias("weight"))
 
 
 def embedded_once(texts: DataFrame, cache: DataFrame, embed: Callable[[DataFrame], DataFrame], text: str = "text") -> tuple[DataFrame, DataFrame]:
