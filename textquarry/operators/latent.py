@@ -6,10 +6,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame, functions as F
 
-from textquarry.operators.ordered import running
 from textquarry.sources.shared import stored
 
 _ENTRIES = 16_384  # sparse entries that are multiplied at a time
@@ -75,8 +75,10 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _product(rows: DataFrame, q: np.ndarray) -> np.ndarray:
     """A'A Q of all documents; terms x columns come to the driver, a size that the vocabulary bounds."""
-    basis = rows.sparkSession.sparkContext.broadcast(q)
-    made = rows.mapInArrow(_parts(basis), "term long, part array<double>").repartition("term").mapInArrow(_summed, "term long, part array<double>")
+    context = rows.sparkSession.sparkContext
+    basis = context.broadcast(q)
+    # a partial product has the basis' size: one for each core, however many rows there are
+    made = rows.coalesce(context.defaultParallelism).mapInArrow(_parts(basis), "term long, part array<double>").repartition("term").mapInArrow(_summed, "term long, part array<double>")
     found, out = made.toArrow(), np.zeros_like(q)
     for batch in found.to_batches():
         values, _ = _lists(batch.column("part"), np.float64)
@@ -121,16 +123,27 @@ def right_vectors(rows: DataFrame, terms: int, dimensions: int, extra: int = 32,
 def latent_vectors(weights: DataFrame, dimensions: int = 256, key: str = "doc_id", most_terms: int = 50_000, **options: float) -> DataFrame:
     """(key, embedding): documents of the sparse (key, term, weight) table projected on its first right singular vectors, at unit length.
 
-    The vocabulary may have at most `most_terms` terms: matrices of terms x (dimensions + extra) are broadcast and made orthonormal on the driver.
+    The weights are grouped and stored once, with terms as numbers. The vocabulary may have at most `most_terms` terms: matrices of terms x (dimensions + extra) are broadcast and made orthonormal on the driver.
     Null terms and weights are left out, repeated ones add up; a document without a weight has no row, one whose projection is zero gets zeros.
     """
     clean = weights.select(F.col(key).alias("key"), "term", F.col("weight").cast("double").alias("weight")).where("term is not null and weight is not null")
-    numbered = stored(running(clean.select("term").distinct(), [F.col("term")], F.lit(1), "id"))
-    terms = numbered.count()
+    grouped = stored(clean.groupBy("key").agg(F.collect_list(F.struct("term", "weight")).alias("f")))
+    some = grouped.select(F.explode("f.term").alias("term")).distinct().limit(most_terms + 1).toArrow().column("term")
+    terms = len(some)
     if terms > most_terms:
         raise ValueError(f"more than {most_terms} terms")
-    entries = clean.join(F.broadcast(numbered), "term").groupBy("key").agg(F.collect_list(F.struct("id", "weight")).alias("f"))
-    rows = stored(entries.select("key", F.col("f.id").alias("ids"), F.col("f.weight").alias("weights")))
+    known = weights.sparkSession.sparkContext.broadcast(sorted(some.to_pylist()))
+
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = pa.array(known.value)
+        for batch in batches:
+            found = batch.column("f")
+            own = found.flatten()
+            lists = [pa.ListArray.from_arrays(pa.compute.subtract(found.offsets, found.offsets[0]), x) for x in (pa.compute.index_in(own.field("term"), value_set=names), own.field("weight"))]
+            yield pa.RecordBatch.from_arrays([batch.column("key"), *lists], ["key", "ids", "weights"])
+
+    kind = clean.select("key").schema[0].dataType.simpleString()
+    rows = stored(grouped.mapInArrow(numbered, f"key {kind}, ids array<int>, weights array<double>"))
     v = right_vectors(rows.select("ids", "weights"), terms, dimensions, **options) if terms else np.zeros((0, 0))
     shared = weights.sparkSession.sparkContext.broadcast(v)
 
@@ -143,5 +156,4 @@ def latent_vectors(weights: DataFrame, dimensions: int = 256, key: str = "doc_id
             y /= np.linalg.norm(y, axis=1, keepdims=True) + 1e-10
             yield pa.RecordBatch.from_arrays([batch.column("key"), _rows(y)], ["key", "embedding"])
 
-    kind = clean.select("key").schema[0].dataType.simpleString()
     return rows.mapInArrow(project, f"key {kind}, embedding array<double>").withColumnRenamed("key", key)
