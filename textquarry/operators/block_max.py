@@ -46,7 +46,9 @@ class PassageIndex:
 def counted(passages: DataFrame, key: str, text: str) -> DataFrame:
     """(key, len, terms: (term, tf) of each passage), counted inside the row."""
     runs = F.expr("filter(sequence(1, greatest(size(s), 1)), i -> i = 1 or s[i - 1] <> s[i - 2])")
-    rows = passages.select(F.col(key), tokens(F.col(text)).alias("t")).select(key, F.size("t").alias("len"), F.array_sort("t").alias("s")).withColumn("heads", runs)
+    # exploding arrays of one item keeps the optimizer from copying what is below into each use of it
+    rows = passages.select(F.col(key), F.explode(F.array(tokens(F.col(text)))).alias("t"))
+    rows = rows.select(key, F.size("t").alias("len"), F.explode(F.array(F.sort_array("t"))).alias("s")).withColumn("heads", F.explode(F.array(runs)))
     return rows.select(key, "len", F.when(F.col("len") > 0, F.expr("transform(heads, (h, i) -> struct(s[h - 1] as term, coalesce(get(heads, i + 1), size(s) + 1) - h as tf))")).alias("terms"))
 
 
