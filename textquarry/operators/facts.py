@@ -27,17 +27,38 @@ def _annotation_names(node: ast.AST) -> Iterator[tuple[str, bool]]:
             yield n.id, id(n) in generic
 
 
-def python_rows(path: str, content: str) -> Iterator[tuple]:
+def _statements(tree: ast.Module) -> list[ast.AST]:
+    """All statements, with the handlers and cases that hold some, level by level; expressions hold none and are not visited."""
+    found: list[ast.AST] = [tree]
+    for n in found:
+        for field in ("body", "handlers", "orelse", "finalbody", "cases"):
+            found += getattr(n, field, ())
+    return found[1:]
+
+
+def _is_main(test: ast.expr) -> bool:
+    return isinstance(test, ast.Compare) and ast.unparse(test) in ("__name__ == '__main__'", "'__main__' == __name__")
+
+
+def python_rows(path: str, content: str, kinds: frozenset[str] | None = None) -> Iterator[tuple]:
+    """Facts of one file; of some `kinds` alone, if given."""
+    if kinds is not None:
+        if kinds.isdisjoint(_OTHER_KINDS):
+            yield from _python_rows_of(path, content, kinds)
+        else:
+            yield from (row for row in python_rows(path, content) if row[1] in kinds)
+        return
     try:
         tree = ast.parse(content)
     except (SyntaxError, ValueError, RecursionError, MemoryError) as e:
         yield path, "error", type(e).__name__, None, getattr(e, "lineno", None) or 1, None, f"E001 column {getattr(e, 'offset', None) or 0}"
         return
-    methods = {id(f) for c in ast.walk(tree) if isinstance(c, ast.ClassDef) for f in c.body if isinstance(f, ast.FunctionDef | ast.AsyncFunctionDef)}
+    statements = _statements(tree)
+    methods = {id(f) for c in statements if isinstance(c, ast.ClassDef) for f in c.body if isinstance(f, ast.FunctionDef | ast.AsyncFunctionDef)}
     top = {id(n) for n in tree.body}
-    known = KNOWN_TYPES | GENERICS | {n.name for n in ast.walk(tree) if isinstance(n, ast.ClassDef)}
+    known = KNOWN_TYPES | GENERICS | {n.name for n in statements if isinstance(n, ast.ClassDef)}
     imports, unknown = set(), set()
-    for n in ast.walk(tree):
+    for n in statements:
         if isinstance(n, ast.Import):
             imports |= {a.name for a in n.names}
             known |= {(a.asname or a.name).split(".")[0] for a in n.names}
@@ -50,7 +71,7 @@ def python_rows(path: str, content: str) -> Iterator[tuple]:
                 yield path, "inherits", n.name, ast.unparse(b), n.lineno, None, None
         elif isinstance(n, ast.FunctionDef | ast.AsyncFunctionDef):
             yield path, "function", n.name, None, n.lineno, n.end_lineno, None
-        if isinstance(n, ast.If) and isinstance(n.test, ast.Compare) and ast.unparse(n.test) in ("__name__ == '__main__'", "'__main__' == __name__"):
+        if isinstance(n, ast.If) and _is_main(n.test):
             yield path, "main", "__main__", None, n.lineno, None, None
         if isinstance(n, ast.ClassDef) and id(n) in top:
             yield path, "symbol", n.name, None, n.lineno, n.end_lineno, "class " + n.name
@@ -59,7 +80,7 @@ def python_rows(path: str, content: str) -> Iterator[tuple]:
             yield path, "symbol", n.name, None, n.lineno, n.end_lineno, ("method " if id(n) in methods else "function ") + signature
     for m in sorted(imports):
         yield path, "import", m, None, None, None, None
-    for n in ast.walk(tree):
+    for n in statements:
         found = [a.annotation for a in ast.walk(n) if isinstance(a, ast.arg) and a.annotation] + ([n.returns] if n.returns else []) if isinstance(n, ast.FunctionDef | ast.AsyncFunctionDef) else [n.annotation] if isinstance(n, ast.AnnAssign) else []
         for annotation in found:
             for name, generic in _annotation_names(annotation):
@@ -72,14 +93,50 @@ def python_rows(path: str, content: str) -> Iterator[tuple]:
                     yield path, "issue", name, None, annotation.lineno, None, "W001 unknown-name"
 
 
+# A word that a file has if it has a fact of the kind.
+_WORDS = {"import": "import", "class": "class", "inherits": "class", "function": "def"}
+_OTHER_KINDS = frozenset(("error", "main", "symbol", "issue"))
+
+
+def _python_rows_of(path: str, content: str, kinds: frozenset[str]) -> Iterator[tuple]:
+    """Facts of those `kinds` that are in _WORDS; none of a file that can't be parsed. A file without any of their words needs no parse."""
+    if not any(word in content for kind, word in _WORDS.items() if kind in kinds):
+        return
+    try:
+        statements = _statements(ast.parse(content))
+    except (SyntaxError, ValueError, RecursionError, MemoryError):
+        return
+    imports = set()
+    for n in statements:
+        if isinstance(n, ast.Import):
+            imports |= {a.name for a in n.names}
+        elif isinstance(n, ast.ImportFrom):
+            imports.add("." * n.level + (n.module or ""))
+        elif isinstance(n, ast.ClassDef):
+            if "class" in kinds:
+                yield path, "class", n.name, None, n.lineno, n.end_lineno, None
+            if "inherits" in kinds:
+                for b in n.bases:
+                    yield path, "inherits", n.name, b.id if isinstance(b, ast.Name) else ast.unparse(b), n.lineno, None, None
+        elif "function" in kinds and isinstance(n, ast.FunctionDef | ast.AsyncFunctionDef):
+            yield path, "function", n.name, None, n.lineno, n.end_lineno, None
+    if "import" in kinds:
+        for m in sorted(imports):
+            yield path, "import", m, None, None, None, None
+
+
+def frame(rows: list[tuple], columns: list[str]) -> pd.DataFrame:
+    """Rows as columns of Python's own values, which go to Arrow as they are."""
+    return pd.DataFrame({c: pd.Series(list(v), dtype=object) for c, v in zip(columns, zip(*rows), strict=True)} if rows else {c: pd.Series([], dtype=object) for c in columns})
+
+
 def python_facts(corpus: DataFrame) -> DataFrame:
     """Facts of the Python files of `corpus` (path, content)."""
 
     def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = [r for p, c in zip(batch["path"], batch["content"], strict=True) for r in python_rows(p, c or "")]
-            out = pd.DataFrame(rows, columns=_COLUMNS)
-            yield out.astype({"line_start": "Int32", "line_end": "Int32"})
+            yield frame(rows, _COLUMNS)
 
     return corpus.where(F.lower("path").endswith(".py")).select("path", "content").mapInPandas(part, FACTS)
 

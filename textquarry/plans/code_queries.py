@@ -35,13 +35,13 @@ _MODULE = "CASE k WHEN 0 THEN 'mod_' || m WHEN 1 THEN 'java.m' || m || '.X' WHEN
 @query(f"WITH {_FILES} SELECT path, {_MODULE} AS module FROM f")
 def code_imports(t):
     """What each file imports, by its language's rules."""
-    return code_scan.imports(code_scan.scan(_corpus(t)))
+    return code_scan.imports(code_scan.scan(_corpus(t), kinds=("import",)))
 
 
 @query(f"WITH {_FILES} SELECT CASE k WHEN 0 THEN 'mod_' || m WHEN 1 THEN 'java' WHEN 2 THEN 'lib' || m ELSE 'h' || m || '.h' END AS name, count(DISTINCT path) AS n_files FROM f GROUP BY ALL")
 def import_frequency(t):
     """How many files import each top-level module."""
-    return facts.import_frequency(code_scan.imports(code_scan.scan(_corpus(t))))
+    return facts.import_frequency(code_scan.imports(code_scan.scan(_corpus(t), kinds=("import",))))
 
 
 @query(
@@ -50,13 +50,13 @@ SELECT path, 'class' AS kind, 'C' || i AS name FROM f WHERE k < 3 UNION ALL SELE
 )
 def code_definitions(t):
     """Classes and functions of each file."""
-    return code_scan.definitions(code_scan.scan(_corpus(t)))
+    return code_scan.definitions(code_scan.scan(_corpus(t), kinds=code_scan.DEFINED))
 
 
 @query(f"WITH {_FILES} SELECT path, 'C' || i AS class, 'Base' || b AS parent FROM f WHERE k < 2")
 def code_inheritance(t):
     """Classes and what they extend."""
-    return code_scan.inheritance(code_scan.scan(_corpus(t)))
+    return code_scan.inheritance(code_scan.scan(_corpus(t), kinds=("inherits",)))
 
 
 @query(f"WITH {_FILES} SELECT path, CASE WHEN k = 3 THEN 0 ELSE 1 END::INTEGER AS n_imports FROM f")
