@@ -71,16 +71,6 @@ def folded(line: Column) -> Column:
     return F.lower(F.translate(line, *_ALIKE))
 
 
-def may_hit(rules: list[Rule], low: Column) -> Column | None:
-    """Whether a line, `folded`, has a string that one of the rules requires: one expression for all of them. None if a rule requires none."""
-    wanted = [required_literals(r.regex) for r in rules]
-    if not all(wanted):
-        return None
-    every = frozenset().union(*wanted)
-    shortest = sorted(w for w in every if not any(v != w and v in w for v in every))
-    return low.rlike("|".join(re.escape(w) for w in shortest))
-
-
 def _has_literal(rule: Rule, low: Column) -> Column | None:
     found = None
     for w in sorted(required_literals(rule.regex) or ()):
@@ -88,61 +78,77 @@ def _has_literal(rule: Rule, low: Column) -> Column | None:
     return found
 
 
+def _gate(rule: Rule, low: Column, language: str | None) -> Column:
+    """Whether a rule is for the language, and a `folded` text has a string that it requires."""
+    literal = _has_literal(rule, low)
+    own = F.col(language).isin(*rule.languages) if rule.languages and language else None
+    return F.lit(True) if own is None and literal is None else literal if own is None else own if literal is None else own & literal
+
+
 def regex_evaluations(texts: DataFrame, rules: list[Rule], text: str = "content", language: str | None = "language") -> DataFrame:
     """One row (gated, all): expressions evaluated on the lines of the texts with and without the literals that gate them."""
     lines = texts.select(*([language] if language else []), F.explode(F.split(F.regexp_replace(F.col(text), r"\r?\n\z", ""), r"\r?\n")).alias("line")).withColumn("low", folded(F.col("line")))
-    may, gated, every = may_hit(rules, F.col("low")), F.lit(0), F.lit(0)
+    gated, every = F.lit(0), F.lit(0)
     for r in rules:
         own = F.col(language).isin(*r.languages) if r.languages and language else F.lit(True)
-        literal = _has_literal(r, F.col("low"))
         every = every + own.cast("int")
-        gated = gated + (own & (F.lit(True) if literal is None else literal)).cast("int")
-    gated = gated if may is None else F.when(may, gated + 1).otherwise(1)
+        gated = gated + _gate(r, F.col("low"), language).cast("int")
     return lines.select(gated.alias("g"), every.alias("e")).agg(F.coalesce(F.sum("g"), F.lit(0)).alias("gated"), F.coalesce(F.sum("e"), F.lit(0)).alias("all"))
 
 
+#: Lines of a text that meet the rules together.
+BLOCK = 256
+
+
 def line_evidence(texts: DataFrame, rules: list[Rule], key: str = "path", text: str = "content", language: str | None = "language", carried: tuple[str, ...] = ()) -> DataFrame:
     """(key, pattern, rule_id, start_line, end_line, snippet, weight): one row for each line that a rule finds, with the `carried` columns.
 
-    Rules are literal columns, so each is compiled once and a text is split once, in one pass without a shuffle. A line goes on if it has one of the
-    strings that the rules require, which is one expression for all of them, and then meets only the rules whose own string it has. Snippets are
-    trimmed and cut to 250 characters (300 with following lines).
+    Rules are literal columns, so each is compiled once and a text is split once, in one pass without a shuffle. A block of lines meets only the rules
+    of its language of which it has a required string, and a rule then only the lines that have it. Snippets are trimmed and cut to 250 characters
+    (300 with following lines). Rules that count hits in a file get a pass of their own, over the texts that they can find, and a window.
     """
-    kinds = [*([language] if language else []), *carried]
-    most = max((r.after for r in rules), default=0)
-    texts = texts.select(key, *kinds, F.split(F.regexp_replace(F.col(text), r"\r?\n\z", ""), r"\r?\n").alias("all_lines"))
-    # a line takes the few that follow it along, never the whole text
-    line = lambda x, i: F.struct(i.alias("i"), x.alias("line"), *([F.slice("all_lines", i + 1, F.lit(most + 1)).alias("near")] if most else []))
-    lines = texts.select(key, *kinds, F.size("all_lines").alias("n_lines"), F.explode(F.transform("all_lines", line)).alias("x")).select(key, *kinds, "n_lines", "x.*")
-    lines = lines.withColumn("low", folded(F.col("line")))
-    may = may_hit(rules, F.col("low"))
-    lines = lines if may is None else lines.where(may)
-
-    def hit(r: Rule) -> Column:
-        literal = _has_literal(r, F.col("low"))
-        found = F.col("line").rlike(_flagged(r))
-        found = found if literal is None else literal & found
-        if r.languages and language:
-            found = F.col(language).isin(*r.languages) & found
-        snippet = F.array_join(F.slice("near", 1, r.after + 1), "\n") if r.after else F.col("line")
-        return F.when(
-            found,
-            F.struct(
-                F.lit(r.pattern).alias("pattern"), F.lit(r.rule_id).alias("rule_id"), F.least(F.col("i") + 1 + r.after, F.col("n_lines")).alias("end_line"),
-                F.substring(F.trim(snippet), 1, 300 if r.after else 250).alias("snippet"), F.lit(float(r.weight)).alias("weight"),
-            ),
-        )
-
-    found = lines.select(key, *kinds, (F.col("i") + 1).alias("start_line"), F.explode(F.filter(F.array(*[hit(r) for r in rules]), lambda h: h.isNotNull())).alias("h"))
-    rows = found.select(key, *kinds, "h.pattern", "h.rule_id", "start_line", "h.end_line", "h.snippet", "h.weight")
-    counted = {r.rule_id: r.at_least for r in rules if r.at_least > 1}
+    plain, counted = [r for r in rules if r.at_least == 1], [r for r in rules if r.at_least > 1]
     if not counted:
-        return rows
-    least = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in counted.items() for x in pair]), F.col("rule_id")), F.lit(1))
+        return _line_hits(texts, rules, key, text, language, carried)
+    any_of = F.lit(False)
+    for r in counted:
+        any_of = any_of | _gate(r, F.col("low"), language)
+    some = texts.withColumn("low", folded(F.col(text))).where(any_of).drop("low")
+    least = F.element_at(F.create_map(*[F.lit(x) for r in counted for x in (r.rule_id, r.at_least)]), F.col("rule_id"))
     w = Window.partitionBy(key, "rule_id")
-    some = rows.withColumn("least", least)
-    few = some.where("least > 1").withColumn("n", F.count("*").over(w)).withColumn("k", F.row_number().over(w.orderBy("start_line"))).where("n >= least and k <= least").drop("n", "k")
-    return some.where("least = 1").unionByName(few).drop("least")
+    rows = _line_hits(some, counted, key, text, language, carried).withColumn("n", F.count("*").over(w)).withColumn("k", F.row_number().over(w.orderBy("start_line")))
+    few = rows.where((F.col("n") >= least) & (F.col("k") <= least)).drop("n", "k")
+    return _line_hits(texts, plain, key, text, language, carried).unionByName(few) if plain else few
+
+
+def _line_hits(texts: DataFrame, rules: list[Rule], key: str, text: str, language: str | None, carried: tuple[str, ...]) -> DataFrame:
+    kinds = [*([language] if language else []), *carried]
+    most = max((r.after for r in rules), default=0)
+    texts = texts.select(key, *kinds, F.split(F.regexp_replace(F.col(text), r"\r?\n\z", ""), r"\r?\n").alias("all_lines")).where("all_lines is not null")
+    # a block takes the few lines that follow it along, never the whole text; `explode` would first filter by whether the array is empty, and so work
+    # it out twice
+    block = lambda at: F.struct(at.alias("at"), F.slice("all_lines", at + 1, F.lit(BLOCK + most)).alias("near"))
+    starts = F.sequence(F.lit(0), F.size("all_lines") - 1, F.lit(BLOCK))
+    blocks = texts.select(key, *kinds, F.size("all_lines").alias("n_lines"), F.explode_outer(F.transform(starts, block)).alias("b")).select(key, *kinds, "n_lines", "b.*")
+    numbered = F.transform(F.slice("near", 1, BLOCK), lambda x, i: F.struct(i.alias("i"), x.alias("line"), folded(x).alias("low")))
+    blocks = blocks.select(key, *kinds, "n_lines", "at", folded(F.array_join(F.slice("near", 1, BLOCK), "\n")).alias("low"), numbered.alias("lines"), *(["near"] if most else []))
+
+    def hits(k: int, r: Rule) -> Column:
+        def found(x: Column) -> Column:
+            literal, regex = _has_literal(r, x["low"]), x["line"].rlike(_flagged(r))
+            return regex if literal is None else literal & regex
+
+        def hit(x: Column) -> Column:
+            snippet = F.array_join(F.slice("near", x["i"] + 1, F.lit(r.after + 1)), "\n") if r.after else x["line"]
+            return F.struct(F.lit(k).alias("k"), x["i"].alias("i"), F.substring(F.trim(snippet), 1, 300 if r.after else 250).alias("snippet"))
+
+        return F.when(_gate(r, F.col("low"), language), F.transform(F.filter("lines", found), hit))
+
+    of_rules = F.flatten(F.filter(F.array(*[hits(k, r) for k, r in enumerate(rules)]), lambda h: h.isNotNull()))
+    rows = blocks.select(key, *kinds, "n_lines", "at", of_rules.alias("hits")).select(key, *kinds, "n_lines", "at", F.explode_outer("hits").alias("h")).where("h is not null")
+    rule = F.get(F.array(*[F.struct(F.lit(r.pattern).alias("pattern"), F.lit(r.rule_id).alias("rule_id"), F.lit(r.after).alias("after"), F.lit(float(r.weight)).alias("weight")) for r in rules]), F.col("h.k"))
+    start = F.col("at") + F.col("h.i") + 1
+    return rows.select(key, *kinds, rule["pattern"].alias("pattern"), rule["rule_id"].alias("rule_id"), start.alias("start_line"), F.least(start + rule["after"], F.col("n_lines")).alias("end_line"), "h.snippet", rule["weight"].alias("weight"))
 
 
 @dataclass(frozen=True)
