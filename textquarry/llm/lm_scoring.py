@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,6 +18,8 @@ SHARE = 2e-6
 #: Slots of each hashed context: about one for 16 training bytes, between 2^22 and 2^23 of them.
 BITS = (22, 23)
 _BLOCK = 1 << 15
+#: Tasks whose counts of one block of slots are added up in one step; of more, a square root of them at a time.
+AT_ONCE = 64
 _END_TOKEN = -1  # stands for the end in the tables of token hashes
 
 
@@ -73,8 +76,12 @@ def _packed(counts: np.ndarray) -> bytes:
 
 def _unpacked(data: bytes, kind: type) -> np.ndarray:
     width = np.dtype(kind).itemsize
-    planes = np.frombuffer(pa.decompress(data, 2 * _BLOCK * width, codec="zstd", asbytes=True), np.uint8)
-    return np.ascontiguousarray(planes.reshape(width, -1).T).view(kind).ravel()
+    planes = np.frombuffer(pa.decompress(data, 2 * _BLOCK * width, codec="zstd", asbytes=True), np.uint8).reshape(width, -1)
+    out = planes[0].astype(kind)
+    for j in range(1, width):
+        if planes[j].any():
+            out |= planes[j].astype(kind) << kind(8 * j)
+    return out
 
 
 def _model(train: DataFrame, tree, bits: int) -> tuple[list[np.ndarray], np.ndarray]:
@@ -102,7 +109,10 @@ def _model(train: DataFrame, tree, bits: int) -> tuple[list[np.ndarray], np.ndar
             if i[0].as_py() < 0:
                 total = sum(np.frombuffer(x, np.float64) for x in found).tobytes()
             else:
-                total = _packed(sum(_unpacked(x, kind).astype(np.int64) for x in found))
+                total = np.zeros(2 * _BLOCK, np.int64)
+                for x in found:
+                    total += _unpacked(x, kind)
+                total = _packed(total)
             return pa.table([i, blocks.column("at")[:1], pa.array([total], pa.binary())], names)
 
         return add
@@ -113,9 +123,13 @@ def _model(train: DataFrame, tree, bits: int) -> tuple[list[np.ndarray], np.ndar
             yield pa.RecordBatch.from_arrays([batch.column("i"), batch.column("at"), pa.array(out, pa.binary())], names)
 
     names, schema = ["i", "at", "data"], "i int, at long, data binary"
-    # a few dozen tasks' blocks at a time, then the rest
-    first = train.select("text").mapInArrow(part, schema).groupBy("i", "at", (F.xxhash64("data") % 64).alias("some")).applyInArrow(added(np.uint16), schema)
-    second = first.groupBy("i", "at").applyInArrow(added(np.int64), schema).mapInArrow(odds, schema)
+    counts, tasks = train.select("text").mapInArrow(part, schema), train.rdd.getNumPartitions()
+    if tasks <= AT_ONCE:
+        sums = counts.groupBy("i", "at").applyInArrow(added(np.uint16), schema)
+    else:  # some tasks' blocks at a time, then what they add up to
+        some = F.pmod(F.xxhash64("data"), F.lit(math.isqrt(tasks) + 1)).alias("some")
+        sums = counts.groupBy("i", "at", some).applyInArrow(added(np.uint16), schema).groupBy("i", "at").applyInArrow(added(np.int64), schema)
+    second = sums.mapInArrow(odds, schema)
     tables = [np.zeros(1 << cm.slot_bits(k, bits), np.int8) for k in cm.ORDERS]
     weights = cm.first_weights()
     for i, at, data in second.toLocalIterator():
