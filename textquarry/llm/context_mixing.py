@@ -44,7 +44,7 @@ LEARN_BYTES, SCORE_BYTES = 24 << 10, 48 << 10
 #: Bytes of texts that are refined side by side.
 TOGETHER = 768 << 10
 #: Decisions that are weighed, and texts that take their steps, at once: what they need fits a core's own cache.
-_WEIGHED, _STEPPING = 4096, 128
+_WEIGHED, _STEPPING = 4096, 256
 #: Bytes of a decision's row of inputs: log odds of each order, the constant, and the group of its gate.
 _ROW = 8
 _ONES = np.ones(_ROW, np.float32)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,7 +17,7 @@ SHARE = 2e-6
 #: Slots of each hashed context: about one for 16 training bytes, between 2^22 and 2^23 of them.
 BITS = (22, 23)
 _BLOCK = 1 << 15
-#: Tasks whose counts of one block of slots are added up in one step; of more, a square root of them at a time.
+#: Tasks whose counts of one block of slots are added up first.
 AT_ONCE = 64
 _END_TOKEN = -1  # stands for the end in the tables of token hashes
 
@@ -108,6 +107,8 @@ def _model(train: DataFrame, tree, bits: int) -> tuple[list[np.ndarray], np.ndar
             i, found = blocks.column("i")[:1], blocks.column("data").to_pylist()
             if i[0].as_py() < 0:
                 total = sum(np.frombuffer(x, np.float64) for x in found).tobytes()
+            elif len(found) == 1 and kind is np.int64:
+                total = found[0]
             else:
                 total = np.zeros(2 * _BLOCK, np.int64)
                 for x in found:
@@ -123,13 +124,10 @@ def _model(train: DataFrame, tree, bits: int) -> tuple[list[np.ndarray], np.ndar
             yield pa.RecordBatch.from_arrays([batch.column("i"), batch.column("at"), pa.array(out, pa.binary())], names)
 
     names, schema = ["i", "at", "data"], "i int, at long, data binary"
-    counts, tasks = train.select("text").mapInArrow(part, schema), train.rdd.getNumPartitions()
-    if tasks <= AT_ONCE:
-        sums = counts.groupBy("i", "at").applyInArrow(added(np.uint16), schema)
-    else:  # some tasks' blocks at a time, then what they add up to
-        some = F.pmod(F.xxhash64("data"), F.lit(math.isqrt(tasks) + 1)).alias("some")
-        sums = counts.groupBy("i", "at", some).applyInArrow(added(np.uint16), schema).groupBy("i", "at").applyInArrow(added(np.int64), schema)
-    second = sums.mapInArrow(odds, schema)
+    # some tasks' blocks at a time, then what they add up to
+    counts = train.select("text").mapInArrow(part, schema).withColumn("some", F.floor(F.spark_partition_id() / AT_ONCE))
+    first = counts.groupBy("i", "at", "some").applyInArrow(added(np.uint16), schema)
+    second = first.groupBy("i", "at").applyInArrow(added(np.int64), schema).mapInArrow(odds, schema)
     tables = [np.zeros(1 << cm.slot_bits(k, bits), np.int8) for k in cm.ORDERS]
     weights = cm.first_weights()
     for i, at, data in second.toLocalIterator():
