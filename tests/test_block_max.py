@@ -1,9 +1,11 @@
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
-from textquarry.operators import block_max, retrieval
+from textquarry.functions.texts import tokens
+from textquarry.operators import block_max, passage_scan, retrieval, vectors
 from textquarry.sources.shared import new_path
 
 
@@ -68,3 +70,41 @@ def test_empty_tables(spark):
     index = block_max.build(docs.limit(0), new_path(spark, "passages"))
     assert block_max.normed_top(index, asked, 3).count() == 0
     assert block_max.normed_top(block_max.build(docs, new_path(spark, "passages")), asked.limit(0), 3).count() == 0
+
+
+@pytest.mark.parametrize("block", [4, 128])
+def test_known_queries_are_scored_without_shuffling_postings(spark, monkeypatch, block):
+    monkeypatch.setattr(block_max, "BLOCK", block)
+    docs, asked = made(spark)
+    rng = random.Random(9)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(8)]) for i in range(0, 404, 2)] + [(405, [1.0] * 8), (1, None), (900, [2.0] * 8)]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    # queries 0 to 10 by two and 52, whose text is null, have vectors
+    docs_v, queries_v = v.join(docs.select(F.col("doc_id").alias("vec_id")), "vec_id", "left_semi"), v.where("vec_id < 12 or vec_id = 52").withColumnRenamed("vec_id", "item_id")
+    cosines = vectors.cosine_scores(docs_v, queries_v.where("embedding is not null"), query_key="item_id").withColumnRenamed("vec_id", "doc_id")
+    bm25 = retrieval.min_max(retrieval.bm25(docs, asked), docs.agg(F.count("*").alias("n")))
+    index = block_max.build(docs, new_path(spark, "passages"), asked=asked.select(F.explode(tokens(F.col("text"))).alias("term")).distinct())
+    assert not Path(index.folder.removeprefix("file://"), "blocks").exists()
+    assert ranks(block_max.normed_top(index, asked, 5), "norm") == ranks(bm25, "norm")
+    own = [df.select(F.col(c).alias(n), F.col("embedding").alias("v")) for df, c, n in ((v, "vec_id", "k"), (queries_v, "item_id", "q"))]
+    got = block_max.fused_top(index, asked, *own, 5)
+    assert ranks(got, "final") == ranks(retrieval.fused(cosines, bm25), "final")
+    assert got.count() < 16 * 10
+
+
+def test_known_terms_in_every_passage(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "all " + "x" * (i % 3 + 1) + " y" * (i % 4)) for i in range(20)], "doc_id long, text string")
+    asked = spark.createDataFrame([(1, "all y"), (2, "xx")], "item_id long, text string")
+    terms = asked.select(F.explode(tokens(F.col("text"))).alias("term")).distinct()
+    want = ranks(retrieval.min_max(retrieval.bm25(docs, asked), docs.agg(F.count("*").alias("n"))), "norm", 4)
+    assert ranks(block_max.normed_top(block_max.build(docs, new_path(spark, "passages"), asked=terms), asked, 4), "norm", 4) == want
+    monkeypatch.setattr(passage_scan, "_QUERIES", 1)
+    monkeypatch.setattr(passage_scan, "_TOKENS", 3)
+    monkeypatch.setattr(passage_scan, "_HELD", 2)
+    assert ranks(block_max.normed_top(block_max.build(docs, new_path(spark, "passages"), asked=terms), asked, 4), "norm", 4) == want
+    monkeypatch.setattr(block_max, "FEW_TERMS", 1)
+    blocks = block_max.build(docs, new_path(spark, "passages"), asked=terms)
+    assert blocks.rows is None and ranks(block_max.normed_top(blocks, asked, 4), "norm", 4) == want
+    monkeypatch.setattr(block_max, "FEW_TERMS", 9)
+    empty = block_max.build(docs.limit(0), new_path(spark, "passages"), asked=terms)
+    assert block_max.normed_top(empty, asked, 3).count() == 0

@@ -6,16 +6,20 @@ blocks and no key holds more than one. Passages of one class have impacts of one
 first scores the passages that have most of each query's rarest terms, which gives a floor. With a query's terms in order of what they can add at most, a
 block can hold a passage of the floor only if its highest impact and all later terms reach it; the others are not joined. The passages that the
 rest of the terms may lift to the floor are scored in full.
+
+An index for the terms of known queries alone has no blocks of postings: it keeps counts by passage, and `passage_scan` scores them where they lie.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
 from textquarry.functions.texts import tokens
+from textquarry.operators import passage_scan
 from textquarry.operators.retrieval import FLOOR, K1, B
 from textquarry.sources.shared import stored
 
@@ -26,7 +30,7 @@ RARE, SLACK = 4096, 1e-7
 STEPS, SHARE = 2, 1.0
 #: Passages looked at for one without any of a query's terms.
 PROBES = 64
-#: Queries' terms that are broadcast when an index is built for them alone.
+#: Queries' terms that are broadcast when an index is built for them alone; one for more of them has blocks.
 FEW_TERMS = 200_000
 
 
@@ -38,6 +42,13 @@ class PassageIndex:
     n: int
     mean_len: float
     lowest: float
+    k1: float = K1
+    b: float = B
+    rows: DataFrame | None = None
+
+    @property
+    def searched(self) -> tuple[float, float, float, int]:
+        return self.k1, self.b, self.mean_len, BLOCK
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}")
@@ -55,9 +66,14 @@ def counted(passages: DataFrame, key: str, text: str) -> DataFrame:
 def build(passages: DataFrame, folder: str, key: str = "doc_id", text: str = "text", asked: DataFrame | None = None, k1: float = K1, b: float = B, floor: float = FLOOR) -> PassageIndex:
     """Writes the index of `passages` to `folder`: Okapi BM25, negative idf replaced by `floor` times the mean idf.
 
-    With `asked`, a table of distinct terms, only their postings get blocks; statistics are those of all terms. A null text is a passage without terms.
+    With `asked`, a table of distinct terms, only they can be searched; statistics are those of all terms. Up to FEW_TERMS of them are counted by
+    passage, without blocks. A null text is a passage without terms.
     """
     spark = passages.sparkSession
+    if asked is not None:
+        asked = stored(asked)
+        if asked.count() <= FEW_TERMS:
+            return _counted_index(passages, folder, key, text, asked, k1, b, floor)
     n, mean = passages.agg(F.count("*"), F.avg(F.size(tokens(F.col(text))))).first()
     impact = f"x.tf * {k1 + 1:.17g}D / (x.tf + {k1:.17g}D * ({1 - b:.17g}D + {b:.17g}D * len / {mean or 1.0:.17g}D))"
     length = F.floor(F.log2(F.col("len") + 1) * STEPS).cast("int")
@@ -76,13 +92,26 @@ def build(passages: DataFrame, folder: str, key: str = "doc_id", text: str = "te
     level = F.when(F.col("df") > BLOCK, F.floor(F.col("impact") * LEVELS)).otherwise(0)
     blocks = every.join(known, "term").groupBy("term", "c", level.alias("level"), salt.alias("salt")).agg(F.max("impact").alias("most"), F.collect_list(F.struct(F.col(key).alias("k"), "impact")).alias("p"))
     blocks.select("term", "c", "most", "p").write.mode("overwrite").parquet(f"{folder}/blocks")
-    return PassageIndex(spark, folder, key, n, float(mean or 0.0), floor * mean_idf)
+    return PassageIndex(spark, folder, key, n, float(mean or 0.0), floor * mean_idf, k1, b)
+
+
+def _counted_index(passages: DataFrame, folder: str, key: str, text: str, asked: DataFrame, k1: float, b: float, floor: float) -> PassageIndex:
+    spark, names = passages.sparkSession, sorted(asked.where("term is not null").toArrow().column("term").to_pylist())
+    passage_scan.counts(passages, f"{folder}/counts", key, text, names)
+    rows = passage_scan.passages_in(passages, f"{folder}/counts", key)
+    n, mean = rows.agg(F.count("*"), F.avg("len")).first()
+    idf = F.log(F.lit(float(n)) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
+    mean_idf = passage_scan.terms_in(passages, f"{folder}/counts", key).agg(F.avg(idf)).first()[0] or 0.0
+    numbered = spark.createDataFrame(pa.table({"id": pa.array(range(len(names)), pa.int32()), "term": pa.array(names, pa.string())}))
+    df = rows.select(F.explode("ids").alias("id")).groupBy("id").agg(F.count("*").alias("df"))
+    df.join(F.broadcast(numbered), "id").select("term", "id", "df", F.when(idf < 0, floor * mean_idf).otherwise(idf).alias("idf")).write.mode("overwrite").parquet(f"{folder}/terms")
+    return PassageIndex(spark, folder, key, n, float(mean or 0.0), floor * mean_idf, k1, b, rows)
 
 
 def weighed(index: PassageIndex, queries: DataFrame, query_key: str = "item_id", text: str = "text") -> DataFrame:
-    """(q, term, df, w, classes) of each query's terms: the weight times how often it is asked. Stored."""
+    """(q, term, df, w, classes; id where terms are counted by passage) of each query's terms: the weight times how often it is asked. Stored."""
     asked = queries.select(F.col(query_key).alias("q"), F.explode(tokens(F.col(text))).alias("term")).groupBy("q", "term").agg(F.count("*").alias("qtf"))
-    return stored(asked.join(index.table("terms"), "term").select("q", "term", "df", (F.col("qtf") * F.col("idf")).alias("w"), "classes"))
+    return stored(asked.join(index.table("terms"), "term").select("q", "term", "df", (F.col("qtf") * F.col("idf")).alias("w"), "classes" if index.rows is None else "id"))
 
 
 def _bounds(asked: DataFrame) -> DataFrame:
@@ -148,16 +177,26 @@ def reaching(index: PassageIndex, asked: DataFrame, floor: DataFrame) -> DataFra
     return rows.where(F.col("score") >= F.coalesce("floor", F.lit(float("-inf"))) * (1 - SLACK) - SLACK).select("q", "k", "score")
 
 
+def _within(found: DataFrame, k: int) -> DataFrame:
+    """The k best of each query, and all within rounding of the k-th."""
+    floor = F.coalesce("floor", F.lit(float("-inf")))
+    return found.join(_kth(found, k), "q", "left").where(F.col("score") >= floor - SLACK * (1 + F.abs(floor))).drop("floor")
+
+
 def top(index: PassageIndex, asked: DataFrame, k: int) -> DataFrame:
     """(q, k, score): each query's k best passages, and all within rounding of the k-th."""
-    found = stored(reaching(index, asked, floors(index, asked, k)))
-    return found.join(_kth(found, k), "q", "left").where(F.col("score") >= F.coalesce("floor", F.lit(float("-inf"))) * (1 - SLACK) - SLACK).drop("floor")
+    if index.rows is None:
+        found = stored(reaching(index, asked, floors(index, asked, k)))
+    else:
+        found = stored(passage_scan.best(index.rows, asked, k, *index.searched))
+    return _within(found, k)
 
 
 def _surely_zero(index: PassageIndex, asked: DataFrame) -> DataFrame:
     """Queries (q) for which some passage has none of their terms: their terms have fewer postings than there are passages, or a probed one has none."""
-    few = asked.groupBy("q").agg(F.sum("df").alias("df"), F.collect_list("term").alias("own"))
-    probes = index.table("forward").orderBy(F.xxhash64(index.key)).limit(PROBES).agg(F.collect_list(F.coalesce(F.col("terms.term"), F.array().cast("array<string>"))).alias("probes"))
+    term, every, own = ("term", "forward", F.coalesce(F.col("terms.term"), F.array().cast("array<string>"))) if index.rows is None else ("id", None, F.col("ids"))
+    few = asked.groupBy("q").agg(F.sum("df").alias("df"), F.collect_list(term).alias("own"))
+    probes = (index.table(every).orderBy(F.xxhash64(index.key)) if every else index.rows.orderBy(F.xxhash64("k"))).limit(PROBES).agg(F.collect_list(own).alias("probes"))
     return few.join(F.broadcast(probes)).where((F.col("df") < index.n) | F.exists("probes", lambda p: ~F.arrays_overlap(p, F.col("own")))).select("q")
 
 
@@ -180,7 +219,10 @@ def lows(index: PassageIndex, asked: DataFrame) -> DataFrame:
     exact = sure.select("q", F.lit(0.0).alias("low"))
     if rest.isEmpty():
         return exact
-    full = reaching(index, rest, rest.select("q", F.lit(0.0).alias("floor")).limit(0)).groupBy("q").agg(F.min("score").alias("low"), F.count("*").alias("m"))
+    if index.rows is None:
+        full = reaching(index, rest, rest.select("q", F.lit(0.0).alias("floor")).limit(0)).groupBy("q").agg(F.min("score").alias("low"), F.count("*").alias("m"))
+    else:
+        full = passage_scan.lowest(index.rows, rest, *index.searched)
     return exact.union(full.select("q", F.when(F.col("m") < index.n, F.least(F.lit(0.0), "low")).otherwise(F.col("low")).alias("low")))
 
 
@@ -192,6 +234,19 @@ def scaled(scores: DataFrame, best: DataFrame, low: DataFrame) -> DataFrame:
     return rows.withColumn("norm", F.when(width < 1e-9, F.lit(0.0)).otherwise((F.col("score") - F.col("low")) / width)).drop("high", "low")
 
 
+def fused_top(index: PassageIndex, queries: DataFrame, vectors: DataFrame, query_vectors: DataFrame, k: int, alpha: float = 0.4, query_key: str = "item_id", text: str = "text") -> DataFrame:
+    """The same rows as `hybrid_top`, of an index whose terms are counted by passage: cosines and scores of a block of passages are made together.
+
+    `vectors` (k, v) has passages' vectors, `query_vectors` (q, v) those of queries; either may lack some. Every passage beside every query is looked at
+    where it lies, and only what can be among the k best leaves its task.
+    """
+    asked = weighed(index, queries, query_key, text)
+    low, best = stored(lows(index, asked)), stored(top(index, asked, 1))
+    ends = best.groupBy("q").agg(F.max("score").alias("high")).join(low, "q")
+    found = stored(passage_scan.fused(index.rows, asked, ends, vectors, query_vectors, k, alpha, *index.searched))
+    return _within(found, k).select(F.col("q").alias(query_key), F.col("k").alias(index.key), F.col("score").alias("final"))
+
+
 def hybrid_top(
     index: PassageIndex, queries: DataFrame, near: DataFrame, cosines_of, k: int, alpha: float = 0.4, query_key: str = "item_id", text: str = "text"
 ) -> DataFrame:
