@@ -1,4 +1,7 @@
+import math
 import random
+import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -62,3 +65,61 @@ def test_latent_edges(spark):
     assert latent.latent_vectors(df.limit(0), 5, "name").count() == 0
     with pytest.raises(ValueError, match="terms"):
         latent.latent_vectors(df, 5, "name", most_terms=1)
+
+
+def test_one_pass_over_the_rows_gives_all_products(spark, sf, monkeypatch):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where("doc_id < 120")
+    rows, vocabulary = vectors.tf_idf_rows(docs, features=300)
+    assert vocabulary.count() == 300
+    table = rows.toArrow()
+    dense = np.zeros((len(table), 300))
+    for i, (ids, weights) in enumerate(zip(table.column("ids").to_pylist(), table.column("weights").to_pylist(), strict=True)):
+        dense[i, ids] = weights
+    u, s, _ = np.linalg.svd(dense, full_matrices=False)
+    want = u[:, :8] * s[:8]
+    want /= np.linalg.norm(want, axis=1, keepdims=True)
+
+    def got():
+        found = {r[0]: r[1] for r in latent.latent_rows(rows.repartition(3), 300, 8).collect()}
+        return np.array([found[k] for k in table.column("doc_id").to_pylist()])
+
+    plain = latent._product
+    monkeypatch.setattr(latent, "_product", None)
+    for head, cells in ((1024, 1 << 31), (20, 1000)):  # dense columns alone in one task; few of them in several
+        monkeypatch.setattr(latent, "_HEAD", head)
+        monkeypatch.setattr(latent, "_CELLS", cells)
+        x = got()
+        assert np.abs(x @ x.T - want @ want.T).max() < 1e-3
+    monkeypatch.setattr(latent, "_product", plain)
+    monkeypatch.setattr(latent, "GRAM_TERMS", 10)
+    x = got()
+    assert np.abs(x @ x.T - want @ want.T).max() < 1e-3
+
+
+def test_tf_idf_counts_terms_without_shuffling_the_rare(spark, monkeypatch):
+    rng = random.Random(3)
+    words = [f"w{i}é" for i in range(80)]
+    texts = {i: " ".join(rng.choices(words, [1 / (j + 1) for j in range(80)], k=rng.randint(0, 90))) + rng.choice([" x.", " Ünder_score, w0é W0É", ""]) for i in range(60)}
+    texts |= {60: None, 61: "", 62: "a b c", 63: "only once here", 64: "same " * 50, 65: "same " * 50}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    own = {k: re.findall(r"\w{2,}", (t or "").lower()) for k, t in texts.items()}
+    tf = {k: Counter(w) + Counter(map(" ".join, zip(w, w[1:], strict=False))) for k, w in own.items()}
+    total, dfs = sum(tf.values(), Counter()), Counter(t for c in tf.values() for t in c)
+
+    def plain(features):
+        known = sorted(total, key=lambda t: (-total[t], t.encode()))[:features]
+        raw = {k: {t: (1 + math.log(c[t])) * (math.log((1 + len(texts)) / (1 + dfs[t])) + 1) for t in known if c[t]} for k, c in tf.items()}
+        return {(k, t, round(w / math.sqrt(sum(x * x for x in v.values())), 9)) for k, v in raw.items() for t, w in v.items()}
+
+    calls, totals = [], vectors._totals
+    monkeypatch.setattr(vectors, "_totals", lambda most: calls.append(most) or totals(most))
+    for at_once, share in ((1 << 20, 1 << 17), (500, 200), (500, 60)):
+        monkeypatch.setattr(vectors, "_WORDS", at_once)
+        monkeypatch.setattr(vectors, "_SHARE", share)
+        for features in (12, 40, 100_000):
+            found = vectors.tf_idf(df, features=features).collect()
+            assert {(r[0], r[1], round(r[2], 9)) for r in found} == plain(features) and len(found) == len(plain(features))
+    assert calls.count(0) < calls.count(7) == 9 and calls.count(0) > 0
+    again = vectors.tf_idf(df.union(df.where("doc_id = 63")), features=40)
+    assert again.where("doc_id = 64").count() == len([1 for k, *_ in plain(40) if k == 64])
+    assert vectors.tf_idf(df.limit(0), features=40).count() == 0
